@@ -69,3 +69,348 @@ def run_hours(spark, sf_dir):
 def tariff_hours(spark, sf_dir):
     """Run-hours split into tariff buckets A-D under the holiday calendar."""
     return _run_hours(spark, sf_dir).select("plant", "TagIndex", "tagName", "A", "B", "C", "D", "total")
+
+
+# ----------------------------------------------------------------- helpers
+
+def _r6(df: DataFrame, *cols: str) -> DataFrame:
+    """Round floating aggregates whose summation order Spark does not fix."""
+    for c in cols:
+        df = df.withColumn(c, F.round(F.col(c), 6))
+    return df
+
+
+def _wl(spark, sf_dir):
+    return FX.weighing_readings(spark, sf_dir), FX.weighing_tags(spark)
+
+
+def _alarms(spark, sf_dir):
+    return FX.alarm_events(spark, sf_dir)
+
+
+# ------------------------------------------------------- catalogue, listings
+
+@register("tag_catalog")
+def tag_catalog(spark, sf_dir):
+    """Every plant's tags with the plant description."""
+    from millrun.operators.readings import tag_catalog as op
+    return op(FX.tags_from_data(spark, sf_dir), FX.plants(spark))
+
+
+@register("readings_window")
+def readings_window(spark, sf_dir):
+    """Good readings of known tags in a window, newest first."""
+    from millrun.operators.readings import window_readings
+    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.NARROW_TBF, P.NARROW_TAF,
+                           bad=P.BAD, newest_first=True)
+
+
+@register("readings_window_asc")
+def readings_window_asc(spark, sf_dir):
+    """R2: the weighing plant's readings in its window, oldest first."""
+    from millrun.operators.readings import window_readings
+    r, t = _wl(spark, sf_dir)
+    return window_readings(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD, newest_first=False)
+
+
+@register("readings_long")
+def readings_long(spark, sf_dir):
+    """All tags of the weighing plant in long form, oldest first."""
+    from millrun.operators.readings import long_form
+    r, t = _wl(spark, sf_dir)
+    return long_form(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD)
+
+
+@register("readings_newest")
+def readings_newest(spark, sf_dir):
+    """Newest 1000 good readings of the plant."""
+    from millrun.operators.readings import newest
+    return newest(FX.readings(spark, sf_dir), _evt_tags(spark), bad=P.BAD)
+
+
+@register("readings_latest_per_tag")
+def readings_latest_per_tag(spark, sf_dir):
+    """Latest good reading of every known tag."""
+    from millrun.operators.readings import latest_per_tag
+    return latest_per_tag(FX.readings(spark, sf_dir), _evt_tags(spark), bad=P.BAD)
+
+
+@register("counter_window")
+def counter_window(spark, sf_dir):
+    """F1 with the counter plant's three bad codes (E, U, S), newest first."""
+    from millrun.operators.readings import window_readings
+    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.NARROW_TBF, P.NARROW_TAF,
+                           bad=P.COUNTER_BAD, newest_first=True)
+
+
+# ---------------------------------------------------------------- statistics
+
+@register("window_stats")
+def window_stats(spark, sf_dir):
+    """A1 + J3: min/max/avg/n per requested tag (unknown tag -> NULLs)."""
+    from millrun.operators.stats import window_stats as op
+    df = op(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD, request=_request(spark))
+    return _r6(df, "avgVal")
+
+
+@register("capacity_total")
+def capacity_total(spark, sf_dir):
+    """A2: min, max and SUM(Val)/6 per requested tag."""
+    from millrun.operators.stats import capacity
+    df = capacity(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD,
+                  request=_request(spark))
+    return _r6(df, "cap")
+
+
+@register("weighing_stats")
+def weighing_stats(spark, sf_dir):
+    """A3: weighing max/min/sum, doubled mean (0 when empty), non-zero count."""
+    from millrun.operators.stats import weighing_stats as op
+    r, t = _wl(spark, sf_dir)
+    return _r6(op(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD), "sumVal", "avgVal")
+
+
+# ------------------------------------------------------------------ gap fill
+
+def _filled(spark, sf_dir):
+    from millrun.operators import gaps as G
+    from millrun.operators.joins import known_only
+    from millrun.operators.runhours import select_window
+    r = known_only(select_window(_readings(spark, sf_dir), P.TBF, P.TAF, P.BAD), _evt_tags(spark))
+    return G.gap_fill(r, P.CADENCE_S, P.CAP_S, P.TOLERANCE)
+
+
+@register("flagged_gaps")
+def flagged_gaps(spark, sf_dir):
+    """Gaps that were neither normal nor bridged, with the reason."""
+    from millrun.operators.gaps import flagged_gaps as op
+    return op(_filled(spark, sf_dir))
+
+
+@register("gap_filled_readings")
+def gap_filled_readings(spark, sf_dir):
+    """Chronological readings with hold-last synthetic rows marked Filled."""
+    from millrun.operators.joins import with_tag_names
+    f = with_tag_names(_filled(spark, sf_dir), _evt_tags(spark))
+    return f.select("plant", "TagIndex", "TagName", "DateAndTime", "Val", "Filled") \
+            .orderBy("plant", "TagIndex", "DateAndTime", "Filled")
+
+
+@register("gap_fill_audit")
+def gap_fill_audit(spark, sf_dir):
+    """Real, filled and total rows, flagged gaps and their seconds per tag."""
+    from millrun.operators.gaps import fill_audit
+    return fill_audit(_filled(spark, sf_dir))
+
+
+# ------------------------------------------------------------ counts, hours
+
+@register("threshold_counts")
+def threshold_counts(spark, sf_dir):
+    """Counts for all eight comparison operators."""
+    return runhours.threshold_counts(_readings(spark, sf_dir), _evt_tags(spark), P.THRESHOLD,
+                                     P.TBF, P.TAF, bad=P.BAD, request=_request(spark))
+
+
+@register("run_hours_raw")
+def run_hours_raw(spark, sf_dir):
+    """A5 with fill off (the legacy raw count): audit columns NULL."""
+    return _run_hours(spark, sf_dir, fill=False).select(
+        "plant", "TagIndex", "tagName", "count", "hour", "realReadings", "filledReadings")
+
+
+@register("tariff_hours_raw")
+def tariff_hours_raw(spark, sf_dir):
+    """A6 with raw counts instead of hours."""
+    return _run_hours(spark, sf_dir, return_hours=False).select(
+        "plant", "TagIndex", "tagName", "count", "A", "B", "C", "D", "total")
+
+
+@register("run_hours_eras")
+def run_hours_eras(spark, sf_dir):
+    """A7 + J6: each cadence era filled and divided on its own, then summed."""
+    df = _run_hours(spark, sf_dir, cadence_s=None, points_per_hour=None, eras=FX.eras(spark))
+    return _r6(df, "hour", "A", "B", "C", "D", "total").select(
+        "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total",
+        "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
+
+
+@register("run_hours_forced_era")
+def run_hours_forced_era(spark, sf_dir):
+    """Q12: a caller-given cadence forces one era (divisor defaults to 240)."""
+    df = _run_hours(spark, sf_dir, cadence_s=P.CADENCE_S, points_per_hour=None, eras=FX.eras(spark))
+    return df.select("plant", "TagIndex", "tagName", "count", "hour", "total",
+                     "realReadings", "filledReadings", "flaggedGaps")
+
+
+@register("counter_run_hours")
+def counter_run_hours(spark, sf_dir):
+    """Counter plant: three bad codes, never filled, 60 samples per hour."""
+    return _run_hours(spark, sf_dir, bad=P.COUNTER_BAD, fill=False, threshold=P.COUNTER_THRESHOLD,
+                      points_per_hour=P.COUNTER_POINTS_PER_HOUR).select(
+        "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total")
+
+
+@register("gap_correction_report")
+def gap_correction_report(spark, sf_dir):
+    """Raw vs gap-filled hours with the fill audit per tag."""
+    return runhours.raw_vs_filled(_readings(spark, sf_dir), _evt_tags(spark), threshold=P.THRESHOLD,
+                                  tbf=P.TBF, taf=P.TAF, bad=P.BAD, cadence_s=P.CADENCE_S,
+                                  cap_s=P.CAP_S, tolerance=P.TOLERANCE,
+                                  points_per_hour=P.POINTS_PER_HOUR)
+
+
+# ------------------------------------------------------------------ reports
+
+@register("uptime_accounting")
+def uptime_accounting(spark, sf_dir):
+    """running/stopped/filled/unmeasured seconds and uptime %."""
+    from millrun.operators.reports import uptime
+    return uptime(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF,
+                  threshold=P.UPTIME_THRESHOLD, cadence_s=P.CADENCE_S, cap_s=P.CAP_S, bad=P.BAD)
+
+
+@register("uptime_gaps")
+def uptime_gaps(spark, sf_dir):
+    """A16 flagged intervals with state before/after."""
+    from millrun.operators.reports import uptime_gaps as op
+    return op(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF,
+              threshold=P.UPTIME_THRESHOLD, cadence_s=P.CADENCE_S, cap_s=P.CAP_S, bad=P.BAD)
+
+
+@register("logging_completeness")
+def logging_completeness(spark, sf_dir):
+    """Samples per tag-day against 86400/cadence."""
+    from millrun.operators.reports import completeness
+    return completeness(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF,
+                        cadence_s=P.CADENCE_S, bad=P.BAD)
+
+
+# ----------------------------------------------------------------- weighing
+
+def _cycles(spark, sf_dir):
+    from millrun.operators.weighing import cycles
+    r, t = _wl(spark, sf_dir)
+    return cycles(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD)
+
+
+def _filters():
+    return dict(min_weight=P.MIN_WEIGHT, max_weight=P.MAX_WEIGHT, min_id=P.MIN_ID, max_id=P.MAX_ID)
+
+
+@register("weighing_pivot")
+def weighing_pivot(spark, sf_dir):
+    """A14 + P5: one row per weighing cycle."""
+    from millrun.operators.weighing import formatted
+    return formatted(_cycles(spark, sf_dir))
+
+
+@register("weighing_pivot_filtered")
+def weighing_pivot_filtered(spark, sf_dir):
+    """weight and id range filters after the pivot (NULL compares as 0)."""
+    from millrun.operators.weighing import filter_cycles, formatted
+    return formatted(filter_cycles(_cycles(spark, sf_dir), **_filters()))
+
+
+@register("weighing_pivot_silo")
+def weighing_pivot_silo(spark, sf_dir):
+    """F12 equality filter: one silo (NULL never matches)."""
+    from millrun.operators.weighing import filter_cycles, formatted
+    return formatted(filter_cycles(_cycles(spark, sf_dir), silo=P.SILO))
+
+
+@register("weighing_summary")
+def weighing_summary(spark, sf_dir):
+    """Cycles, total and average weight of the filtered cycles."""
+    from millrun.operators.weighing import filter_cycles, summary
+    return summary(filter_cycles(_cycles(spark, sf_dir), **_filters()))
+
+
+# -------------------------------------------------------------------- alarms
+
+@register("alarm_recent")
+def alarm_recent(spark, sf_dir):
+    """Newest events, fault noise excluded (limit is the feature)."""
+    from millrun.operators.alarms import recent
+    return recent(_alarms(spark, sf_dir), as_of=P.AS_OF, limit=5000)
+
+
+@register("alarm_recent_filtered")
+def alarm_recent_filtered(spark, sf_dir):
+    """T3 with condition family, group and a plant-local from/to window."""
+    from millrun.operators.alarms import recent
+    return recent(_alarms(spark, sf_dir), as_of=P.AS_OF, limit=5000, exclude_faults=False,
+                  condition=P.CONDITION, group=P.GROUP, from_local=P.FROM_LOCAL, to_local=P.TO_LOCAL)
+
+
+@register("alarm_source_history")
+def alarm_source_history(spark, sf_dir):
+    """T4: one source's history over the longest look-back."""
+    from millrun.operators.alarms import source_history
+    return source_history(_alarms(spark, sf_dir), P.SOURCE, as_of=P.AS_OF, limit=5000,
+                          hours=P.MAX_HOURS)
+
+
+@register("alarm_source_window")
+def alarm_source_window(spark, sf_dir):
+    """T4 with a from/to window and an exact-family condition."""
+    from millrun.operators.alarms import source_history
+    return source_history(_alarms(spark, sf_dir), P.SOURCE, as_of=P.AS_OF, limit=5000,
+                          from_local=P.FROM_LOCAL, to_local=P.TO_LOCAL, condition="TRIP_L")
+
+
+@register("alarm_active")
+def alarm_active(spark, sf_dir):
+    """Alarms standing at as_of (latest event per source+condition active)."""
+    from millrun.operators.alarms import active
+    return active(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS)
+
+
+@register("alarm_active_unacked")
+def alarm_active_unacked(spark, sf_dir):
+    """W1 + F13 + F10: unacknowledged standing TRIP-family alarms."""
+    from millrun.operators.alarms import active
+    return active(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS,
+                  condition=P.CONDITION, acked=False)
+
+
+@register("alarm_daily")
+def alarm_daily(spark, sf_dir):
+    """Events per plant-local day, real vs fault."""
+    from millrun.operators.alarms import daily
+    return daily(_alarms(spark, sf_dir), as_of=P.AS_OF, days=P.MAX_DAYS)
+
+
+@register("alarm_noisy")
+def alarm_noisy(spark, sf_dir):
+    """A10: top chattering source+condition pairs."""
+    from millrun.operators.alarms import noisy
+    return noisy(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
+
+
+@register("alarm_noisy_group")
+def alarm_noisy_group(spark, sf_dir):
+    """A10 restricted to one group."""
+    from millrun.operators.alarms import noisy
+    return noisy(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50, group=P.GROUP)
+
+
+@register("alarm_groups")
+def alarm_groups(spark, sf_dir):
+    """Every group with its event count and last event (all time)."""
+    from millrun.operators.alarms import groups
+    return groups(_alarms(spark, sf_dir))
+
+
+@register("alarm_faults")
+def alarm_faults(spark, sf_dir):
+    """Quality-fault ranking per source."""
+    from millrun.operators.alarms import faults
+    return faults(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
+
+
+@register("alarm_heartbeat")
+def alarm_heartbeat(spark, sf_dir):
+    """Newest event, minutes since, total rows, logging_ok."""
+    from millrun.operators.alarms import heartbeat
+    return heartbeat(_alarms(spark, sf_dir), as_of=P.AS_OF)

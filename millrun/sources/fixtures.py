@@ -72,6 +72,21 @@ def tags(spark: SparkSession) -> DataFrame:
     return evt.unionByName(weighing_tags(spark))
 
 
+def tags_from_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 dimension derived from the tables themselves: the tag indexes that
+    occur in ``events`` (0..6 named, 7 left unknown) and the line numbers of
+    ``lineitem`` that carry a weighing tag name."""
+    evt = (_table(spark, sf_dir, "events")
+           .select((F.col("user_id") % N_TAGS).cast("int").alias("TagIndex")).distinct()
+           .where(F.col("TagIndex") < N_KNOWN_TAGS)
+           .select(F.lit(READINGS_PLANT).alias("plant"), "TagIndex",
+                   F.concat(F.lit("TAG_"), F.col("TagIndex").cast("string")).alias("TagName")))
+    lines = (_table(spark, sf_dir, "lineitem")
+             .select(F.col("l_linenumber").cast("int").alias("TagIndex")).distinct())
+    wl = lines.join(F.broadcast(weighing_tags(spark)), "TagIndex")
+    return evt.unionByName(wl.select("plant", "TagIndex", "TagName"))
+
+
 def weighing_tags(spark: SparkSession) -> DataFrame:
     names = [t for t, _ in R.WEIGHING_TAGS] + WEIGHING_OTHER_TAGS
     rows = [(WEIGHING_PLANT, i + 1, n) for i, n in enumerate(names)]
