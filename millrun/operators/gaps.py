@@ -113,10 +113,10 @@ def classify_gaps(df: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
             .when((gap <= cap_ms) & F.coalesce(agree, F.lit(False)), F.lit(BRIDGED))
             .when(gap > cap_ms, F.lit(R.REASON_EXCEEDS_CAP))
             .otherwise(F.lit(R.REASON_MISMATCH)))
-    out = df.withColumn("gap_ms", gap).withColumn("gap_kind", kind)
+    out = df.withColumns({"gap_ms": gap, "gap_kind": kind})
     n = F.when(F.col("gap_kind") == BRIDGED,
                (F.ceil(F.col("gap_ms") / cad_ms) - 1).cast("int")).otherwise(F.lit(0))
-    return out.withColumn("n_fill", n).withColumn("_cad_ms", cad_ms)
+    return out.withColumns({"n_fill": n, "_cad_ms": cad_ms})
 
 
 def is_flagged(kind: str = "gap_kind") -> Column:
@@ -129,11 +129,13 @@ def fill_rows(classified: DataFrame) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.col("n_fill"))).alias("_k")
     x = classified.select("*", k)
     synthetic = F.col("_k") > 0
-    x = x.withColumn("DateAndTime", F.when(synthetic, add_millis("DateAndTime", F.col("_k") * F.col("_cad_ms")))
-                     .otherwise(F.col("DateAndTime")))
-    x = x.withColumn("Filled", synthetic)
-    for c in ("gap_kind", "gap_ms"):
-        x = x.withColumn(c, F.when(synthetic, F.lit(None)).otherwise(F.col(c)))
+    shifted = add_millis("DateAndTime", F.col("_k") * F.col("_cad_ms"))
+    x = x.withColumns({
+        "DateAndTime": F.when(synthetic, shifted).otherwise(F.col("DateAndTime")),
+        "Filled": synthetic,
+        "gap_kind": F.when(synthetic, F.lit(None).cast("string")).otherwise(F.col("gap_kind")),
+        "gap_ms": F.when(synthetic, F.lit(None).cast("long")).otherwise(F.col("gap_ms")),
+    })
     return x.drop("_k", "_cad_ms", "n_fill")
 
 

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Dimension sides above this many rows are joined by shuffle instead.
 MAX_BROADCAST_ROWS = 1_000_000
 
+_SIZE_MEMO: contextvars.ContextVar[dict | None] = contextvars.ContextVar("size_memo", default=None)
+
+
+@contextlib.contextmanager
+def size_check_scope():
+    """Within one plan build, a dimension used by several joins is counted once
+    (keyed by its plan's semantic hash)."""
+    token = _SIZE_MEMO.set({})
+    try:
+        yield
+    finally:
+        _SIZE_MEMO.reset(token)
+
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it provably holds at most ``max_rows`` rows.
@@ -16,7 +32,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     side. Larger sides are returned unhinted, so Catalyst plans a shuffle join
     (with AQE skew-join splitting) instead of shipping them to every executor.
     """
-    n = df.limit(max_rows + 1).count()
+    memo = _SIZE_MEMO.get()
+    key = (df.semanticHash(), max_rows) if memo is not None else None
+    if key is not None and key in memo:
+        n = memo[key]
+    else:
+        n = df.limit(max_rows + 1).count()
+        if key is not None:
+            memo[key] = n
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -29,9 +29,8 @@ def _classified(readings, tags, tbf, taf, threshold, cadence_s, cap_s, bad, chun
     sb = F.col("next_Val") >= F.lit(float(threshold))
     normal = F.col("dt_ms") <= F.lit(cadence_s * 1000.0 * R.GAP_NORMAL_FACTOR)
     bridge = ~normal & (F.col("dt_ms") <= F.lit(cap_s * 1000.0)) & (sa == sb)
-    return (s.withColumn("state_before", sa).withColumn("state_after", sb)
-             .withColumn("_normal", normal).withColumn("_bridge", bridge)
-             .withColumn("_unmeasured", ~normal & ~bridge))
+    return s.withColumns({"state_before": sa, "state_after": sb, "_normal": normal,
+                          "_bridge": bridge, "_unmeasured": ~normal & ~bridge})
 
 
 def uptime(readings: DataFrame, tags: DataFrame, tbf, taf, threshold: float = R.UPTIME_THRESHOLD,

@@ -78,12 +78,12 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
     if fill:
         x = G.gap_fill(r, cad, opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
     else:
-        x = r.withColumn("Filled", F.lit(False)).withColumn("gap_kind", F.lit(None).cast("string")) \
-             .withColumn("gap_ms", F.lit(None).cast("long"))
+        x = r.withColumns({"Filled": F.lit(False), "gap_kind": F.lit(None).cast("string"),
+                           "gap_ms": F.lit(None).cast("long")})
 
     x = with_holiday(x, holidays)
     p = compare("Val", op, threshold)
-    x = x.withColumn("_hit", p).withColumn("_bucket", bucket_of("DateAndTime", F.col("is_holiday")))
+    x = x.withColumns({"_hit": p, "_bucket": bucket_of("DateAndTime", F.col("is_holiday"))})
 
     # Level 1: per series and divisor (one era). Partial aggregation keeps the
     # shuffle at one row per task and key, whatever the skew.

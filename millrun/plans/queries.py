@@ -9,23 +9,35 @@ oracle in ``millrun.plans.oracle`` rounds the same columns.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrun.operators import runhours
+from millrun.operators.joins import size_check_scope
 from millrun.plans import params as P
 from millrun.sources import fixtures as FX
+from millrun.sources.local import local_table
+
+REQUEST_SCHEMA = T.StructType([T.StructField("plant", T.StringType()),
+                               T.StructField("TagIndex", T.IntegerType())])
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; its plan is built inside one size-check scope."""
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with size_check_scope():
+                return fn(spark, sf_dir)
+        REGISTRY[name] = build
+        return build
     return deco
 
 
@@ -44,7 +56,7 @@ def _evt_tags(spark):
 
 def _request(spark):
     """Every known fixture tag plus the unknown tag 7 (J3 path)."""
-    unknown = spark.createDataFrame([(FX.READINGS_PLANT, P.UNKNOWN_TAG)], "plant string, TagIndex int")
+    unknown = local_table(spark, [(FX.READINGS_PLANT, P.UNKNOWN_TAG)], REQUEST_SCHEMA)
     return _evt_tags(spark).select("plant", "TagIndex").unionByName(unknown)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrun import schemas
 from millrun.functions.time import file_ticks, trunc_ms
 from millrun.sources import registry as R
+from millrun.sources.local import local_table
 
 READINGS_PLANT = "EVT"
 WEIGHING_PLANT = "WL"
@@ -66,10 +67,8 @@ def readings(spark: SparkSession, sf_dir: str, window: tuple | None = None) -> D
 
 def tags(spark: SparkSession) -> DataFrame:
     """S2 dimension: ``EVT`` tags 0..6 named ``TAG_i`` plus the weighing tags."""
-    evt = spark.range(N_KNOWN_TAGS).select(
-        F.lit(READINGS_PLANT).alias("plant"), F.col("id").cast("int").alias("TagIndex"),
-        F.concat(F.lit("TAG_"), F.col("id").cast("string")).alias("TagName"))
-    return evt.unionByName(weighing_tags(spark))
+    rows = [(READINGS_PLANT, i, f"TAG_{i}") for i in range(N_KNOWN_TAGS)]
+    return local_table(spark, rows, schemas.TAGS).unionByName(weighing_tags(spark))
 
 
 def tags_from_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +89,12 @@ def tags_from_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighing_tags(spark: SparkSession) -> DataFrame:
     names = [t for t, _ in R.WEIGHING_TAGS] + WEIGHING_OTHER_TAGS
     rows = [(WEIGHING_PLANT, i + 1, n) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, schemas.TAGS)
+    return local_table(spark, rows, schemas.TAGS)
 
 
 def plants(spark: SparkSession) -> DataFrame:
     rows = list(R.PLANT_DESCRIPTIONS) + [(READINGS_PLANT, "Synthetic event plant")]
-    return spark.createDataFrame(rows, schemas.PLANTS)
+    return local_table(spark, rows, schemas.PLANTS)
 
 
 def weighing_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +160,4 @@ def eras(spark: SparkSession) -> DataFrame:
     (e0, c0, p0), (e1, c1, p1) = FIXTURE_ERAS
     rows = [(READINGS_PLANT, e0, None, FIXTURE_ERA_CHANGE, c0, p0),
             (READINGS_PLANT, e1, FIXTURE_ERA_CHANGE, None, c1, p1)]
-    return spark.createDataFrame(rows, schemas.ERAS)
+    return local_table(spark, rows, schemas.ERAS)
