@@ -19,6 +19,7 @@ readings.
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions.predicates import values_agree
-from millrun.functions.time import MS_PER_DAY, add_millis, diff_millis, millis_since_epoch
+from millrun.functions.time import (MS_PER_DAY, add_millis, diff_millis, micros_since_epoch,
+                                   millis_since_epoch)
 from millrun.sources import registry as R
 
 SERIES = ("plant", "TagIndex")
@@ -84,7 +86,14 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
     ts = order[0]
     chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / F.lit(chunk_ms)).cast("long"))
     # First row of every non-empty chunk (partial aggregate: tiny shuffle).
-    firsts = chunked.groupBy(*series, "_chunk").agg(F.min(F.struct(*order, *carried)).alias("_f"))
+    if len(order) == 2:
+        # (time, seq) as one DECIMAL(38,0) key, so the pick is a hash aggregate
+        # (min of a struct would force a sort-based aggregate).
+        key = _order_key(order[0], order[1])
+        firsts = chunked.groupBy(*series, "_chunk").agg(F.struct(
+            *[F.min_by(c, key).alias(c) for c in order + carried]).alias("_f"))
+    else:
+        firsts = chunked.groupBy(*series, "_chunk").agg(F.min(F.struct(*order, *carried)).alias("_f"))
     # Successor of a chunk = first row of the next non-empty chunk of the series.
     # One row per chunk, so a hot series is only #chunks rows here.
     nxt = firsts.select(*series, "_chunk",
@@ -99,16 +108,34 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
     return out.where(~F.col("_phantom")).drop("_chunk", "_phantom")
 
 
+def _dec(v: int) -> Column:
+    return F.lit(decimal.Decimal(v)).cast("decimal(38,0)")
+
+
+def _order_key(ts: str, seq: str) -> Column:
+    """Order-preserving ``(ts, seq)`` key: micros * 10^20 + (seq shifted to
+    [1, 2^64]; NULL seq -> 0, first as in ``ASC NULLS FIRST``). Fits
+    DECIMAL(38,0) for any timestamp up to year 9999."""
+    us = micros_since_epoch(ts).cast("decimal(38,0)")
+    s = F.coalesce(F.col(seq).cast("decimal(38,0)") + _dec(2 ** 63 + 1), _dec(0))
+    return us * _dec(10 ** 20) + s
+
+
 def classify_gaps(df: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
-                  tolerance=R.GAP_TOLERANCE) -> DataFrame:
+                  tolerance=R.GAP_TOLERANCE, enabled: Column | None = None) -> DataFrame:
     """W2 on rows that carry ``next_DateAndTime``/``next_Val``. Adds ``gap_ms``,
     ``gap_kind`` (NULL for the last row, 'normal', 'bridged', or the flag
-    reason) and ``n_fill`` (synthetic rows owed after this row)."""
+    reason) and ``n_fill`` (synthetic rows owed after this row). Rows where
+    ``enabled`` is false (plants that are never filled) get a NULL kind: they
+    are neither filled nor flagged."""
     cad_ms = _p(cadence_s) * 1000.0
     cap_ms = _p(cap_s) * 1000.0
     gap = diff_millis("DateAndTime", "next_DateAndTime")
     agree = values_agree("Val", "next_Val", _p(tolerance))
-    kind = (F.when(F.col("next_DateAndTime").isNull(), F.lit(None).cast("string"))
+    off = F.col("next_DateAndTime").isNull()
+    if enabled is not None:
+        off = off | ~F.coalesce(enabled, F.lit(False))
+    kind = (F.when(off, F.lit(None).cast("string"))
             .when(gap <= cad_ms * R.GAP_NORMAL_FACTOR, F.lit(NORMAL))
             .when((gap <= cap_ms) & F.coalesce(agree, F.lit(False)), F.lit(BRIDGED))
             .when(gap > cap_ms, F.lit(R.REASON_EXCEEDS_CAP))
@@ -141,12 +168,14 @@ def fill_rows(classified: DataFrame) -> DataFrame:
 
 def gap_fill(readings: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
              tolerance=R.GAP_TOLERANCE, series: Sequence[str] = SERIES,
-             chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+             chunk_ms: int | None = MS_PER_DAY, enabled: Column | None = None) -> DataFrame:
     """Readings (already filtered to a window) plus synthetic rows.
     Output keeps every input column and adds ``Filled``, ``gap_kind``,
-    ``gap_ms``, ``next_DateAndTime``, ``next_Val``."""
+    ``gap_ms``, ``next_DateAndTime``, ``next_Val``. Cadence, cap and tolerance
+    may be per-row Columns (per-plant policy); ``enabled`` switches the fill
+    off per row."""
     s = with_successor(readings, series=series, chunk_ms=chunk_ms)
-    return fill_rows(classify_gaps(s, cadence_s, cap_s, tolerance))
+    return fill_rows(classify_gaps(s, cadence_s, cap_s, tolerance, enabled))
 
 
 def flagged_gaps(filled_or_classified: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:

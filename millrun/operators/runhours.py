@@ -15,7 +15,7 @@ from millrun.functions.predicates import OPERATORS, compare, good_status, in_win
 from millrun.functions.tariff import BUCKETS, bucket_of, with_holiday
 from millrun.functions.time import MS_PER_DAY
 from millrun.operators import gaps as G
-from millrun.operators.joins import assign_era, for_requested, known_only
+from millrun.operators.joins import assign_era, checked_broadcast, for_requested, known_only
 from millrun.sources import registry as R
 
 
@@ -78,23 +78,72 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
     if fill:
         x = G.gap_fill(r, cad, opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
     else:
-        x = r.withColumns({"Filled": F.lit(False), "gap_kind": F.lit(None).cast("string"),
-                           "gap_ms": F.lit(None).cast("long")})
+        x = _unfilled(r)
+    if not fill:
+        audit_on = F.lit(False)
+    elif era_mode:
+        audit_on = F.coalesce(F.col("_rows"), F.lit(0)) > 0
+    else:
+        audit_on = F.lit(True)
+    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), series, return_hours)
+    out = for_requested(request if request is not None else tags, per_tag, tags)
+    return _shape(out, tbf, taf, return_hours, audit_on)
+
+
+def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *,
+                             threshold: float, tbf, taf, op: str = ">", cap_s=None,
+                             tolerance=None, holidays=None, request: DataFrame | None = None,
+                             return_hours: bool = True,
+                             chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+    """A5/A6 + A8 for many plants in one plan, each under its own policy.
+
+    ``plant_config`` (schema ``schemas.PLANT_CONFIG``) gives per plant the bad
+    status codes (F1), the logging cadence, the samples per hour and whether
+    count routes fill gaps. It is joined once (size-checked broadcast), so the
+    per-plant rules are ordinary per-row columns: no loop over plants. Plants
+    without a cadence fall back to the default cadence; plants that never fill
+    are neither filled nor flagged and have NULL audit columns. Readings of a
+    plant missing from the configuration are dropped.
+    """
+    from millrun.functions.predicates import good_status_by_config
+    opts = G.FillOptions.resolve(None, cap_s, tolerance)
+    cfg = plant_config.select(
+        "plant", F.col("bad_status").alias("_bad"),
+        F.coalesce(F.col("cadence_s"), F.lit(opts.cadence_s)).alias("_cad"),
+        F.col("points_per_hour").alias("_pph"), F.col("fill_count").alias("_fill"))
+    cfg = checked_broadcast(cfg, 100_000)
+    r = readings.where(in_window(tbf, taf)).join(cfg, "plant", "inner")
+    r = known_only(r.where(good_status_by_config("_bad")), tags)
+    x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, chunk_ms=chunk_ms,
+                   enabled=F.col("_fill"))
+    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex"], return_hours)
+    out = for_requested(request if request is not None else tags, per_tag, tags)
+    out = out.join(cfg.select("plant", "_fill"), "plant", "left")
+    return _shape(out, tbf, taf, return_hours, F.coalesce(F.col("_fill"), F.lit(False)))
+
+
+def _unfilled(r: DataFrame) -> DataFrame:
+    return r.withColumns({"Filled": F.lit(False), "gap_kind": F.lit(None).cast("string"),
+                          "gap_ms": F.lit(None).cast("long")})
+
 
+def _bucketed(x: DataFrame, op: str, threshold, holidays) -> DataFrame:
+    """X1-X3 + F11 on every (real or synthetic) row."""
     x = with_holiday(x, holidays)
-    p = compare("Val", op, threshold)
-    x = x.withColumns({"_hit": p, "_bucket": bucket_of("DateAndTime", F.col("is_holiday"))})
+    return x.withColumns({"_hit": compare("Val", op, threshold),
+                          "_bucket": bucket_of("DateAndTime", F.col("is_holiday"))})
 
-    # Level 1: per series and divisor (one era). Partial aggregation keeps the
-    # shuffle at one row per task and key, whatever the skew.
+
+def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:
+    """Level 1 per series and divisor (one era), level 2 per tag. Partial
+    aggregation keeps each shuffle at one row per task and key, whatever the
+    skew; per-era hours are divided by their own divisor before summing."""
     per_era = x.groupBy(*series, "_pph").agg(
         F.count_if(F.col("_hit")).alias("_n"),
         *[F.count_if(F.col("_hit") & (F.col("_bucket") == b)).alias(f"_n{b}") for b in BUCKETS],
         *G.audit_aggs())
-
     div = F.col("_pph") if return_hours else F.lit(1.0)
-    # Level 2: per tag, summing per-era hours (each era divided by its divisor).
-    per_tag = per_era.groupBy("plant", "TagIndex").agg(
+    return per_era.groupBy("plant", "TagIndex").agg(
         F.sum("_n").alias("count"),
         F.sum(F.col("_n") / F.col("_pph")).alias("hour"),
         *[F.sum(F.col(f"_n{b}") / div).alias(b) for b in BUCKETS],
@@ -105,8 +154,11 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         F.sum("flagged_s").alias("flagged_s"),
         F.sum("totalReadings").alias("_rows"),
     )
-    out = for_requested(request if request is not None else tags, per_tag, tags)
 
+
+def _shape(out: DataFrame, tbf, taf, return_hours: bool, audit_on: Column) -> DataFrame:
+    """One row per requested tag: zeros for empty or unknown tags, tag name only
+    when the tag had rows, audit columns only where ``audit_on``."""
     has_rows = F.coalesce(F.col("_rows"), F.lit(0)) > 0
     zero_d = F.lit(0.0)
     cols: list[Column] = [
@@ -116,23 +168,12 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         F.coalesce(F.col("count"), F.lit(0)).alias("count"),
         F.coalesce(F.col("hour"), zero_d).alias("hour"),
     ]
-    if return_hours:
-        cols += [F.coalesce(F.col(b), zero_d).alias(b) for b in BUCKETS]
-        cols.append(F.coalesce(F.col("total"), zero_d).alias("total"))
-    else:
-        cols += [F.coalesce(F.col(b), zero_d).cast("long").alias(b) for b in BUCKETS]
-        cols.append(F.coalesce(F.col("total"), zero_d).cast("long").alias("total"))
-
-    audit = ["realReadings", "filledReadings", "flaggedGaps", "flagged_s"]
-    for a in audit:
+    for b in (*BUCKETS, "total"):
+        v = F.coalesce(F.col(b), zero_d)
+        cols.append((v if return_hours else v.cast("long")).alias(b))
+    for a in ("realReadings", "filledReadings", "flaggedGaps", "flagged_s"):
         zero = F.lit(0.0) if a == "flagged_s" else F.lit(0).cast("long")
-        if not fill:
-            v = F.lit(None).cast("double" if a == "flagged_s" else "long")
-        elif era_mode:
-            v = F.when(has_rows, F.col(a))
-        else:
-            v = F.coalesce(F.col(a), zero)
-        cols.append(v.alias(a))
+        cols.append(F.when(audit_on, F.coalesce(F.col(a), zero)).alias(a))
     return out.select(*cols)
 
 

@@ -54,9 +54,10 @@ def window_cte(name="w", tbf=P.TBF, taf=P.TAF, bad=P.BAD, known=True) -> str:
 
 
 def filled_ctes(src="w", cadence=P.CADENCE_S, cap=P.CAP_S, tol=P.TOLERANCE,
-                series="plant, TagIndex", cad_expr=None) -> str:
+                series="plant, TagIndex", cad_expr=None, enabled=None) -> str:
     """succ -> cls -> filled: lead, classify, explode the bridged gaps."""
     cad = cad_expr or f"CAST({cadence} AS DOUBLE)"
+    off = f"nts IS NULL OR NOT ({enabled})" if enabled else "nts IS NULL"
     return f"""succ AS (
   SELECT *, lead(DateAndTime) OVER win AS nts, lead(Val) OVER win AS nval
   FROM {src} WINDOW win AS (PARTITION BY {series} ORDER BY DateAndTime, seq)),
@@ -65,7 +66,7 @@ cls0 AS (
          epoch_ms(nts) - epoch_ms(DateAndTime) AS gap_ms
   FROM succ),
 cls AS (
-  SELECT *, CASE WHEN nts IS NULL THEN NULL
+  SELECT *, CASE WHEN {off} THEN NULL
                  WHEN gap_ms <= cad_ms * 1.5 THEN 'normal'
                  WHEN gap_ms <= cap_ms
                       AND abs(Val - nval) / greatest(abs(Val), abs(nval), 1e-6) <= {tol}
@@ -549,3 +550,39 @@ m AS (SELECT *, date_diff('minute', date_trunc('minute', newest),
 SELECT newest + {_SHIFT} AS newest_event, mins AS minutes_since_last, total_rows,
        coalesce(mins < {R.HEARTBEAT_OK_MINUTES}, false) AS logging_ok
 FROM m"""
+
+
+# ---------------------------------------------------------- per-plant policy
+
+ORACLE["run_hours_by_plant"] = f"""WITH {READINGS}, {TAGS}, {WL},
+allr AS (SELECT * FROM readings UNION ALL SELECT * FROM wl_readings),
+alltags AS (SELECT * FROM tags UNION ALL SELECT * FROM wl_tags),
+request AS (SELECT plant, TagIndex FROM alltags UNION SELECT 'EVT', CAST({P.UNKNOWN_TAG} AS INTEGER)),
+w AS (SELECT *, CASE plant WHEN 'EVT' THEN 600.0 ELSE {R.GAP_CADENCE_S} END AS cad_s,
+             CASE plant WHEN 'EVT' THEN 6.0 ELSE 360.0 END AS pph, plant = 'EVT' AS fill_on
+      FROM allr
+      WHERE DateAndTime BETWEEN {_ts(P.ALL_TBF)} AND {_ts(P.ALL_TAF)} AND {GOOD()}
+        AND (plant, TagIndex) IN (SELECT plant, TagIndex FROM alltags)),
+{filled_ctes(cad_expr='CAST(cad_s AS DOUBLE)', enabled='fill_on')},
+b AS (SELECT *, {BUCKET} AS bucket, Val > {P.THRESHOLD} AS hit FROM filled),
+agg AS (
+  SELECT plant, TagIndex, count_if(hit) AS n, sum(CASE WHEN hit THEN 1.0 / pph END) AS h,
+         count_if(hit AND bucket = 'A') / any_value(pph) AS A,
+         count_if(hit AND bucket = 'B') / any_value(pph) AS B,
+         count_if(hit AND bucket = 'C') / any_value(pph) AS C,
+         count_if(hit AND bucket = 'D') / any_value(pph) AS D,
+         count_if(hit) / any_value(pph) AS total,
+         count_if(NOT Filled) AS realReadings, count_if(Filled) AS filledReadings,
+         count_if({FLAGGED}) AS flaggedGaps,
+         {_d(f'coalesce(sum(CASE WHEN {FLAGGED} THEN fgap_ms END), 0)')} / 1000.0 AS flagged_s,
+         count(*) AS nrows
+  FROM b GROUP BY plant, TagIndex)
+SELECT q.plant, q.TagIndex, CASE WHEN coalesce(a.nrows, 0) > 0 THEN t.TagName END AS tagName,
+       coalesce(a.n, 0) AS "count", coalesce(a.total, 0.0) AS hour,
+       coalesce(a.A, 0.0) AS A, coalesce(a.B, 0.0) AS B, coalesce(a.C, 0.0) AS C,
+       coalesce(a.D, 0.0) AS D, coalesce(a.total, 0.0) AS total,
+       CASE WHEN q.plant = 'EVT' THEN coalesce(a.realReadings, 0) END AS realReadings,
+       CASE WHEN q.plant = 'EVT' THEN coalesce(a.filledReadings, 0) END AS filledReadings,
+       CASE WHEN q.plant = 'EVT' THEN coalesce(a.flaggedGaps, 0) END AS flaggedGaps,
+       CASE WHEN q.plant = 'EVT' THEN coalesce(a.flagged_s, 0.0) END AS flagged_s
+FROM request q LEFT JOIN alltags t USING (plant, TagIndex) LEFT JOIN agg a USING (plant, TagIndex)"""

@@ -21,6 +21,10 @@ NARROW_TAF = "2024-01-22 00:00:00"
 WL_TBF = "1992-01-01 00:00:00"
 WL_TAF = "1999-12-31 23:59:59"
 
+# Both fixture plants at once (weighing data is from 1992-1998).
+ALL_TBF = WL_TBF
+ALL_TAF = TAF
+
 # Gap fill and run-hours.
 CADENCE_S = 600.0
 CAP_S = 7200.0

@@ -46,8 +46,8 @@ def _window():
     return parse_local(P.TBF), parse_local(P.TAF)
 
 
-def _readings(spark, sf_dir, window=None):
-    return FX.readings(spark, sf_dir, window=window or _window())
+def _readings(spark, sf_dir, window=()):
+    return FX.readings(spark, sf_dir, window=_window() if window == () else window)
 
 
 def _evt_tags(spark):
@@ -247,6 +247,21 @@ def run_hours_eras(spark, sf_dir):
         "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
 
 
+@register("run_hours_by_plant")
+def run_hours_by_plant(spark, sf_dir):
+    """A5/A6/A8 for two plants in one plan, each under its own configured
+    policy: the event plant is filled at 600 s with 6 samples/h, the weighing
+    plant (event data) is never filled and uses 360 samples/h."""
+    readings = _readings(spark, sf_dir, window=None).unionByName(FX.weighing_readings(spark, sf_dir))
+    tags = FX.tags(spark)
+    unknown = local_table(spark, [(FX.READINGS_PLANT, P.UNKNOWN_TAG)], REQUEST_SCHEMA)
+    request = tags.select("plant", "TagIndex").unionByName(unknown)
+    return runhours.count_run_hours_by_plant(
+        readings, tags, FX.plant_config(spark), threshold=P.THRESHOLD, tbf=P.ALL_TBF,
+        taf=P.ALL_TAF, cap_s=P.CAP_S, tolerance=P.TOLERANCE, holidays=FX.holidays(),
+        request=request).drop("date_before", "date_after")
+
+
 @register("run_hours_forced_era")
 def run_hours_forced_era(spark, sf_dir):
     """Q12: a caller-given cadence forces one era (divisor defaults to 240)."""

@@ -33,6 +33,8 @@ FIXTURE_HOLIDAYS = ["2024-01-01", "2024-01-15", "2024-01-25"]
 FIXTURE_ERA_CHANGE = dt.datetime(2024, 1, 16, 0, 0, 0)
 FIXTURE_ERAS = [(0, 600.0, 6.0), (1, 900.0, 4.0)]
 FIXTURE_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
+# Policy of the fixture plant: bad 'E', cadence 600 s, 6 samples/h, fills.
+FIXTURE_PLANT_POLICY = (READINGS_PLANT, ["E"], 600.0, 6.0, True, True)
 # ------------------------------------------------------------ end FIXED VALUES
 
 
@@ -150,6 +152,11 @@ def alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plant_config(spark: SparkSession) -> DataFrame:
+    """Per-plant policy as data: the registry's plants plus the fixture plant."""
+    return local_table(spark, list(R.PLANT_POLICY) + [FIXTURE_PLANT_POLICY], schemas.PLANT_CONFIG)
+
+
 def holidays() -> list[dt.date]:
     """Calendar for the fixture data: the listed years plus the fixture dates."""
     return R.holiday_dates(FIXTURE_HOLIDAYS)
