@@ -198,9 +198,9 @@ WHERE r.DateAndTime BETWEEN {_ts(tbf)} AND {_ts(taf)} AND r.Status IS NOT NULL
   AND r.Status NOT IN ({_list(bad)})"""
 
 
-ORACLE["readings_window"] = f"WITH {READINGS}, {TAGS} " + _listing("readings", "tags", P.NARROW_TBF, P.NARROW_TAF)
+ORACLE["readings_window"] = f"WITH {READINGS}, {TAGS} " + _listing("readings", "tags", P.TBF, P.TAF)
 ORACLE["counter_window"] = f"WITH {READINGS}, {TAGS} " + _listing(
-    "readings", "tags", P.NARROW_TBF, P.NARROW_TAF, P.COUNTER_BAD)
+    "readings", "tags", P.TBF, P.TAF, P.COUNTER_BAD)
 ORACLE["readings_window_asc"] = f"WITH {WL} " + _listing("wl_readings", "wl_tags", P.WL_TBF, P.WL_TAF)
 ORACLE["readings_long"] = f"""WITH {WL}
 SELECT r.plant, r.DateAndTime, t.TagName, r.Val

@@ -14,9 +14,6 @@ from millrun.sources.fixtures import FIXTURE_AS_OF
 # Readings window (plant-local, inclusive): all of the fixture data.
 TBF = "2024-01-01 00:00:00"
 TAF = "2024-01-31 00:00:00"
-# A narrower window for the plain window listings (edges inside the data).
-NARROW_TBF = "2024-01-08 00:00:00"
-NARROW_TAF = "2024-01-22 00:00:00"
 # Weighing data window: all orders.
 WL_TBF = "1992-01-01 00:00:00"
 WL_TAF = "1999-12-31 23:59:59"
@@ -45,8 +42,9 @@ MAX_DAYS = 90
 SOURCE = "SRC_7"
 CONDITION = "TRIP"
 GROUP = "Area 1.Alarm_Main"
-FROM_LOCAL = "2024-01-05 08:00:00"
-TO_LOCAL = "2024-01-20 17:30:00.5"
+# Plant-local from/to covering the whole log (UTC 2024-01-01 00:00 onwards).
+FROM_LOCAL = "2024-01-01 07:00:00"
+TO_LOCAL = "2024-01-31 07:00:00.5"
 
 # Weighing pivot filters.
 MIN_WEIGHT = 20.0

@@ -113,7 +113,7 @@ def tag_catalog(spark, sf_dir):
 def readings_window(spark, sf_dir):
     """Good readings of known tags in a window, newest first."""
     from millrun.operators.readings import window_readings
-    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.NARROW_TBF, P.NARROW_TAF,
+    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF,
                            bad=P.BAD, newest_first=True)
 
 
@@ -151,7 +151,7 @@ def readings_latest_per_tag(spark, sf_dir):
 def counter_window(spark, sf_dir):
     """F1 with the counter plant's three bad codes (E, U, S), newest first."""
     from millrun.operators.readings import window_readings
-    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.NARROW_TBF, P.NARROW_TAF,
+    return window_readings(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF,
                            bad=P.COUNTER_BAD, newest_first=True)
 
 

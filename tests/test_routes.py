@@ -80,3 +80,13 @@ def test_all_tags_in_one_plan_and_unknown_plant(spark):
     assert sorted((x.TagIndex, x["count"]) for x in out.collect()) == [(0, 2), (1, 0)]
     with pytest.raises(ValueError):
         routes.policy("NOPE")
+
+
+def test_catalog_nested_one_row_per_plant(spark):
+    from millrun.sources import fixtures as FX
+    tags = FX.tags(spark)
+    rows = {r.plant: r for r in routes.catalog(tags, FX.plants(spark)).collect()}
+    assert rows["WL"].description == "Wheel Loader Weight"
+    assert [t.TagIndex for t in rows["WL"].tags] == list(range(1, 8))
+    assert rows["BM2"].tags is None          # listed plant without tags in this table
+    assert [r.TagName for r in routes.tag_list(tags, "EVT").collect()][:2] == ["TAG_0", "TAG_1"]

@@ -24,12 +24,12 @@ def test_readings_round_trip_with_pruning(spark, capsys):
     d = tempfile.mkdtemp(prefix="millrun-test-")
     src = FX.readings(spark, SF_SMALL)
     H.write_readings(src, f"{d}/readings")
-    back = H.read_readings(spark, f"{d}/readings", plants=["EVT"], tbf=P.NARROW_TBF, taf=P.NARROW_TAF)
+    back = H.read_readings(spark, f"{d}/readings", plants=["EVT"], tbf=P.TBF, taf=P.TAF)
     back.explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(plant" in plan and "event_date" in plan
-    want = src.where(F.col("DateAndTime").between(F.lit(P.NARROW_TBF).cast("timestamp_ntz"),
-                                                  F.lit(P.NARROW_TAF).cast("timestamp_ntz")))
+    want = src.where(F.col("DateAndTime").between(F.lit(P.TBF).cast("timestamp_ntz"),
+                                                  F.lit(P.TAF).cast("timestamp_ntz")))
     assert _same(back.drop("event_date"), want)
 
 

@@ -12,10 +12,10 @@ from millrun.operators import gaps as G
 from millrun.operators.joins import known_only
 from millrun.operators.runhours import select_window
 from millrun.plans import params as P
-from millrun.session import checkpoint_dir
 from millrun.sources import fixtures as FX
 from millrun.streaming.alarms import daily_counts_stream, heartbeat_stream
 from millrun.streaming.gaps import gap_events_stream, with_timestamps
+from millrun.streaming.run import start
 
 CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 
@@ -35,9 +35,7 @@ def _write_in_time_order(df, ts, path):
 
 def _run(spark, df, mode):
     name = "q_" + uuid.uuid4().hex[:8]
-    ckpt = f"{checkpoint_dir(spark)}/stream-{name}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-           .option("checkpointLocation", ckpt).start())
+    q = start(df, name, mode=mode, fmt="memory")
     try:
         q.processAllAvailable()
     finally:
