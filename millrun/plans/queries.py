@@ -252,7 +252,9 @@ def run_hours_by_plant(spark, sf_dir):
     """A5/A6/A8 for two plants in one plan, each under its own configured
     policy: the event plant is filled at 600 s with 6 samples/h, the weighing
     plant (event data) is never filled and uses 360 samples/h."""
-    readings = _readings(spark, sf_dir, window=None).unionByName(FX.weighing_readings(spark, sf_dir))
+    from millrun.functions.time import parse_local
+    span = (parse_local(P.ALL_TBF), parse_local(P.ALL_TAF))
+    readings = _readings(spark, sf_dir, window=span).unionByName(FX.weighing_readings(spark, sf_dir))
     tags = FX.tags(spark)
     unknown = local_table(spark, [(FX.READINGS_PLANT, P.UNKNOWN_TAG)], REQUEST_SCHEMA)
     request = tags.select("plant", "TagIndex").unionByName(unknown)
