@@ -15,6 +15,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+# Spark type -> DuckDB type name of the same result column.
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -57,8 +62,15 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
         return out
     res = con.execute(ORACLE[name])
     d_cols = [c[0] for c in res.description]
+    d_types = {c[0]: str(c[1]) for c in res.description}
     d_rows = res.fetchall()
     out.update(oracle_rows=len(d_rows), columns_match=sorted(s_cols) == sorted(d_cols))
+    s_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    type_diff = {k: (s_types[k], d_types.get(k)) for k in s_types if s_types[k] != d_types.get(k)}
+    out["types_match"] = not type_diff
+    if type_diff:
+        out["types"] = type_diff
     if not out["columns_match"]:
         out["columns"] = (s_cols, d_cols)
     s_dig, d_dig = digest(s_cols, s_rows), digest(d_cols, d_rows)
@@ -85,7 +97,7 @@ def main(argv):
     bad = 0
     for n in names:
         r = compare(spark, sf_dir, n, con)
-        ok = r.get("hash_match", r.get("oracle", 1) is None)
+        ok = r.get("hash_match", r.get("oracle", 1) is None) and r.get("types_match", True)
         bad += not ok
         print(("OK  " if ok else "FAIL"), r, flush=True)
     print(f"{len(names) - bad}/{len(names)} match")

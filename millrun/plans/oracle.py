@@ -586,3 +586,27 @@ SELECT q.plant, q.TagIndex, CASE WHEN coalesce(a.nrows, 0) > 0 THEN t.TagName EN
        CASE WHEN q.plant = 'EVT' THEN coalesce(a.flaggedGaps, 0) END AS flaggedGaps,
        CASE WHEN q.plant = 'EVT' THEN coalesce(a.flagged_s, 0.0) END AS flagged_s
 FROM request q LEFT JOIN alltags t USING (plant, TagIndex) LEFT JOIN agg a USING (plant, TagIndex)"""
+
+
+# ------------------------------------------------------------- result types
+
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; Spark's returns BIGINT. Wrap
+    every ``count_if(...)`` in ``CAST(... AS BIGINT)`` so the result schemas
+    agree (balanced-parenthesis scan over this module's own SQL)."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tok)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"CAST({sql[j:k]} AS BIGINT)")
+        i = k
+
+
+ORACLE = {name: _bigint_counts(sql) for name, sql in ORACLE.items()}

@@ -23,3 +23,4 @@ def test_matches_oracle(spark, con, name):
     assert r["columns_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["hash_match"], r
+    assert r["types_match"], r
