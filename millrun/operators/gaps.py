@@ -89,7 +89,7 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
     if len(order) == 2:
         # (time, seq) as one DECIMAL(38,0) key, so the pick is a hash aggregate
         # (min of a struct would force a sort-based aggregate).
-        key = _order_key(order[0], order[1])
+        key = order_key(order[0], order[1])
         firsts = chunked.groupBy(*series, "_chunk").agg(F.struct(
             *[F.min_by(c, key).alias(c) for c in order + carried]).alias("_f"))
     else:
@@ -112,7 +112,7 @@ def _dec(v: int) -> Column:
     return F.lit(decimal.Decimal(v)).cast("decimal(38,0)")
 
 
-def _order_key(ts: str, seq: str) -> Column:
+def order_key(ts: str, seq: str) -> Column:
     """Order-preserving ``(ts, seq)`` key: micros * 10^20 + (seq shifted to
     [1, 2^64]; NULL seq -> 0, first as in ``ASC NULLS FIRST``). Fits
     DECIMAL(38,0) for any timestamp up to year 9999."""
