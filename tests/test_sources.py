@@ -33,7 +33,7 @@ def test_readings_round_trip_with_pruning(spark, capsys):
     assert _same(back.drop("event_date"), want)
 
 
-def test_alarm_log_round_trip_and_date_pruning(spark):
+def test_alarm_log_round_trip_and_date_pruning(spark, capsys):
     d = tempfile.mkdtemp(prefix="millrun-test-")
     ev = FX.alarm_events(spark, SF_SMALL)
     H.write_alarm_events(ev, f"{d}/alarms")
@@ -41,6 +41,10 @@ def test_alarm_log_round_trip_and_date_pruning(spark):
     a = A.noisy(back, as_of=P.AS_OF, hours=48, top=50)
     b = A.noisy(ev, as_of=P.AS_OF, hours=48, top=50)
     assert _same(a, b) and a.count() > 0
+    a.explain()
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(TicksTimeStamp," in plan          # ticks bound pushed to Parquet
+    assert "PartitionFilters: [isnotnull(event_date" in plan     # day directories pruned
 
 
 def test_json_readings(spark):
