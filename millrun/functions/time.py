@@ -28,10 +28,14 @@ def _c(x) -> Column:
 
 
 def ts_lit(value) -> Column:
-    """A TIMESTAMP_NTZ literal from ``datetime`` or ISO text."""
+    """A TIMESTAMP_NTZ literal from ``datetime`` or plant-local text.
+
+    Built from ISO text: a string -> NTZ cast never consults a time zone,
+    whereas ``lit(datetime)`` would pass through the Python and session zones.
+    """
     if isinstance(value, str):
         value = parse_local(value)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def micros_since_epoch(ts) -> Column:

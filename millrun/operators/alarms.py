@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from millrun.functions.predicates import (condition_family, is_fault_prefix, is_quality_fault,
                                           not_fault_noise)
-from millrun.functions.time import file_ticks_py, local_date, local_to_utc, minutes_between, shift_hours
+from millrun.functions.time import (file_ticks_py, local_date, local_to_utc, minutes_between,
+                                   shift_hours, ts_lit)
 from millrun.sources import registry as R
 
 RECENT_COLUMNS = ("SourceName", "ConditionName", "SubConditionName", "Severity", "Priority",
@@ -212,7 +213,7 @@ def heartbeat(events: DataFrame, *, as_of: dt.datetime,
     One global aggregate; partial per task."""
     agg = events.agg(F.max_by("EventTimeStamp", "TicksTimeStamp").alias("_newest"),
                      F.count(F.lit(1)).alias("total_rows"))
-    mins = minutes_between(F.col("_newest"), F.lit(as_of).cast("timestamp_ntz"))
+    mins = minutes_between(F.col("_newest"), ts_lit(as_of))
     return agg.select(_shifted("_newest", "newest_event", tz_hours),
                       mins.alias("minutes_since_last"), "total_rows",
                       F.coalesce(mins < R.HEARTBEAT_OK_MINUTES, F.lit(False)).alias("logging_ok"))

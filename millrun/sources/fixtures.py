@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrun import schemas
-from millrun.functions.time import file_ticks, trunc_ms
+from millrun.functions.time import file_ticks, trunc_ms, ts_lit
 from millrun.sources import registry as R
 from millrun.sources.local import local_table
 
@@ -52,8 +52,8 @@ def readings(spark: SparkSession, sf_dir: str, window: tuple | None = None) -> D
     ev = _table(spark, sf_dir, "events")
     if window is not None:
         lo, hi = window
-        ev = ev.where((F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-                      & (F.col("ts") < F.lit(hi + dt.timedelta(milliseconds=1)).cast("timestamp_ntz")))
+        ev = ev.where((F.col("ts") >= ts_lit(lo))
+                      & (F.col("ts") < ts_lit(hi + dt.timedelta(milliseconds=1))))
     code = F.col("event_id") % 50
     status = (F.when(code == 0, "E").when(code == 1, "U").when(code == 2, "S")
               .when(code == 3, F.lit(None).cast("string")).otherwise("G"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrun import schemas
-from millrun.functions.time import iso_text_to_ntz, parse_local, trunc_ms
+from millrun.functions.time import iso_text_to_ntz, parse_local, trunc_ms, ts_lit
 
 READINGS_PARTITIONS = ("plant", "event_date")
 ALARM_PARTITIONS = ("event_date",)
@@ -61,8 +61,7 @@ def read_readings(spark: SparkSession, path: str, plants: Sequence[str] | None =
     if tbf is not None and taf is not None:
         lo, hi = _date_bounds(tbf, taf)
         df = df.where(F.col("event_date").between(F.lit(lo.date()), F.lit(hi.date())))
-        df = df.where(F.col("DateAndTime").between(F.lit(lo).cast("timestamp_ntz"),
-                                                   F.lit(hi).cast("timestamp_ntz")))
+        df = df.where(F.col("DateAndTime").between(ts_lit(lo), ts_lit(hi)))
     return df
 
 

@@ -8,6 +8,7 @@ and folds into the plan like any literal.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,11 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructT
         marks = []
         for j, v in enumerate(row):
             key = f"p{i}_{j}"
-            args[key] = list(v) if isinstance(v, tuple) else v
+            if isinstance(v, tuple):
+                v = list(v)
+            elif isinstance(v, (dt.datetime, dt.date)):
+                v = v.isoformat(sep=" ") if isinstance(v, dt.datetime) else v.isoformat()
+            args[key] = v            # text, cast below: no time zone is consulted
             marks.append(f":{key}")
         tuples.append("(" + ", ".join(marks) + ")")
     cols = ", ".join(f"CAST(`c{j}` AS {f.dataType.simpleString()}) AS `{f.name}`"
