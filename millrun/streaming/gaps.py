@@ -6,7 +6,8 @@ reading, and each consecutive pair is classified exactly as in the batch
 operator. Gaps that are not normal are emitted as they close: bridged ones
 with the number of synthetic rows they owe, flagged ones with their reason.
 A reading older than the tag's last accepted reading arrives too late to be
-paired and is dropped; the drop is counted in the state.
+paired and is dropped; the drop is counted in the state and reported as a
+``late readings dropped`` row carrying the number dropped in that batch.
 
 Per-key work is bounded by the micro-batch size (``maxFilesPerTrigger`` /
 ``maxBytesPerTrigger`` on the source), so a hot tag costs one larger group
@@ -34,7 +35,9 @@ OUTPUT = T.StructType([
     T.StructField("gap_s", T.DoubleType()),
     T.StructField("kind", T.StringType()),
     T.StructField("n_fill", T.IntegerType()),
+    T.StructField("late_dropped", T.IntegerType()),
 ])
+LATE = "late readings dropped"
 STATE = T.StructType([
     T.StructField("last_ms", T.LongType()),
     T.StructField("last_us", T.LongType()),
@@ -54,11 +57,12 @@ def _classifier(cadence_s: float, cap_s: float, tolerance: float):
         plant, tag = key
         batch = pd.concat(list(pdfs), ignore_index=True)
         batch = batch.sort_values(["_us", "seq"], kind="mergesort")
-        late = 0
+        late = dropped = 0
         if state.exists:
             last_ms, last_us, last_seq, last_val, late = state.get
             newer = (batch["_us"] > last_us) | ((batch["_us"] == last_us) & (batch["seq"] > last_seq))
-            late += int((~newer).sum())
+            dropped = int((~newer).sum())
+            late += dropped
             batch = batch[newer]
             ms = np.concatenate([[last_ms], batch["_ms"].to_numpy(dtype="int64")])
             us = np.concatenate([[last_us], batch["_us"].to_numpy(dtype="int64")])
@@ -69,6 +73,10 @@ def _classifier(cadence_s: float, cap_s: float, tolerance: float):
             us = batch["_us"].to_numpy(dtype="int64")
             seq = batch["seq"].to_numpy(dtype="int64")
             val = batch["Val"].to_numpy(dtype="float64")
+        if dropped:
+            yield pd.DataFrame({"plant": [plant], "TagIndex": [int(tag)], "from_ms": [None],
+                                "to_ms": [None], "gap_s": [None], "kind": [LATE], "n_fill": [0],
+                                "late_dropped": [dropped]})
         if len(ms) == 0:
             return
         state.update((int(ms[-1]), int(us[-1]), int(seq[-1]), float(val[-1]), int(late)))
@@ -90,7 +98,7 @@ def _classifier(cadence_s: float, cap_s: float, tolerance: float):
         yield pd.DataFrame({
             "plant": plant, "TagIndex": int(tag),
             "from_ms": ms[:-1][keep], "to_ms": ms[1:][keep], "gap_s": gap[keep] / 1000.0,
-            "kind": kind[keep], "n_fill": n_fill[keep],
+            "kind": kind[keep], "n_fill": n_fill[keep], "late_dropped": 0,
         })
 
     return fn
@@ -117,4 +125,4 @@ def with_timestamps(gap_events: DataFrame) -> DataFrame:
         "plant", "TagIndex",
         F.timestamp_add("MILLISECOND", F.col("from_ms"), F.expr(EPOCH)).alias("from_ts"),
         F.timestamp_add("MILLISECOND", F.col("to_ms"), F.expr(EPOCH)).alias("to_ts"),
-        "gap_s", "kind", "n_fill")
+        "gap_s", "kind", "n_fill", "late_dropped")

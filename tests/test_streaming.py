@@ -82,4 +82,20 @@ def test_gap_events_stream_matches_batch(spark):
         F.col("next_DateAndTime").alias("to_ts"), (F.col("gap_ms") / 1000.0).alias("gap_s"),
         F.col("gap_kind").alias("kind"), "n_fill")
     assert got.count() > 0
-    assert _same(want, got)
+    assert _same(want, got.where(F.col("kind") != "late readings dropped").drop("late_dropped"))
+
+
+def test_gap_stream_counts_late_readings(spark):
+    import datetime as dt
+    from conftest import readings_df
+    d = tempfile.mkdtemp(prefix="millrun-stream-")
+    base = dt.datetime(2026, 1, 1)
+    readings_df(spark, [(100, 1.0), (110, 1.0)], base=base).coalesce(1).write.mode("append").parquet(d)
+    readings_df(spark, [(50, 1.0), (60, 1.0), (300, 1.0)], base=base).coalesce(1) \
+        .write.mode("append").parquet(d)
+    src = spark.readStream.schema(schemas.READINGS).option("maxFilesPerTrigger", 1).parquet(d)
+    got = _run(spark, gap_events_stream(src, 10, 90, 0.2), "append").collect()
+    late = [r for r in got if r.kind == "late readings dropped"]
+    assert [r.late_dropped for r in late] == [2]
+    assert [(r.from_ms is not None, r.kind) for r in got if r.kind != "late readings dropped"] == \
+        [(True, "exceeds cap")]
