@@ -90,3 +90,33 @@ def test_catalog_nested_one_row_per_plant(spark):
     assert [t.TagIndex for t in rows["WL"].tags] == list(range(1, 8))
     assert rows["BM2"].tags is None          # listed plant without tags in this table
     assert [r.TagName for r in routes.tag_list(tags, "EVT").collect()][:2] == ["TAG_0", "TAG_1"]
+
+
+def test_listing_and_statistics_routes(spark):
+    pts = [(0, 10, "G"), (10, 20, "E"), (20, 30, "G"), (30, 40, "G")]
+    r = _readings(spark, "CT7_con", pts)
+    t = _tags(spark, "CT7_con")
+    a = _one(routes.avg(spark, r, t, "CT7_con", 0, TBF, TAF))
+    assert (a.minVal, a.maxVal, a.n) == (10.0, 40.0, 3) and abs(a.avgVal - 80 / 3) < 1e-12
+    c = _one(routes.cal_cap(spark, r, t, "CT7_con", 0, TBF, TAF))
+    assert c.cap == 80 / 6
+    missing = routes.avg(spark, r, t, "CT7_con", 9, TBF, TAF).first()
+    assert missing.tagName is None and missing.avgVal is None and missing.n == 0
+    assert routes.latest(r, t, "CT7_con", 0).first().Val == 40.0
+    assert routes.all_newest(r, t, "CT7_con").count() == 3
+    asc = [x.Val for x in routes.window(r, t, "CT7_con", 0, TBF, TAF, ascending=True).collect()]
+    assert asc == [10.0, 30.0, 40.0]
+
+
+def test_weighing_routes(spark):
+    names = [n for n, _ in R.WEIGHING_TAGS]
+    t = local_table(spark, [("WL", i + 1, n) for i, n in enumerate(names)], schemas.TAGS)
+    r = _readings(spark, "WL", [(0, 7, "G"), (0, 25, "G"), (5, 8, "G"), (5, 0, "G")])
+    r = r.withColumn("TagIndex", (r.seq % 2 * 2 + 1).cast("int"))   # tags 1 (id) and 3 (Weight)
+    cycles, summary = routes.pivot_filter(r, t, TBF, TAF, minWeight="0")
+    assert cycles.count() == 2 and summary.first().cycles == 2
+    d = routes.datacal(spark, r, t, 3, TBF, TAF).first()
+    assert d["count"] == 1 and d.avgVal == 25.0                   # zero weight kept in avg
+    assert routes.long_form(r, t, "WL", TBF, TAF).count() == 4
+    with pytest.raises(ValueError):
+        routes.pivot_filter(r, t, TBF, TAF, colour=1)

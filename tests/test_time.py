@@ -63,3 +63,11 @@ def test_iso_text(spark):
     got = [r.t for r in df.select(TM.iso_text_to_ntz("s").alias("t")).collect()]
     assert got == [dt.datetime(2026, 7, 10, 1), dt.datetime(2026, 7, 10, 8), dt.datetime(2026, 7, 10, 1)]
     assert F is not None
+
+
+def test_epoch_millis_and_offset(spark):
+    df = spark.createDataFrame([(1783260000123,)], "ms long")
+    r = df.select(TM.epoch_millis_to_ntz("ms").alias("t"),
+                  TM.with_offset_minutes(TM.epoch_millis_to_ntz("ms"), 420).alias("local")).first()
+    assert r.t == dt.datetime(2026, 7, 5, 14, 0, 0, 123000)
+    assert r.local == dt.datetime(2026, 7, 5, 21, 0, 0, 123000)
