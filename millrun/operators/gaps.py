@@ -72,11 +72,33 @@ class FillOptions:
                    tol if tol is not None and tol >= 0 else R.GAP_TOLERANCE)
 
 
+# Adaptive chunking: no chunk of a series holds more than about this many rows.
+AUTO_CHUNK_ROWS = 4_000_000
+MAX_SPLIT_LEVEL = 16          # a day split at most 2^16 ways (~1.3 s chunks)
+
+
+def chunk_widths(df: DataFrame, series: Sequence[str], ts: str = "DateAndTime",
+                 target_rows: int = AUTO_CHUNK_ROWS) -> DataFrame:
+    """Per series, a chunk width in ms: one day divided by the smallest power of
+    two that keeps the series' busiest day under ``target_rows`` per chunk.
+    One hash aggregate over (series, day) -- a partial row per task and key --
+    then one row per series."""
+    day = F.floor(millis_since_epoch(ts) / F.lit(MS_PER_DAY))
+    per_day = df.groupBy(*series, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("_peak") / F.lit(float(target_rows)))), F.lit(0)),
+                    F.lit(MAX_SPLIT_LEVEL)).cast("int")
+    return (per_day.groupBy(*series).agg(F.max("_n").alias("_peak"))
+            .select(*series, (F.lit(MS_PER_DAY) / F.pow(F.lit(2), level)).cast("long").alias("_width")))
+
+
 def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequence[str] = ORDER,
                    carry: Sequence[str] = ("DateAndTime", "Val"),
-                   chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+                   chunk_ms: int | str | None = MS_PER_DAY,
+                   target_rows: int = AUTO_CHUNK_ROWS) -> DataFrame:
     """Add ``next_<c>`` for each ``c`` in ``carry`` from the next row of the
-    same series in ``order``. ``chunk_ms=None`` uses one window per series."""
+    same series in ``order``. ``chunk_ms`` is a fixed chunk width, ``"auto"``
+    for a per-series width sized from the data (dense hot series get narrow
+    chunks), or None for one window per series."""
     series, order = list(series), list(order)
     carried = [c for c in carry if c not in order]
     if chunk_ms is None:
@@ -84,7 +106,16 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
         return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
 
     ts = order[0]
-    chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / F.lit(chunk_ms)).cast("long"))
+    if chunk_ms == "auto":
+        from millrun.operators.joins import checked_broadcast
+        widths = checked_broadcast(chunk_widths(df, series, ts, target_rows))
+        df = df.join(widths, series, "left")
+        width = F.coalesce(F.col("_width"), F.lit(MS_PER_DAY))
+    else:
+        width = F.lit(int(chunk_ms))
+    chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / width).cast("long"))
+    if chunk_ms == "auto":
+        chunked = chunked.drop("_width")
     # First row of every non-empty chunk (partial aggregate: tiny shuffle).
     if len(order) == 2:
         # (time, seq) as one DECIMAL(38,0) key, so the pick is a hash aggregate

@@ -18,11 +18,19 @@ def test_chunked_successor_matches_unchunked(spark):
     df = hot.unionByName(cold)
     cols = ["plant", "TagIndex", "DateAndTime", "seq", "next_DateAndTime", "next_Val"]
     a = G.with_successor(df, chunk_ms=None).select(cols)
-    for chunk in (G.MS_PER_DAY, 3_600_000, 60_000):
-        b = G.with_successor(df, chunk_ms=chunk).select(cols)
+    for chunk in (G.MS_PER_DAY, 3_600_000, 60_000, "auto"):
+        b = G.with_successor(df, chunk_ms=chunk, target_rows=50).select(cols)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_auto_chunks_split_only_dense_series(spark):
+    hot = readings_df(spark, [(i, 1.0) for i in range(2000)], tag=1)       # 2000 rows in a day
+    cold = readings_df(spark, [(i * 600, 1.0) for i in range(100)], tag=2)  # 100 rows in a day
+    w = {r.TagIndex: r._width for r in G.chunk_widths(hot.unionByName(cold), G.SERIES,
+                                                         target_rows=500).collect()}
+    assert w[2] == G.MS_PER_DAY and w[1] == G.MS_PER_DAY // 4
+
+
 def test_fill_identical_under_chunking(spark):
     pts = [(i * 37 % 5000, float(i % 3)) for i in range(400)]
     df = readings_df(spark, pts)
