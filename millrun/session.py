@@ -22,15 +22,42 @@ BASE_CONF = {
 }
 
 
+# Settings for the full-scale job (~100 TB of readings, ~1000 executors). Scan
+# splits are large because scans are column-pruned to 4-6 columns; AQE starts
+# from many shuffle partitions and coalesces them to ~256 MB, and splits skewed
+# join partitions. Speculation re-runs stragglers; decommissioning migrates
+# shuffle blocks off executors that are being lost; RocksDB keeps the streaming
+# per-tag state off the JVM heap.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32768",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.speculation": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "millrun", extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build a local one with ``BASE_CONF``.
+                app_name: str = "millrun", extra: dict | None = None,
+                profile: str = "local") -> SparkSession:
+    """Return the active session, or build one with ``BASE_CONF`` (plus
+    ``CLUSTER_CONF`` when ``profile="cluster"``).
 
-    On a cluster the session already exists (spark-submit); the settings are
-    then applied to it at runtime where Spark allows it.
+    On a cluster the session already exists (spark-submit); the SQL settings
+    are then applied to it at runtime; core settings (speculation,
+    decommissioning, state store) belong in the submit configuration.
     """
     active = SparkSession.getActiveSession()
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
