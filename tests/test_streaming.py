@@ -99,3 +99,23 @@ def test_gap_stream_counts_late_readings(spark):
     assert [r.late_dropped for r in late] == [2]
     assert [(r.from_ms is not None, r.kind) for r in got if r.kind != "late readings dropped"] == \
         [(True, "exceeds cap")]
+
+
+def test_gap_stream_on_rocksdb_state_store(spark):
+    import datetime as dt
+    from conftest import readings_df
+    from millrun.session import CLUSTER_CONF
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, CLUSTER_CONF[key])
+    try:
+        d = tempfile.mkdtemp(prefix="millrun-stream-")
+        base = dt.datetime(2026, 1, 1)
+        readings_df(spark, [(0, 1.0), (10, 1.0)], base=base).coalesce(1).write.mode("append").parquet(d)
+        readings_df(spark, [(40, 1.0), (500, 1.0)], base=base).coalesce(1).write.mode("append").parquet(d)
+        src = spark.readStream.schema(schemas.READINGS).option("maxFilesPerTrigger", 1).parquet(d)
+        got = sorted((r.kind, r.n_fill) for r in _run(spark, gap_events_stream(src, 10, 90, 0.2),
+                                                       "append").collect())
+        assert got == [("bridged", 2), ("exceeds cap", 0)]
+    finally:
+        spark.conf.set(key, old)
