@@ -126,6 +126,8 @@ def active(events: DataFrame, *, as_of: dt.datetime, hours: int = R.ACTIVE_HOURS
 
     The latest event is a grouped ``max(struct(ticks, id, ...))``: combined
     map-side, so a source with a third of the log is not one window partition.
+    (It is a sort-based partial aggregate because the payload has strings; each
+    task sorts only its own split and ships one row per key.)
     """
     check_range("hours", hours, R.HOURS_RANGE)
     e = in_ticks(events, as_of - dt.timedelta(hours=hours), None).where(not_fault_noise())
