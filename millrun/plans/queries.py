@@ -69,6 +69,12 @@ def _run_hours(spark, sf_dir, **kw) -> DataFrame:
                                     request=_request(spark), **args)
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap-filled run-hours, tariff buckets and fill audit per tag, one plan."""
+    with size_check_scope():
+        return _run_hours(spark, sf_dir)
+
+
 @register("run_hours")
 def run_hours(spark, sf_dir):
     """A5 + A8: gap-filled run-hours with the fill audit (count routes' default)."""
