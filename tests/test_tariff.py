@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrun.functions.tariff import bucket_of, holiday_flag, with_holiday
 from millrun.sources import registry as R
@@ -54,4 +53,3 @@ def test_calendar_dataframe_join_matches_literal_list(spark):
     a = with_holiday(df, R.holiday_dates()).orderBy("DateAndTime").collect()
     b = with_holiday(df, cal).orderBy("DateAndTime").collect()
     assert [r.is_holiday for r in a] == [r.is_holiday for r in b]
-    assert F is not None
