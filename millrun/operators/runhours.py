@@ -105,6 +105,17 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
     are neither filled nor flagged and have NULL audit columns. Readings of a
     plant missing from the configuration are dropped.
     """
+    x, cfg = fill_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
+                           tolerance=tolerance, chunk_ms=chunk_ms)
+    return run_hours_from_filled(x, tags, cfg, threshold=threshold, tbf=tbf, taf=taf, op=op,
+                                 holidays=holidays, request=request, return_hours=return_hours)
+
+
+def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *, tbf, taf,
+                  cap_s=None, tolerance=None, chunk_ms: int | None = MS_PER_DAY):
+    """Per-plant F1 + gap fill: returns the filled rows (with ``_pph`` and
+    ``_fill`` columns from the configuration) and the broadcast configuration.
+    Plants that never fill pass through unfilled and unflagged."""
     from millrun.functions.predicates import good_status_by_config
     opts = G.FillOptions.resolve(None, cap_s, tolerance)
     cfg = plant_config.select(
@@ -116,6 +127,13 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
     r = known_only(r.where(good_status_by_config("_bad")), tags)
     x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, chunk_ms=chunk_ms,
                    enabled=F.col("_fill"))
+    return x, cfg
+
+
+def run_hours_from_filled(x: DataFrame, tags: DataFrame, cfg: DataFrame, *, threshold: float,
+                          tbf, taf, op: str = ">", holidays=None, request: DataFrame | None = None,
+                          return_hours: bool = True) -> DataFrame:
+    """A5/A6 + A8 summary of rows produced by ``fill_by_plant``."""
     per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex"], return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
     out = out.join(cfg.select("plant", "_fill"), "plant", "left")

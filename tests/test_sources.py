@@ -66,3 +66,20 @@ def test_gap_report_job_matches_queries(spark):
     assert _same(audit, REGISTRY["gap_fill_audit"](spark, SF_SMALL))
     flagged = spark.read.parquet(paths["flagged_gaps"])
     assert _same(flagged, REGISTRY["flagged_gaps"](spark, SF_SMALL))
+
+
+def test_daily_report_job_end_to_end(spark):
+    from millrun.plans.jobs import main
+    d = tempfile.mkdtemp(prefix="millrun-test-")
+    H.write_readings(FX.readings(spark, SF_SMALL), f"{d}/readings")
+    FX.tags(spark).write.parquet(f"{d}/tags")
+    rc = main(["--readings", f"{d}/readings", "--tags", f"{d}/tags", "--out", f"{d}/out",
+               "--tbf", P.TBF, "--taf", P.TAF, "--threshold", str(P.THRESHOLD), "--profile", "local",
+               "--cap", str(P.CAP_S), "--tolerance", str(P.TOLERANCE)])
+    assert rc == 0
+    hours = spark.read.parquet(f"{d}/out/run_hours")
+    cols = ["plant", "TagIndex", "count", "hour", "realReadings", "filledReadings", "flaggedGaps"]
+    want = REGISTRY["run_hours_by_plant"](spark, SF_SMALL).where("plant = 'EVT' AND TagIndex < 7")
+    assert _same(want.select(*cols), hours.where("plant = 'EVT'").select(*cols))
+    audit = spark.read.parquet(f"{d}/out/fill_audit")
+    assert _same(audit, REGISTRY["gap_fill_audit"](spark, SF_SMALL))
