@@ -73,7 +73,7 @@ def daily_report_job(spark: SparkSession, readings_path: str, tags_path: str, ou
 
 
 def main(argv=None) -> int:
-    """``spark-submit -m millrun.plans.jobs --readings P --tags P --out P
+    """``python -m millrun.plans.jobs --readings P --tags P --out P
     --tbf '2026-07-06 00:00:00' --taf '2026-07-06 23:59:59' --threshold 0``"""
     import argparse
 
