@@ -25,6 +25,19 @@ def size_check_scope():
         _SIZE_MEMO.reset(token)
 
 
+def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True if ``df`` provably has at most ``max_rows`` rows (counted once per
+    plan build, see ``size_check_scope``)."""
+    memo = _SIZE_MEMO.get()
+    key = (df.semanticHash(), max_rows) if memo is not None else None
+    if key is not None and key in memo:
+        return memo[key] <= max_rows
+    n = df.limit(max_rows + 1).count()
+    if key is not None:
+        memo[key] = n
+    return n <= max_rows
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it provably holds at most ``max_rows`` rows.
 
@@ -32,15 +45,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     side. Larger sides are returned unhinted, so Catalyst plans a shuffle join
     (with AQE skew-join splitting) instead of shipping them to every executor.
     """
-    memo = _SIZE_MEMO.get()
-    key = (df.semanticHash(), max_rows) if memo is not None else None
-    if key is not None and key in memo:
-        n = memo[key]
-    else:
-        n = df.limit(max_rows + 1).count()
-        if key is not None:
-            memo[key] = n
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def with_tag_names(readings: DataFrame, tags: DataFrame, how: str = "inner",
@@ -61,11 +66,17 @@ def for_requested(request: DataFrame, per_tag: DataFrame, tags: DataFrame,
                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """One output row per requested (plant, TagIndex). ``per_tag`` holds the
     aggregates of known tags; unknown or empty tags get NULLs (callers coalesce
-    counts to 0) and a NULL TagName."""
+    counts to 0) and a NULL TagName.
+
+    ``per_tag`` is grouped by (plant, TagIndex) over readings already
+    semi-joined to ``tags``, so it has at most as many rows as the tag
+    dimension: when that dimension passes the size check, so does ``per_tag``,
+    and both joins are broadcasts."""
     names = tags.select("plant", "TagIndex", F.col("TagName").alias("_known_name"))
     req = request.select("plant", "TagIndex").distinct()
-    req = req.join(checked_broadcast(names, max_rows), ["plant", "TagIndex"], "left")
-    return req.join(per_tag, ["plant", "TagIndex"], "left")
+    small = fits(names, max_rows)
+    req = req.join(F.broadcast(names) if small else names, ["plant", "TagIndex"], "left")
+    return req.join(F.broadcast(per_tag) if small else per_tag, ["plant", "TagIndex"], "left")
 
 
 def assign_era(readings: DataFrame, eras: DataFrame | None, ts: str = "DateAndTime",
