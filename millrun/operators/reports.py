@@ -86,10 +86,13 @@ def completeness(readings: DataFrame, tags: DataFrame, tbf, taf, cadence_s: floa
     per_day = r.groupBy(*SERIES, F.to_date("DateAndTime").alias("day")).agg(
         F.count(F.lit(1)).alias("samples"))
     span = per_day.groupBy(*SERIES).agg(F.min("day").alias("_d0"), F.max("day").alias("_d1"))
-    days = span.select(*SERIES, F.explode(F.sequence("_d0", "_d1")).alias("day"))
-    out = days.join(per_day, [*SERIES, "day"], "left")
+    days = span.select(*SERIES, F.explode(F.sequence("_d0", "_d1")).alias("day"),
+                       F.lit(0).cast("long").alias("samples"))
+    # Every logged day lies in its tag's span, so a union plus a hash aggregate
+    # gives each day its count (0 when nothing was logged): no join, no sort.
+    out = days.unionByName(per_day).groupBy(*SERIES, "day").agg(F.sum("samples").alias("samples"))
     expected = F.lit(86400.0 / float(cadence_s))
-    samples = F.coalesce(F.col("samples"), F.lit(0))
+    samples = F.col("samples")
     return out.select(*SERIES, "day", expected.alias("expected"), samples.alias("samples"),
                       (expected - samples).alias("missing"),
                       (samples / expected * 100.0).alias("completeness_pct"))
