@@ -1,13 +1,17 @@
-"""Token ids of whole texts by a public byte-level BPE file, with a piece cache.
+"""Token ids of texts by a public byte-level BPE file.
 
-The pre-token pattern always starts a new pre-token at a space that is followed
-by a character other than white space, so a text can be cut there and its pieces
-encoded apart. Pieces repeat, so most are dictionary hits; the ids equal those
-of encoding the whole text.
+Texts are encoded with the rank file of the same vocabulary where there is one
+beside the tokenizer file (it is faster and gives the same ids); texts that hold
+the string of a special token always go through the tokenizer file itself.
+
+``pieces`` cuts a text at every space that is followed by a character other than
+white space. The pre-token pattern always starts a new pre-token there, so the
+pieces can be encoded apart and an edit only touches the pieces around it.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 
 import numpy as np
@@ -29,7 +33,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path or default_path())
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, int] = {}
+        ranks = (path or default_path()).removesuffix(".json") + ".tiktoken"
+        self._ranks = _rank_encoding(ranks) if os.path.exists(ranks) else None
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
@@ -38,39 +44,56 @@ class PieceEncoder:
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self._special)
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at every space that is followed by a non-space character."""
-        out: list[str] = []
-        for k, p in enumerate(text.split(" ")):
-            if not k:
-                out.append(p)
-            elif p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out if out[0] else out[1:]
-
-    def encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece."""
-        known = self._known
-        got = [known.get(p) for p in pieces]
-        if None in got:
-            if len(known) > MAX_PIECES:
-                known.clear()
-            new = list({p for p, g in zip(pieces, got) if g is None})
-            ids = dict(zip(new, (np.array(e.ids, dtype="<u4").tobytes()
-                                 for e in self._tok.encode_batch(new, add_special_tokens=False))))
-            known.update((p, b) for p, b in ids.items() if len(p) <= MAX_PIECE)
-            got = [ids[p] if g is None else g for p, g in zip(pieces, got)]
-        return got
+    def ordinary(self, text: str) -> np.ndarray:
+        """Ids of a text in which the strings of special tokens are ordinary text."""
+        if self._ranks is not None:
+            return self._ranks.encode_to_numpy(text, disallowed_special=())
+        self._tok.encode_special_tokens = True
+        try:
+            return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        finally:
+            self._tok.encode_special_tokens = False
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; equal to ``whole``."""
         if not text:
             return b""
-        if self.has_special(text):
-            return self.whole(text)
-        return b"".join(self.encoded(self.pieces(text)))
+        return self.whole(text) if self.has_special(text) else self.ordinary(text).astype("<u4").tobytes()
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece; short pieces are remembered."""
+        known, out = self._known, []
+        for p in pieces:
+            n = known.get(p)
+            if n is None:
+                n = len(self.ordinary(p))
+                if len(p) <= MAX_PIECE:
+                    if len(known) >= MAX_PIECES:
+                        known.clear()
+                    known[p] = n
+            out.append(n)
+        return out
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut at every space that is followed by a character other than white space."""
+    out: list[str] = []
+    for k, p in enumerate(text.split(" ")):
+        if not k:
+            out.append(p)
+        elif p and not p[0].isspace():
+            out.append(" " + p)
+        else:
+            out[-1] += " " + p
+    return out if out[0] else out[1:]
+
+
+def _rank_encoding(path: str):
+    import public_tokenizers
+    import tiktoken
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _ENCODERS: dict[str | None, PieceEncoder] = {}
