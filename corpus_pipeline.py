@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import decontaminate, packing, simhash, toxicity
+from millrun.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
 from millrun.llm.common import table, written
 
 #: No SQL: toxicity is a trained model and packing needs a tokenizer.
@@ -27,6 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.representatives(docs, shingle=4, max_bits=4)
 
 
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a string of 50 bytes that an earlier document has too go."""
+    return suffix_dedup.deduplicated(docs, length=50)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
     return decontaminate.is_clean(docs, table(spark, sf_dir, "benchmark"), width=10)
@@ -40,6 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeats),
     ("decontamination", drop_benchmark),
     ("packing", pack),
 ]
