@@ -43,7 +43,9 @@ from millrun.llm.common import parts, ship, utf8, written
 #: Bytes of an anchor; bytes and documents of a pack; packs that make an anchor hot.
 GRAM, PACK_BYTES, PACK_DOCS, HOT_PACKS = 16, 4 << 20, 20_000, 256
 #: Bytes of contexts sorted at once; ranks and symbols must stay below 2**21.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
+#: Bytes hashed at once, so that the arrays stay in a processor's cache.
+HASH_BYTES = 1 << 15
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
 
@@ -62,7 +64,7 @@ def dc_order(text: np.ndarray, depth: int) -> np.ndarray:
     sample = np.concatenate([one, two])
     names, named = np.unique(t[sample] << 42 | t[sample + 1] << 21 | t[sample + 2], return_inverse=True)
     if depth <= 3 or len(names) == len(sample):
-        by_rank = np.argsort(named, kind="stable")
+        by_rank = np.argsort(named)
     else:
         by_rank = dc_order(named + 1, -(-depth // 3))
     rank = np.zeros(n + 4, np.int64)
@@ -70,7 +72,7 @@ def dc_order(text: np.ndarray, depth: int) -> np.ndarray:
     order12 = sample[by_rank]
     order12 = order12[order12 < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(t[zero] << 21 | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(t[zero] << 21 | rank[zero + 1])]
     in_one = order12 % 3 == 1
     o1, o2 = order12[in_one], order12[~in_one]
     before = (np.searchsorted(t[o1] << 21 | rank[o1 + 1], t[zero] << 21 | rank[zero + 1])
@@ -151,57 +153,70 @@ def _packs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"pack long, rest array<{kind}>, ids binary, sizes binary, body binary")
 
 
+def _hashed(raw: bytes, at: np.ndarray | None, a: int = 0, b: int = 0) -> np.ndarray:
+    """Hashes of the runs of ``GRAM`` bytes at the places ``at``, or at all places from ``a`` to ``b``."""
+    words = np.ndarray((max(len(raw) - 7, 0),), dtype="<u8", buffer=raw, strides=(1,))
+    h = (words[a:b] if at is None else words[at]) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    for k in range(8, GRAM, 8):
+        h += words[a + k:b + k] if at is None else words[at + k]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 class Pack:
     """One pack with the anchors of all its strings."""
 
     def __init__(self, ids: bytes, sizes: bytes, body: bytes, length: int):
         self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
-        self.raw = zstandard.decompress(body) if len(body) else b""
+        self.raw = zstandard.decompress(body)
         self.ends = np.cumsum(self.sizes)
         n = len(self.raw)
         self.body = np.frombuffer(self.raw, np.uint8)
-        self.start = self.end = self.anchor = np.empty(0, np.int64)
-        self.hash = np.empty(0, np.uint64)
-        if n < length:
-            self.doc = np.empty(0, np.int64)
-            return
-        words = np.ndarray((n - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
-        h = words[:n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        for k in range(8, GRAM, 8):
-            h += words[k:n - GRAM + 1 + k]
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        key = h & ~_PLACE | np.arange(len(h), dtype=np.uint64)
-        width, span = length - GRAM + 1, 1  # grams of a string; grams covered so far
-        while span < width:
-            step = min(span, width - span)
-            key = np.minimum(key[:-step], key[step:])
-            span += step
         room = np.maximum(self.sizes - length + 1, 0)
         first = self.ends - self.sizes
-        doc = np.repeat(np.arange(len(room)), room)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(room) - room, room) + first[doc]
-        if not len(at):
-            self.doc = np.empty(0, np.int64)
-            return
-        place = (key[at] & _PLACE).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-        self.start, self.doc, self.anchor = at[new], doc[new], place[new]
-        self.end = at[np.r_[new[1:], len(at)] - 1] + 1  # after the last string's start
-        self.hash = h[self.anchor]
-
-    def distinct(self) -> np.ndarray:
-        """The different anchor hashes of the pack, sorted."""
-        return np.unique(self.hash)
+        breaks, anchors = self._runs(n, length)
+        at = np.union1d(breaks, np.concatenate([first, first + room]))
+        at = at[at < n - length + 1]
+        doc = np.searchsorted(first, at, side="right") - 1
+        last = np.r_[at[1:], n - length + 1] if len(at) else at
+        use = np.flatnonzero(at < (first + room)[doc])
+        self.start, self.end, self.doc = at[use], last[use], doc[use]
+        self.anchor = anchors[np.searchsorted(breaks, self.start, side="right") - 1]
+        self.hash = _hashed(self.raw, self.anchor)
+        #: the different anchor hashes, sorted, and which one each run has
+        self.distinct, self.which = np.unique(self.hash, return_inverse=True)
+
+    def _runs(self, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the anchor of the string at a place changes, and the anchors from there on."""
+        width = length - GRAM + 1  # runs of GRAM bytes in a string
+        breaks, anchors, before = [], [], np.uint64(0)
+        for a in range(0, n - length + 1, HASH_BYTES):
+            b = min(a + HASH_BYTES, n - length + 1)
+            key = _hashed(self.raw, None, a, b + width - 1)
+            key &= ~_PLACE
+            key |= np.arange(a, b + width - 1, dtype=np.uint64)
+            span = 1
+            while span < width:
+                step = min(span, width - span)
+                key = np.minimum(key[:-step], key[step:])
+                span += step
+            new = np.flatnonzero(key != np.r_[before, key[:-1]])
+            if not a and (not len(new) or new[0]):
+                new = np.r_[0, new]
+            breaks.append(new + a)
+            anchors.append((key[new] & _PLACE).astype(np.int64))
+            before = key[-1]
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *breaks]), np.concatenate([none, *anchors])
 
     def contexts(self, flags: np.ndarray, length: int):
         """Occurrences ``(context, start, end, doc id)`` of the anchors that may match, and the
         different contexts ``(bytes, least doc id, anchor offset or -1, hash)``.
 
         ``flags`` is per distinct anchor: 0 none, 1 in other packs too, 2 hot."""
-        every = self.distinct()
-        which = np.searchsorted(every, self.hash)
+        every, which = self.distinct, self.which
         ids = self.ids[self.doc]
         low, high = np.full(len(every), _LAST), np.full(len(every), -1 - _LAST)
         np.minimum.at(low, which, ids)
@@ -244,7 +259,7 @@ def _anchors(packs: DataFrame, length: int, shares: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
-                h = Pack(row["ids"], row["sizes"], row["body"], length).distinct()
+                h = Pack(row["ids"], row["sizes"], row["body"], length).distinct
                 share = _share(h, shares)
                 blobs = [h[share == p].astype("<u4").tobytes() for p in range(shares)]
                 some = [p for p in range(shares) if blobs[p]]
@@ -270,7 +285,7 @@ def _flags(anchors: DataFrame) -> DataFrame:
 
 
 def _with_flags(row, pack: Pack, shares: int) -> np.ndarray:
-    every = pack.distinct()
+    every = pack.distinct
     flags, share = np.zeros(len(every), np.uint8), _share(every, shares)
     for f in row["flags"] or []:
         flags[share == f["share"]] = np.frombuffer(zstandard.decompress(f["flags"]), np.uint8)
