@@ -4,9 +4,10 @@ Texts are encoded with the rank file of the same vocabulary where there is one
 beside the tokenizer file (it is faster and gives the same ids); texts that hold
 the string of a special token always go through the tokenizer file itself.
 
-``pieces`` cuts a text at every space that is followed by a character other than
-white space. The pre-token pattern always starts a new pre-token there, so the
-pieces can be encoded apart and an edit only touches the pieces around it.
+A text can be cut into pieces that the tokenizer never joins: the pre-token
+pattern always starts a new pre-token at a space that is followed by a character
+other than white space. ``cuts`` finds such places by two neighbouring bytes, so
+an edit only touches the pieces around it.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import os
 
 import numpy as np
 
-#: Cached pieces per worker, and the longest piece that is cached.
-MAX_PIECES, MAX_PIECE = 300_000, 48
+#: Bytes that may follow a space at a cut: those that begin no white space character.
+_AFTER = np.zeros(256, dtype=bool)
+_AFTER[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 
 
 def default_path() -> str:
@@ -33,9 +35,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path or default_path())
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._known: dict[str, int] = {}
         ranks = (path or default_path()).removesuffix(".json") + ".tiktoken"
-        self._ranks = _rank_encoding(ranks) if os.path.exists(ranks) else None
+        self._ranks, self._sizes = _rank_encoding(ranks) if os.path.exists(ranks) else (None, None)
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
@@ -60,40 +61,37 @@ class PieceEncoder:
             return b""
         return self.whole(text) if self.has_special(text) else self.ordinary(text).astype("<u4").tobytes()
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        """Tokens of each piece; short pieces are remembered."""
-        known, out = self._known, []
-        for p in pieces:
-            n = known.get(p)
-            if n is None:
-                n = len(self.ordinary(p))
-                if len(p) <= MAX_PIECE:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
-                    known[p] = n
-            out.append(n)
-        return out
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut at every space that is followed by a character other than white space."""
-    out: list[str] = []
-    for k, p in enumerate(text.split(" ")):
-        if not k:
-            out.append(p)
-        elif p and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out if out[0] else out[1:]
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of each piece of a text (one empty piece if it is empty)."""
+        if not text:
+            return np.zeros(1, np.int32), np.zeros(1, np.int32)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts = cuts(raw)
+        chars = np.add.reduceat((raw & 0xC0) != 0x80, starts, dtype=np.int32)
+        if self._ranks is None:
+            ends = np.cumsum(chars).tolist()
+            return chars, np.array([len(self.ordinary(text[e - n:e])) for e, n in zip(ends, chars.tolist())], np.int32)
+        ids = self.ordinary(text)
+        before = np.searchsorted(np.cumsum(self._sizes[ids]), starts, side="right")  # tokens that end by then
+        return chars, np.diff(np.r_[before, len(ids)]).astype(np.int32)
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where the pieces of a text's UTF-8 bytes start."""
+    at = np.flatnonzero((raw[:-1] == 32) & _AFTER[raw[1:]])
+    return np.r_[0, at[at > 0]]
 
 
 def _rank_encoding(path: str):
+    """The encoding of a rank file, and the bytes of each token."""
     import public_tokenizers
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
 _ENCODERS: dict[str | None, PieceEncoder] = {}

@@ -12,7 +12,7 @@ def test_trees_follow_random_edits(monkeypatch):
     parts = ["a", " ", "  ", "\n", "'s", " don't", "é", "日本", " 12", "!?", "\x1c", " The", "<|endoftext|>", " word"]
     for _ in range(150):
         text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
-        tree = tokencount.TokenTree.of(text, enc.counts)
+        tree = tokencount.TokenTree.of(text, enc)
         for _ in range(12):
             start, removed = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 10, 100])
             inserted = "".join(rng.choices(parts, k=rng.choice([0, 1, 2, 30])))
@@ -21,12 +21,28 @@ def test_trees_follow_random_edits(monkeypatch):
             text = text[:at] + inserted + text[min(at + removed, len(text)):]
             assert tree.text() == text
             assert tree.total() == len(enc.ordinary(text)) if text else tree.total() == 0
-            assert [p for b in tree.blocks for p, _ in b] == (tokens.pieces(text) if text else []) or not text
+            if text:
+                assert [x.tolist() for x in tree.leaves()] == [x.tolist() for x in enc.counted(text)]
+
+
+def test_pieces_are_never_joined():
+    """Each piece has as many tokens apart as within its text."""
+    enc = tokens.PieceEncoder()
+    rng = random.Random(6)
+    parts = ["a", " ", "  ", "\n", " don't", " é", " 日本", "12", " !?", " \x85", " \u3000x", " \u2003", "\t", " 🙂", " \xa0"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 40)))
+        chars, counts = enc.counted(text)
+        at = 0
+        for n, k in zip(chars.tolist(), counts.tolist()):
+            assert len(enc.ordinary(text[at:at + n])) == k
+            at += n
+        assert at == len(text)
 
 
 def test_edit_encodes_few_pieces():
     enc = tokens.PieceEncoder()
-    tree = tokencount.TokenTree.of("some words in a long text " * 5000, enc.counts)
+    tree = tokencount.TokenTree.of("some words in a long text " * 5000, enc)
     tree.edit(60_000, 5, "new text")
     assert tree.encoded < 10
 
