@@ -8,7 +8,6 @@ a zoned timestamp and move wall-clock values inside DST gaps.)
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,31 +108,27 @@ def seconds_of_day(ts) -> Column:
     return F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c)).cast("int")
 
 
-def hour_of_day(ts) -> Column:
-    """Decimal hour of the wall clock, seconds grain."""
-    return seconds_of_day(ts) / F.lit(3600.0)
-
-
-_LOCAL = re.compile(r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3}))?)?$")
+#: Accepted layouts by the length of the text before a fraction of a second.
+_LOCAL_LAYOUTS = {16: "%Y-%m-%d %H:%M", 19: "%Y-%m-%d %H:%M:%S"}
 
 
 def parse_local(text: str) -> dt.datetime:
-    """Strict plant wall-clock text ``YYYY-MM-DD HH:mm[:ss[.fff]]`` -> datetime.
-
-    Date-only text, hour 24, month 13 and impossible days are rejected.
-    """
-    m = _LOCAL.match(text)
-    if not m:
-        raise ValueError(f"not a plant local time 'YYYY-MM-DD HH:mm:ss': {text!r}")
-    y, mo, d, h, mi = (int(m.group(i)) for i in range(1, 6))
-    s = int(m.group(6) or 0)
-    ms = int((m.group(7) or "0").ljust(3, "0"))
-    if not (1 <= mo <= 12 and 1 <= d and h <= 23 and mi <= 59 and s <= 59):
+    """Strict plant wall-clock text -> datetime: ``YYYY-MM-DD HH:mm``, with optional
+    seconds and, after these, a fraction of up to three digits; ``T`` may stand for
+    the space. Everything else raises ``ValueError``."""
+    whole, point, fraction = text.partition(".")
+    layout = _LOCAL_LAYOUTS.get(len(whole))
+    if layout is None or not text.isascii() or whole[10] not in " T":
+        raise ValueError(f"not a plant local time: {text!r}")
+    if point:
+        if len(whole) != 19 or not 1 <= len(fraction) <= 3:
+            raise ValueError(f"not a plant local time: {text!r}")
+        layout += ".%f"
+    plain = f"{whole[:10]} {whole[11:]}"
+    value = dt.datetime.strptime(plain + point + fraction, layout)
+    if value.isoformat(sep=" ", timespec="seconds")[:len(plain)] != plain:  # fields without leading zeros
         raise ValueError(f"not a plant local time: {text!r}")
-    try:
-        return dt.datetime(y, mo, d, h, mi, s, ms * 1000)
-    except ValueError as e:  # Feb 30 and friends
-        raise ValueError(f"not a valid calendar date: {text!r}") from e
+    return value
 
 
 def local_to_utc(text: str, hours: int = R.PLANT_TZ_OFFSET_HOURS) -> dt.datetime:

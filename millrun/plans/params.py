@@ -14,13 +14,14 @@ from millrun.sources.fixtures import FIXTURE_AS_OF
 # Readings window (plant-local, inclusive): all of the fixture data.
 TBF = "2024-01-01 00:00:00"
 TAF = "2024-01-31 00:00:00"
-# Weighing data window: all orders.
+# Weighing data window: all orders. A cycle's time is its order's date plus its key
+# in seconds, so the end leaves room for keys that grow with the data.
 WL_TBF = "1992-01-01 00:00:00"
-WL_TAF = "1999-12-31 23:59:59"
+WL_TAF = "9999-12-31 23:59:59"
 
-# Both fixture plants at once (weighing data is from 1992-1998).
+# Both fixture plants at once.
 ALL_TBF = WL_TBF
-ALL_TAF = TAF
+ALL_TAF = WL_TAF
 
 # Gap fill and run-hours.
 CADENCE_S = 600.0
