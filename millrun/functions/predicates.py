@@ -29,11 +29,6 @@ def in_window(tbf, taf, ts="DateAndTime") -> Column:
     return _c(ts).between(ts_lit(tbf), ts_lit(taf))
 
 
-def tag_in(tags: Sequence[int], tag="TagIndex") -> Column:
-    """F3 for a few tags; many tags belong in a broadcast left-semi join."""
-    return _c(tag).isin(list(tags))
-
-
 def not_fault_noise(message="Message") -> Column:
     """drop 'Alarm fault...' rows; NULL messages are kept."""
     m = _c(message)
@@ -89,8 +84,3 @@ def values_agree(a, b, tolerance) -> Column:
     tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
     scale = F.greatest(F.abs(a), F.abs(b), F.lit(R.GAP_SCALE_FLOOR))
     return F.abs(a - b) / scale <= tol
-
-
-def flag01(pred: Column) -> Column:
-    """CASE WHEN pred THEN 1 ELSE 0 END (NULL -> 0)."""
-    return F.when(pred, 1).otherwise(0)

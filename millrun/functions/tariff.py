@@ -39,8 +39,11 @@ def bucket_of(ts, is_holiday: Column) -> Column:
 
 def with_holiday(df: DataFrame, holidays, ts: str = "DateAndTime", out: str = "is_holiday",
                  max_calendar_rows: int = 100_000) -> DataFrame:
-    """Attach the holiday flag. ``holidays`` is a list of dates (in-expression)
-    or a DataFrame with a DATE column ``d`` (J5: checked broadcast join)."""
+    """Attach the holiday flag. ``holidays`` is a list of dates (in-expression), a
+    DataFrame with a DATE column ``d`` (J5: checked broadcast join), or a boolean
+    Column over the row that decides alone, in place of list and weekend rule."""
+    if isinstance(holidays, Column):
+        return df.withColumn(out, F.coalesce(holidays, F.lit(False)))
     if holidays is None or isinstance(holidays, (list, tuple)):
         return df.withColumn(out, holiday_flag(ts, holidays))
     from millrun.operators.joins import checked_broadcast

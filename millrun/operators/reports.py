@@ -18,7 +18,9 @@ from millrun.sources import registry as R
 
 
 def _pairs(readings, tags, tbf, taf, bad, chunk_ms):
-    r = known_only(readings.where(in_window(tbf, taf) & good_status(bad)), tags)
+    # A reading without a value says nothing about the machine's state: it is dropped
+    # before pairing, so the interval between its neighbours is judged by its length.
+    r = known_only(readings.where(in_window(tbf, taf) & good_status(bad) & F.col("Val").isNotNull()), tags)
     s = with_successor(r, chunk_ms=chunk_ms).where(F.col("next_DateAndTime").isNotNull())
     return s.withColumn("dt_ms", diff_millis("DateAndTime", "next_DateAndTime"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrun.functions.predicates import OPERATORS, compare, good_status, in_window
 from millrun.functions.tariff import BUCKETS, bucket_of, with_holiday
-from millrun.functions.time import MS_PER_DAY
+from millrun.functions.time import MS_PER_DAY, with_offset_minutes
 from millrun.operators import gaps as G
 from millrun.operators.joins import assign_era, checked_broadcast, for_requested, known_only
 from millrun.sources import registry as R
@@ -43,7 +43,8 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
                     cadence_s=None, cap_s=None, tolerance=None,
                     points_per_hour: float | None = None, holidays=None,
                     eras: DataFrame | None = None, request: DataFrame | None = None,
-                    return_hours: bool = True, chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+                    return_hours: bool = True, chunk_ms: int | None = MS_PER_DAY,
+                    time_field: str = "DateAndTime", tz_offset_minutes: int = 0) -> DataFrame:
     """A5/A6/A7 (+A8 audit): run-hours of every requested tag in ``[tbf, taf]``.
 
     ``count`` = readings (after fill) with ``Val <op> threshold``; ``hour`` =
@@ -51,7 +52,8 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
     bucket (hours, or raw counts when ``return_hours`` is False). With ``eras``
     each era is filled at its own cadence and divided by its own divisor, and a
     gap across an era change is neither filled nor flagged. Audit columns are
-    NULL when fill is off, and also when an era-split tag had no rows.
+    NULL when fill is off, and also when an era-split tag had no rows. The tariff
+    clock is ``time_field`` moved by ``tz_offset_minutes``.
     """
     given_pph = points_per_hour is not None and float(points_per_hour) > 0
     era_mode = eras is not None
@@ -85,7 +87,8 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         audit_on = F.coalesce(F.col("_rows"), F.lit(0)) > 0
     else:
         audit_on = F.lit(True)
-    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), series, return_hours)
+    x = _bucketed(x, op, threshold, holidays, time_field, tz_offset_minutes)
+    per_tag = _per_tag(x, series, return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
     return _shape(out, tbf, taf, return_hours, audit_on)
 
@@ -94,8 +97,9 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
                              threshold: float, tbf, taf, op: str = ">", cap_s=None,
                              tolerance=None, holidays=None, request: DataFrame | None = None,
                              return_hours: bool = True,
-                             chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
-    """A5/A6 + A8 for many plants in one plan, each under its own policy.
+                             chunk_ms: int | None = MS_PER_DAY,
+                             eras: DataFrame | None = None) -> DataFrame:
+    """A5/A6/A7 + A8 for many plants in one plan, each under its own policy.
 
     ``plant_config`` (schema ``schemas.PLANT_CONFIG``) gives per plant the bad
     status codes (F1), the logging cadence, the samples per hour and whether
@@ -103,30 +107,41 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
     per-plant rules are ordinary per-row columns: no loop over plants. Plants
     without a cadence fall back to the default cadence; plants that never fill
     are neither filled nor flagged and have NULL audit columns. Readings of a
-    plant missing from the configuration are dropped.
+    plant missing from the configuration raise an error. Plants named in ``eras``
+    are filled and divided per era.
     """
     x, cfg = fill_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
-                           tolerance=tolerance, chunk_ms=chunk_ms)
+                           tolerance=tolerance, chunk_ms=chunk_ms, eras=eras)
     return run_hours_from_filled(x, tags, cfg, threshold=threshold, tbf=tbf, taf=taf, op=op,
                                  holidays=holidays, request=request, return_hours=return_hours)
 
 
 def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *, tbf, taf,
-                  cap_s=None, tolerance=None, chunk_ms: int | None = MS_PER_DAY):
-    """Per-plant F1 + gap fill: returns the filled rows (with ``_pph`` and
-    ``_fill`` columns from the configuration) and the broadcast configuration.
-    Plants that never fill pass through unfilled and unflagged."""
+                  cap_s=None, tolerance=None, chunk_ms: int | None = MS_PER_DAY,
+                  eras: DataFrame | None = None):
+    """Per-plant F1 + gap fill: returns the filled rows (with ``_pph``, ``_fill``
+    and ``era_id`` columns) and the broadcast configuration. Plants that never
+    fill pass through unfilled and unflagged. Within ``eras`` a plant has each
+    era's own cadence and divisor, and no gap is filled across a change. A
+    reading of a plant without a configuration raises an error."""
     from millrun.functions.predicates import good_status_by_config
     opts = G.FillOptions.resolve(None, cap_s, tolerance)
     cfg = plant_config.select(
         "plant", F.col("bad_status").alias("_bad"),
         F.coalesce(F.col("cadence_s"), F.lit(opts.cadence_s)).alias("_cad"),
         F.col("points_per_hour").alias("_pph"), F.col("fill_count").alias("_fill"))
+    with_eras = (eras.select("plant").distinct().withColumn("_eras", F.lit(True)) if eras is not None else
+                 cfg.select("plant").limit(0).withColumn("_eras", F.lit(True)))
+    cfg = cfg.join(checked_broadcast(with_eras, 100_000), "plant", "left")
     cfg = checked_broadcast(cfg, 100_000)
-    r = readings.where(in_window(tbf, taf)).join(cfg, "plant", "inner")
-    r = known_only(r.where(good_status_by_config("_bad")), tags)
-    x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, chunk_ms=chunk_ms,
-                   enabled=F.col("_fill"))
+    r = readings.where(in_window(tbf, taf)).join(cfg, "plant", "left")
+    unknown = F.raise_error(F.concat(F.lit("no configuration for plant "), F.coalesce("plant", F.lit("NULL"))))
+    r = known_only(r.where(F.when(F.col("_fill").isNull(), unknown.cast("boolean"))
+                           .otherwise(good_status_by_config("_bad"))), tags)
+    r = assign_era(r, eras).withColumns({"_cad": F.coalesce("era_cadence_s", "_cad"),
+                                         "_pph": F.coalesce("era_pph", "_pph")})
+    x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, series=["plant", "TagIndex", "era_id"],
+                   chunk_ms=chunk_ms, enabled=F.col("_fill"))
     return x, cfg
 
 
@@ -134,10 +149,12 @@ def run_hours_from_filled(x: DataFrame, tags: DataFrame, cfg: DataFrame, *, thre
                           tbf, taf, op: str = ">", holidays=None, request: DataFrame | None = None,
                           return_hours: bool = True) -> DataFrame:
     """A5/A6 + A8 summary of rows produced by ``fill_by_plant``."""
-    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex"], return_hours)
+    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex", "era_id"], return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
-    out = out.join(cfg.select("plant", "_fill"), "plant", "left")
-    return _shape(out, tbf, taf, return_hours, F.coalesce(F.col("_fill"), F.lit(False)))
+    out = out.join(cfg.select("plant", "_fill", "_eras"), "plant", "left")
+    # as for one plant: the audit of an era-split tag without rows is absent
+    seen = ~F.coalesce("_eras", F.lit(False)) | (F.coalesce("_rows", F.lit(0)) > 0)
+    return _shape(out, tbf, taf, return_hours, F.coalesce("_fill", F.lit(False)) & seen)
 
 
 def _unfilled(r: DataFrame) -> DataFrame:
@@ -145,11 +162,15 @@ def _unfilled(r: DataFrame) -> DataFrame:
                           "gap_ms": F.lit(None).cast("long")})
 
 
-def _bucketed(x: DataFrame, op: str, threshold, holidays) -> DataFrame:
-    """X1-X3 + F11 on every (real or synthetic) row."""
-    x = with_holiday(x, holidays)
+def _bucketed(x: DataFrame, op: str, threshold, holidays, time_field: str = "DateAndTime",
+              tz_offset_minutes: int = 0) -> DataFrame:
+    """X1-X4 + F11 on every (real or synthetic) row: the tariff clock is
+    ``time_field`` moved by ``tz_offset_minutes``."""
+    clock = with_offset_minutes(time_field, tz_offset_minutes) if tz_offset_minutes else F.col(time_field)
+    x = x.withColumn("_clock", clock)
+    x = with_holiday(x, holidays, ts="_clock")
     return x.withColumns({"_hit": compare("Val", op, threshold),
-                          "_bucket": bucket_of("DateAndTime", F.col("is_holiday"))})
+                          "_bucket": bucket_of("_clock", F.col("is_holiday"))})
 
 
 def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:

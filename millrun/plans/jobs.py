@@ -1,9 +1,9 @@
 """Batch jobs that write several outputs from one expensive intermediate.
 
-The gap-filled readings feed three outputs; they are materialized once with a
-reliable checkpoint (shared ``spark.checkpoint.dir``) so each output re-reads
-them instead of re-running scan, shuffle and window, and a lost executor only
-costs a re-read.
+The gap-filled readings feed several outputs; they are written once, as Parquet
+beside the outputs or as a reliable checkpoint, so each output re-reads them
+instead of re-running scan, shuffle and window, and a lost executor only costs a
+re-read.
 """
 
 from __future__ import annotations
@@ -42,21 +42,26 @@ def daily_report_job(spark: SparkSession, readings_path: str, tags_path: str, ou
                      tbf, taf, threshold: float, cap_s=None, tolerance=None,
                      plant_config: DataFrame | None = None, fmt: str = "parquet") -> dict[str, str]:
     """The production batch: read the stored historian for ``[tbf, taf]``
-    (partition-pruned), fill every plant under its own policy once, cut the
-    lineage there (reliable checkpoint), and write filled readings, flagged
-    gaps, the fill audit and run-hours with tariff buckets from that one fill."""
+    (partition-pruned), fill every plant under its own policy and cadence eras
+    once, write that as Parquet by plant and day (``filled_rows``), and from its
+    columns write filled readings, flagged gaps, the fill audit and run-hours
+    with tariff buckets."""
     from pyspark.sql import functions as F
 
+    from millrun import schemas
     from millrun.operators.runhours import fill_by_plant, run_hours_from_filled
-    from millrun.sources import fixtures as FX
+    from millrun.plans.routes import registry_eras
     from millrun.sources import registry as R
-    from millrun.sources.historian import read_readings
-    cfg = plant_config if plant_config is not None else FX.plant_config(spark)
+    from millrun.sources.historian import read_readings, stored
+    from millrun.sources.local import local_table
+    cfg = (plant_config if plant_config is not None else
+           local_table(spark, list(R.PLANT_POLICY), schemas.PLANT_CONFIG))
     readings = read_readings(spark, readings_path, tbf=tbf, taf=taf).drop("event_date")
     tags = spark.read.parquet(tags_path)
     filled, cfg_b = fill_by_plant(readings, tags, cfg, tbf=tbf, taf=taf, cap_s=cap_s,
-                                  tolerance=tolerance)
-    filled = materialize(filled)
+                                  tolerance=tolerance, eras=registry_eras(spark))
+    filled = stored(filled.withColumn("event_date", F.to_date("DateAndTime")).hint("rebalance", "plant", "event_date"),
+                    f"{out_dir}/filled_rows", ("plant", "event_date"))
     fills = filled.where(F.col("_fill"))
     outs = {
         "filled_readings": fills.select("plant", "TagIndex", "DateAndTime", "Val", "Filled"),
@@ -81,6 +86,7 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser(description="daily gap-fill and run-hours report")
     for a in ("--readings", "--tags", "--out", "--tbf", "--taf"):
         ap.add_argument(a, required=True)
+    ap.add_argument("--plant-config", default=None, help="Parquet of plant policies (default: the registry's)")
     ap.add_argument("--threshold", type=float, required=True)
     ap.add_argument("--cap", type=float, default=None)
     ap.add_argument("--tolerance", type=float, default=None)
@@ -88,8 +94,9 @@ def main(argv=None) -> int:
     ap.add_argument("--profile", default="cluster")
     args = ap.parse_args(argv)
     spark = get_session(profile=args.profile)
+    config = spark.read.parquet(args.plant_config) if args.plant_config else None
     paths = daily_report_job(spark, args.readings, args.tags, args.out, tbf=args.tbf, taf=args.taf,
-                             threshold=args.threshold, cap_s=args.cap, tolerance=args.tolerance,
+                             plant_config=config, threshold=args.threshold, cap_s=args.cap, tolerance=args.tolerance,
                              fmt=args.format)
     for name, path in paths.items():
         print(f"{name}\t{path}")

@@ -610,3 +610,7 @@ def _bigint_counts(sql: str) -> str:
 
 
 ORACLE = {name: _bigint_counts(sql) for name, sql in ORACLE.items()}
+
+# The same results by another route through the engine.
+ORACLE["run_hours_by_plant_eras"] = ORACLE["run_hours_eras"]
+ORACLE["tariff_hours_calendar"] = ORACLE["tariff_hours"]

@@ -26,6 +26,8 @@ REQUEST_SCHEMA = T.StructType([T.StructField("plant", T.StringType()),
                                T.StructField("TagIndex", T.IntegerType())])
 
 Query = Callable[[SparkSession, str], DataFrame]
+CALENDAR_SCHEMA = T.StructType([T.StructField("d", T.DateType())])
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -270,6 +272,27 @@ def run_hours_by_plant(spark, sf_dir):
         request=request).drop("date_before", "date_after")
 
 
+@register("run_hours_by_plant_eras")
+def run_hours_by_plant_eras(spark, sf_dir):
+    """A7 in the all-plant plan: the same result as the one-plant era split."""
+    from millrun.operators.runhours import count_run_hours_by_plant
+    df = count_run_hours_by_plant(
+        _readings(spark, sf_dir), _evt_tags(spark), FX.plant_config(spark), threshold=P.THRESHOLD,
+        tbf=P.TBF, taf=P.TAF, cap_s=P.CAP_S, tolerance=P.TOLERANCE, holidays=FX.holidays(),
+        request=_request(spark), eras=FX.eras(spark))
+    return _r6(df, "hour", "A", "B", "C", "D", "total").select(
+        "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total",
+        "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
+
+
+@register("tariff_hours_calendar")
+def tariff_hours_calendar(spark, sf_dir):
+    """Tariff buckets with the calendar given as a DataFrame."""
+    calendar = local_table(spark, [(d,) for d in FX.holidays()], CALENDAR_SCHEMA)
+    return _run_hours(spark, sf_dir, holidays=calendar).select(
+        "plant", "TagIndex", "tagName", "A", "B", "C", "D", "total")
+
+
 @register("run_hours_forced_era")
 def run_hours_forced_era(spark, sf_dir):
     """Q12: a caller-given cadence forces one era (divisor defaults to 240)."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -82,17 +81,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private scratch folder
-    created and registered. Lineage is cut with ``checkpoint()`` or a table
-    written here, never with ``localCheckpoint``.
+    Lineage is cut with ``checkpoint()`` or a table written here, never with
+    ``localCheckpoint``; without a folder named by the session this raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3); "
-                               "a machine-local folder does not survive executor loss")
-        d = tempfile.mkdtemp(prefix="millrun-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3); "
+                           "a machine-local folder does not survive executor loss")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

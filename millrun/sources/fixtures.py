@@ -25,7 +25,7 @@ N_KNOWN_TAGS = 7     # tags 0..6 are named; 7 is the unknown tag
 N_SOURCES = 40
 N_AREAS = 4
 
-# ---------------------------------------------------------------- FIXED VALUES
+# Test values of the fixtures (FIXTURES.md section 3).
 # Two extra weighing tags that are not part of the pivot (lines 6 and 7).
 WEIGHING_OTHER_TAGS = ["[PLC_Crushing]BRS_INT[09]", "[PLC_Crushing]BRS_REAL[27]"]
 # Fixture calendar, eras and clock (FIXTURES.md section 3).
@@ -35,7 +35,6 @@ FIXTURE_ERAS = [(0, 600.0, 6.0), (1, 900.0, 4.0)]
 FIXTURE_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 # Policy of the fixture plant: bad 'E', cadence 600 s, 6 samples/h, fills.
 FIXTURE_PLANT_POLICY = (READINGS_PLANT, ["E"], 600.0, 6.0, True, True)
-# ------------------------------------------------------------ end FIXED VALUES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

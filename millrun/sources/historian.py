@@ -66,23 +66,27 @@ def read_readings(spark: SparkSession, path: str, plants: Sequence[str] | None =
 
 
 def read_readings_json(spark: SparkSession, path: str, plant: str, tag_index: int,
-                       status: str = "G") -> DataFrame:
-    """Readings supplied as JSON ``[{DateAndTime: ISO8601, Val}]`` (one
-    array per file, or JSON lines) into the readings schema. Zoned text is
-    taken as its UTC wall clock, naive text as is; truncated to ms."""
-    raw = spark.read.schema(schemas.READINGS_JSON).option("multiLine", "true").json(path)
+                       status: str = "G", array: bool = False) -> DataFrame:
+    """Readings supplied as JSON objects ``{DateAndTime: ISO8601, Val}`` into
+    the readings schema: one object per line (files are split among tasks), or
+    with ``array`` one array per file. A malformed record fails the read. Zoned
+    text is taken as its UTC wall clock, naive text as is; truncated to ms.
+    Equal timestamps are ordered by a hash of the record, which no retry changes."""
+    raw = (spark.read.schema(schemas.READINGS_JSON).option("mode", "FAILFAST")
+           .option("multiLine", str(array).lower()).json(path))
     return raw.select(
         F.lit(plant).alias("plant"), F.lit(int(tag_index)).alias("TagIndex"),
         trunc_ms(iso_text_to_ntz("DateAndTime")).alias("DateAndTime"),
         F.col("Val").cast("double").alias("Val"), F.lit(status).alias("Status"),
-        F.monotonically_increasing_id().alias("seq"))
+        F.xxhash64("DateAndTime", "Val").alias("seq"))
 
 
 def read_readings_jdbc(spark: SparkSession, url: str, fact_table: str, plant: str,
                        lower: dt.datetime, upper: dt.datetime, num_partitions: int = 64,
                        properties: dict | None = None) -> DataFrame:
     """S1 alternative: read one historian fact table over JDBC in parallel
-    slices of ``DateAndTime`` (partition column bounds = the window). Not
+    slices of ``DateAndTime``. The bounds only shape the slices, so the window is
+    also a filter on the raw column, which the source can push down. Not
     exercised by the tests: it needs a database server."""
     reader = (spark.read.format("jdbc").option("url", url).option("dbtable", fact_table)
               .option("partitionColumn", "DateAndTime")
@@ -91,11 +95,11 @@ def read_readings_jdbc(spark: SparkSession, url: str, fact_table: str, plant: st
               .option("numPartitions", str(num_partitions)))
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
-    df = reader.load()
+    df = reader.load().where(F.col("DateAndTime").between(F.lit(lower), F.lit(upper)))
     return df.select(F.lit(plant).alias("plant"), F.col("TagIndex").cast("int"),
                      trunc_ms(F.col("DateAndTime").cast("timestamp_ntz")).alias("DateAndTime"),
                      F.col("Val").cast("double"), F.col("Status").cast("string"),
-                     F.monotonically_increasing_id().alias("seq"))
+                     F.xxhash64("DateAndTime", "TagIndex", "Val", "Status").alias("seq"))
 
 
 # ------------------------------------------------------------------ alarm log
@@ -120,6 +124,13 @@ def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
     df.write.mode(mode).format(fmt).save(path)
 
 
+def stored(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Cut lineage by writing ``df`` once as Parquet and reading it back, so that
+    every output of a job reads only its own columns of it."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage before a result feeds several outputs: a reliable checkpoint
     in the cluster's shared ``spark.checkpoint.dir`` (never a local one), so a

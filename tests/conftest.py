@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,7 +17,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[*]", shuffle_partitions=8)
+    s = get_session("local[*]", shuffle_partitions=8,
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="millrun-ckpt-")})
     checkpoint_dir(s)
     yield s
 

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -52,10 +53,24 @@ def test_json_readings(spark):
     with open(os.path.join(d, "r.json"), "w") as f:
         json.dump([{"DateAndTime": "2026-07-06T10:00:00.000Z", "Val": 5},
                    {"DateAndTime": "2026-07-06 10:00:20", "Val": 5.0}], f)
-    r = H.read_readings_json(spark, d, "BM2", 0).orderBy("DateAndTime").collect()
+    r = H.read_readings_json(spark, d, "BM2", 0, array=True).orderBy("DateAndTime").collect()
     assert [x.DateAndTime.second for x in r] == [0, 20] and r[0].Val == 5.0
 
 
+def test_json_lines_keep_every_row(spark):
+    d = tempfile.mkdtemp(prefix="millrun-test-")
+    with open(os.path.join(d, "r.json"), "w") as f:
+        for k in range(5):
+            f.write(json.dumps({"DateAndTime": f"2026-07-06T10:00:0{k}.1239Z", "Val": k}) + "\n")
+    r = H.read_readings_json(spark, d, "BM2", 0)
+    assert [x.Val for x in r.orderBy("DateAndTime").collect()] == [0, 1, 2, 3, 4]
+    assert {x.seq for x in r.collect()} == {x.seq for x in r.repartition(3).collect()}
+    with open(os.path.join(d, "s.json"), "w") as f:
+        f.write("{not json\n")
+    with pytest.raises(Exception):
+        H.read_readings_json(spark, d, "BM2", 0).collect()
+
+
 def test_gap_report_job_matches_queries(spark):
     d = tempfile.mkdtemp(prefix="millrun-test-")
     readings = FX.readings(spark, SF_SMALL)
@@ -73,9 +88,10 @@ def test_daily_report_job_end_to_end(spark):
     d = tempfile.mkdtemp(prefix="millrun-test-")
     H.write_readings(FX.readings(spark, SF_SMALL), f"{d}/readings")
     FX.tags(spark).write.parquet(f"{d}/tags")
+    FX.plant_config(spark).write.parquet(f"{d}/config")
     rc = main(["--readings", f"{d}/readings", "--tags", f"{d}/tags", "--out", f"{d}/out",
                "--tbf", P.TBF, "--taf", P.TAF, "--threshold", str(P.THRESHOLD), "--profile", "local",
-               "--cap", str(P.CAP_S), "--tolerance", str(P.TOLERANCE)])
+               "--cap", str(P.CAP_S), "--tolerance", str(P.TOLERANCE), "--plant-config", f"{d}/config"])
     assert rc == 0
     hours = spark.read.parquet(f"{d}/out/run_hours")
     cols = ["plant", "TagIndex", "count", "hour", "realReadings", "filledReadings", "flaggedGaps"]
