@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     moved = linked.join(roots, "root").select(F.col("node").alias("fp"), "root_id")
     ids = (firsts.join(moved, "fp", "left")
            .select("fp", F.coalesce("root_id", "first_id").alias("component_id")))
-    return base.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    # Both sides are plain tables, so that adaptive execution can split a hot fingerprint's rows.
+    return base.join(written(ids, "fp_components"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
