@@ -614,3 +614,16 @@ ORACLE = {name: _bigint_counts(sql) for name, sql in ORACLE.items()}
 # The same results by another route through the engine.
 ORACLE["run_hours_by_plant_eras"] = ORACLE["run_hours_eras"]
 ORACLE["tariff_hours_calendar"] = ORACLE["tariff_hours"]
+
+ORACLE["weighing_pivot_material"] = f"{_CYC}\n{_FORMAT} FROM cyc WHERE Material = {P.MATERIAL}"
+ORACLE["weighing_pivot_loader"] = f"{_CYC}\n{_FORMAT} FROM cyc WHERE WL_No = {P.LOADER}"
+ORACLE["weighing_pivot_id"] = f"{_CYC}\n{_FORMAT} FROM cyc WHERE id = {P.CYCLE_ID}"
+ORACLE["alarm_active_acked"] = _active("", "AND Acked = true")
+ORACLE["alarm_recent_source"] = f"""WITH {ALARMS}
+SELECT EventTimeStamp + {_SHIFT} AS EventTimeStamp, {_RECENT_COLS}
+FROM alarms WHERE {_NOT_NOISE} AND SourceName = {_q(P.SOURCE)} AND TicksTimeStamp >= {_LO_H}
+{_NEWEST} LIMIT 5000"""
+ORACLE["alarm_groups_window"] = f"""WITH {ALARMS}
+SELECT GroupPath, split_part(GroupPath, '.', 1) AS plant_area, count(*) AS event_count,
+       max(EventTimeStamp) + {_SHIFT} AS last_event
+FROM alarms WHERE TicksTimeStamp >= {_LO_H} GROUP BY GroupPath"""

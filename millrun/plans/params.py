@@ -53,3 +53,6 @@ MAX_WEIGHT = 45.0
 MIN_ID = 0
 MAX_ID = 40
 SILO = 30
+MATERIAL = 47
+LOADER = 49
+CYCLE_ID = 50

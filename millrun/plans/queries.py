@@ -10,6 +10,7 @@ oracle in ``millrun.plans.oracle`` rounds the same columns.
 from __future__ import annotations
 
 import functools
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,8 +105,9 @@ def _wl(spark, sf_dir):
     return FX.weighing_readings(spark, sf_dir), FX.weighing_tags(spark)
 
 
-def _alarms(spark, sf_dir):
-    return FX.alarm_events(spark, sf_dir)
+def _alarms(spark, sf_dir, hours=None):
+    """The alarm log; a look-back also bounds the time column of the scan."""
+    return FX.alarm_events(spark, sf_dir, P.AS_OF - dt.timedelta(hours=hours) if hours else None)
 
 
 # ------------------------------------------------------- catalogue, listings
@@ -386,6 +388,27 @@ def weighing_summary(spark, sf_dir):
 
 # -------------------------------------------------------------------- alarms
 
+@register("weighing_pivot_material")
+def weighing_pivot_material(spark, sf_dir):
+    """F12 equality filter: one material."""
+    from millrun.operators.weighing import filter_cycles, formatted
+    return formatted(filter_cycles(_cycles(spark, sf_dir), material=P.MATERIAL))
+
+
+@register("weighing_pivot_loader")
+def weighing_pivot_loader(spark, sf_dir):
+    """F12 equality filter: one wheel loader."""
+    from millrun.operators.weighing import filter_cycles, formatted
+    return formatted(filter_cycles(_cycles(spark, sf_dir), wlno=P.LOADER))
+
+
+@register("weighing_pivot_id")
+def weighing_pivot_id(spark, sf_dir):
+    """F12 equality filter: one id."""
+    from millrun.operators.weighing import filter_cycles, formatted
+    return formatted(filter_cycles(_cycles(spark, sf_dir), id_=P.CYCLE_ID))
+
+
 @register("alarm_recent")
 def alarm_recent(spark, sf_dir):
     """Newest events, fault noise excluded (limit is the feature)."""
@@ -405,7 +428,7 @@ def alarm_recent_filtered(spark, sf_dir):
 def alarm_source_history(spark, sf_dir):
     """T4: one source's history over the longest look-back."""
     from millrun.operators.alarms import source_history
-    return source_history(_alarms(spark, sf_dir), P.SOURCE, as_of=P.AS_OF, limit=5000,
+    return source_history(_alarms(spark, sf_dir, P.MAX_HOURS), P.SOURCE, as_of=P.AS_OF, limit=5000,
                           hours=P.MAX_HOURS)
 
 
@@ -421,14 +444,14 @@ def alarm_source_window(spark, sf_dir):
 def alarm_active(spark, sf_dir):
     """Alarms standing at as_of (latest event per source+condition active)."""
     from millrun.operators.alarms import active
-    return active(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS)
+    return active(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS)
 
 
 @register("alarm_active_unacked")
 def alarm_active_unacked(spark, sf_dir):
     """W1 + F13 + F10: unacknowledged standing TRIP-family alarms."""
     from millrun.operators.alarms import active
-    return active(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS,
+    return active(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS,
                   condition=P.CONDITION, acked=False)
 
 
@@ -443,14 +466,14 @@ def alarm_daily(spark, sf_dir):
 def alarm_noisy(spark, sf_dir):
     """A10: top chattering source+condition pairs."""
     from millrun.operators.alarms import noisy
-    return noisy(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
+    return noisy(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
 
 
 @register("alarm_noisy_group")
 def alarm_noisy_group(spark, sf_dir):
     """A10 restricted to one group."""
     from millrun.operators.alarms import noisy
-    return noisy(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50, group=P.GROUP)
+    return noisy(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50, group=P.GROUP)
 
 
 @register("alarm_groups")
@@ -460,11 +483,32 @@ def alarm_groups(spark, sf_dir):
     return groups(_alarms(spark, sf_dir))
 
 
+@register("alarm_groups_window")
+def alarm_groups_window(spark, sf_dir):
+    """A11 with a look-back."""
+    from millrun.operators.alarms import groups
+    return groups(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS)
+
+
+@register("alarm_recent_source")
+def alarm_recent_source(spark, sf_dir):
+    """Newest events of one source, fault noise excluded."""
+    from millrun.operators.alarms import recent
+    return recent(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, limit=5000, source=P.SOURCE, hours=P.MAX_HOURS)
+
+
+@register("alarm_active_acked")
+def alarm_active_acked(spark, sf_dir):
+    """W1 + F13: acknowledged standing alarms."""
+    from millrun.operators.alarms import active
+    return active(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS, acked=True)
+
+
 @register("alarm_faults")
 def alarm_faults(spark, sf_dir):
     """Quality-fault ranking per source."""
     from millrun.operators.alarms import faults
-    return faults(_alarms(spark, sf_dir), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
+    return faults(_alarms(spark, sf_dir, P.MAX_HOURS), as_of=P.AS_OF, hours=P.MAX_HOURS, top=50)
 
 
 @register("alarm_heartbeat")

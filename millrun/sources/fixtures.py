@@ -122,9 +122,12 @@ def weighing_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: alarm log rows in the event-table schema (UTC instants)."""
+def alarm_events(spark: SparkSession, sf_dir: str, since: dt.datetime | None = None) -> DataFrame:
+    """S3: alarm log rows in the event-table schema (UTC instants); ``since`` is a
+    bound on the stored time column, which the scan can use."""
     ev = _table(spark, sf_dir, "events")
+    if since is not None:
+        ev = ev.where(F.col("ts") >= ts_lit(since))
     eid, uid = F.col("event_id"), F.col("user_id")
     cond = (F.when(F.col("event_type") == "error", "TRIP")
             .when(F.col("event_type") == "signup", "TRIP_L")

@@ -48,6 +48,18 @@ def test_alarm_log_round_trip_and_date_pruning(spark, capsys):
     assert "PartitionFilters: [isnotnull(event_date" in plan     # day directories pruned
 
 
+def test_newest_events_of_a_stored_log(spark):
+    d = tempfile.mkdtemp(prefix="millrun-test-")
+    ev = FX.alarm_events(spark, SF_SMALL)
+    H.write_alarm_events(ev, f"{d}/alarms")
+    back = H.read_alarm_events(spark, f"{d}/alarms")
+    for kw in (dict(limit=7), dict(limit=5000), dict(limit=40, exclude_faults=False, source=P.SOURCE)):
+        a, b = A.recent(back, as_of=P.AS_OF, **kw), A.recent(ev, as_of=P.AS_OF, **kw)
+        assert _same(a, b) and a.count() > 0
+    assert _same(A.source_history(back, P.SOURCE, as_of=P.AS_OF, hours=720, limit=3),
+                 A.source_history(ev, P.SOURCE, as_of=P.AS_OF, hours=720, limit=3))
+
+
 def test_json_readings(spark):
     d = tempfile.mkdtemp(prefix="millrun-test-")
     with open(os.path.join(d, "r.json"), "w") as f:
