@@ -74,8 +74,9 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         r = r.withColumn("_pph", F.coalesce(F.col("era_pph"), F.lit(pph)))
     else:
         series = ["plant", "TagIndex"]
-        cad = opts.cadence_s
+        cad = F.lit(opts.cadence_s)
         r = r.withColumn("_pph", F.lit(pph))
+    r = r.withColumn("_cad", cad)
 
     if fill:
         x = G.gap_fill(r, cad, opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
@@ -90,7 +91,7 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
     x = _bucketed(x, op, threshold, holidays, time_field, tz_offset_minutes)
     per_tag = _per_tag(x, series, return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
-    return _shape(out, tbf, taf, return_hours, audit_on)
+    return _shape(out, tbf, taf, return_hours, audit_on, opts)
 
 
 def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *,
@@ -113,7 +114,8 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
     x, cfg = fill_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
                            tolerance=tolerance, chunk_ms=chunk_ms, eras=eras)
     return run_hours_from_filled(x, tags, cfg, threshold=threshold, tbf=tbf, taf=taf, op=op,
-                                 holidays=holidays, request=request, return_hours=return_hours)
+                                 holidays=holidays, request=request, return_hours=return_hours,
+                                 cap_s=cap_s, tolerance=tolerance)
 
 
 def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *, tbf, taf,
@@ -147,14 +149,16 @@ def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame,
 
 def run_hours_from_filled(x: DataFrame, tags: DataFrame, cfg: DataFrame, *, threshold: float,
                           tbf, taf, op: str = ">", holidays=None, request: DataFrame | None = None,
-                          return_hours: bool = True) -> DataFrame:
-    """A5/A6 + A8 summary of rows produced by ``fill_by_plant``."""
+                          return_hours: bool = True, cap_s=None, tolerance=None) -> DataFrame:
+    """A5/A6 + A8 summary of rows produced by ``fill_by_plant`` (``cap_s`` and
+    ``tolerance`` as given there, for the audit)."""
     per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex", "era_id"], return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
     out = out.join(cfg.select("plant", "_fill", "_eras"), "plant", "left")
     # as for one plant: the audit of an era-split tag without rows is absent
     seen = ~F.coalesce("_eras", F.lit(False)) | (F.coalesce("_rows", F.lit(0)) > 0)
-    return _shape(out, tbf, taf, return_hours, F.coalesce("_fill", F.lit(False)) & seen)
+    return _shape(out, tbf, taf, return_hours, F.coalesce("_fill", F.lit(False)) & seen,
+                  G.FillOptions.resolve(None, cap_s, tolerance))
 
 
 def _unfilled(r: DataFrame) -> DataFrame:
@@ -177,7 +181,8 @@ def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:
     """Level 1 per series and divisor (one era), level 2 per tag. Partial
     aggregation keeps each shuffle at one row per task and key, whatever the
     skew; per-era hours are divided by their own divisor before summing."""
-    per_era = x.groupBy(*series, "_pph").agg(
+    era = F.col("era_id") if "era_id" in series else F.lit(None)
+    per_era = x.groupBy(*series, "_pph", "_cad").agg(
         F.count_if(F.col("_hit")).alias("_n"),
         *[F.count_if(F.col("_hit") & (F.col("_bucket") == b)).alias(f"_n{b}") for b in BUCKETS],
         *G.audit_aggs())
@@ -192,12 +197,17 @@ def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:
         F.sum("flaggedGaps").alias("flaggedGaps"),
         F.sum("flagged_s").alias("flagged_s"),
         F.sum("totalReadings").alias("_rows"),
+        # one entry per era of the tag
+        F.array_distinct(F.sort_array(F.collect_list(
+            F.struct(era.cast("int").alias("era_id"), F.col("_cad").alias("cadence_s"))))).alias("_options"),
     )
 
 
-def _shape(out: DataFrame, tbf, taf, return_hours: bool, audit_on: Column) -> DataFrame:
+def _shape(out: DataFrame, tbf, taf, return_hours: bool, audit_on: Column,
+           opts: G.FillOptions) -> DataFrame:
     """One row per requested tag: zeros for empty or unknown tags, tag name only
-    when the tag had rows, audit columns only where ``audit_on``."""
+    when the tag had rows, audit columns only where ``audit_on``; among these
+    ``fillOptions``, the cadence, cap and tolerance used (per era)."""
     has_rows = F.coalesce(F.col("_rows"), F.lit(0)) > 0
     zero_d = F.lit(0.0)
     cols: list[Column] = [
@@ -213,7 +223,10 @@ def _shape(out: DataFrame, tbf, taf, return_hours: bool, audit_on: Column) -> Da
     for a in ("realReadings", "filledReadings", "flaggedGaps", "flagged_s"):
         zero = F.lit(0.0) if a == "flagged_s" else F.lit(0).cast("long")
         cols.append(F.when(audit_on, F.coalesce(F.col(a), zero)).alias(a))
-    return out.select(*cols)
+    used = F.transform("_options", lambda o: F.struct(
+        o["era_id"], o["cadence_s"], F.lit(float(opts.cap_s)).alias("cap_s"),
+        F.lit(float(opts.tolerance)).alias("tolerance")))
+    return out.select(*cols, F.when(audit_on, used).alias("fillOptions"))
 
 
 def raw_vs_filled(readings: DataFrame, tags: DataFrame, *, threshold: float, tbf, taf,

@@ -627,3 +627,11 @@ ORACLE["alarm_groups_window"] = f"""WITH {ALARMS}
 SELECT GroupPath, split_part(GroupPath, '.', 1) AS plant_area, count(*) AS event_count,
        max(EventTimeStamp) + {_SHIFT} AS last_event
 FROM alarms WHERE TicksTimeStamp >= {_LO_H} GROUP BY GroupPath"""
+
+_CHANGE = _ts(FX.FIXTURE_ERA_CHANGE.isoformat(sep=" "))
+ORACLE["fill_options"] = f"""WITH {READINGS}, {TAGS}, {REQUEST}, {window_cte()}
+SELECT DISTINCT plant, TagIndex,
+       CAST(CASE WHEN DateAndTime <= {_CHANGE} THEN {FX.FIXTURE_ERAS[0][0]} ELSE {FX.FIXTURE_ERAS[1][0]} END AS INTEGER) AS era_id,
+       CAST(CASE WHEN DateAndTime <= {_CHANGE} THEN {FX.FIXTURE_ERAS[0][1]} ELSE {FX.FIXTURE_ERAS[1][1]} END AS DOUBLE) AS cadence_s,
+       CAST({P.CAP_S} AS DOUBLE) AS cap_s, CAST({P.TOLERANCE} AS DOUBLE) AS tolerance
+FROM w"""

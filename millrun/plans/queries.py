@@ -271,7 +271,7 @@ def run_hours_by_plant(spark, sf_dir):
     return runhours.count_run_hours_by_plant(
         readings, tags, FX.plant_config(spark), threshold=P.THRESHOLD, tbf=P.ALL_TBF,
         taf=P.ALL_TAF, cap_s=P.CAP_S, tolerance=P.TOLERANCE, holidays=FX.holidays(),
-        request=request).drop("date_before", "date_after")
+        request=request).drop("date_before", "date_after", "fillOptions")
 
 
 @register("run_hours_by_plant_eras")
@@ -287,6 +287,13 @@ def run_hours_by_plant_eras(spark, sf_dir):
         "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
 
 
+@register("fill_options")
+def fill_options(spark, sf_dir):
+    """The options each era of each tag was filled with."""
+    df = _run_hours(spark, sf_dir, cadence_s=None, points_per_hour=None, eras=FX.eras(spark))
+    return df.select("plant", "TagIndex", F.explode("fillOptions").alias("o")).select("plant", "TagIndex", "o.*")
+
+
 @register("tariff_hours_calendar")
 def tariff_hours_calendar(spark, sf_dir):
     """Tariff buckets with the calendar given as a DataFrame."""
