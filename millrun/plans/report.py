@@ -64,7 +64,8 @@ def main(argv) -> int:
     print(f"Generated by `python -m millrun.plans.report {sf_dir}` from `explain(\"formatted\")` "
           "(pre-execution plan; AQE may still coalesce partitions or turn a small sort-merge "
           "join into a broadcast at run time). The fixture views derive ticks and timestamps from "
-          "the raw `events.ts`, so alarm ticks bounds are not pushed into these scans; on the "
+          "the raw `events.ts`, so alarm ticks bounds are not pushed into these scans (look-backs "
+          "also bound `events.ts`, which is); on the "
           "stored alarm log (`historian.read_alarm_events`) they are, together with "
           "`event_date` partition pruning.\n")
     for name in sorted(REGISTRY):
