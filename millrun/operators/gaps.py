@@ -11,10 +11,10 @@ flagged.
 
 Scale: the successor is found with ``lead`` over windows partitioned by
 (series, time chunk), not by series alone, so one hot tag holding a third of all
-rows is still spread over many tasks. Each chunk's last row gets its successor
-from a small per-chunk table (first row of the next non-empty chunk), which is
-unioned in as a phantom row before the window runs. No join, one shuffle of the
-readings.
+rows is still spread over many tasks. Only the first and last row of each chunk
+go through a second window over the series, which gives every last row its
+successor. The readings are scanned and shuffled once; both windows read that
+one exchange.
 """
 
 from __future__ import annotations
@@ -70,67 +70,62 @@ class FillOptions:
                    tol if tol is not None and tol >= 0 else R.GAP_TOLERANCE)
 
 
-# Adaptive chunking: no chunk of a series holds more than about this many rows.
+#: Chunk width: 360 readings of a series at the default cadence. Two rows a chunk go
+#: through the second window, so that window's share of a series is bounded by its span.
+CHUNK_MS = int(360 * R.GAP_CADENCE_S * 1000)
+#: ``chunk_ms="auto"``: no chunk of a series holds more than about this many rows.
 AUTO_CHUNK_ROWS = 4_000_000
-MAX_SPLIT_LEVEL = 16          # a day split at most 2^16 ways (~1.3 s chunks)
 
 
 def chunk_widths(df: DataFrame, series: Sequence[str], ts: str = "DateAndTime",
                  target_rows: int = AUTO_CHUNK_ROWS) -> DataFrame:
     """Per series, a chunk width in ms: one day divided by the smallest power of
-    two that keeps the series' busiest day under ``target_rows`` per chunk.
-    One hash aggregate over (series, day) -- a partial row per task and key --
-    then one row per series."""
+    two that keeps the series' busiest day under ``target_rows`` per chunk (1 ms
+    at least, the grain of the timestamps). One hash aggregate over (series,
+    day) -- a partial row per task and key -- then one row per series."""
     day = F.floor(millis_since_epoch(ts) / F.lit(MS_PER_DAY))
     per_day = df.groupBy(*series, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    level = F.least(F.greatest(F.ceil(F.log2(F.col("_peak") / F.lit(float(target_rows)))), F.lit(0)),
-                    F.lit(MAX_SPLIT_LEVEL)).cast("int")
+    level = F.greatest(F.ceil(F.log2(F.col("_peak") / F.lit(float(target_rows)))), F.lit(0)).cast("int")
+    width = (F.lit(MS_PER_DAY) / F.pow(F.lit(2), level)).cast("long")
     return (per_day.groupBy(*series).agg(F.max("_n").alias("_peak"))
-            .select(*series, (F.lit(MS_PER_DAY) / F.pow(F.lit(2), level)).cast("long").alias("_width")))
+            .select(*series, F.greatest(width, F.lit(1)).alias("_width")))
 
 
 def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequence[str] = ORDER,
                    carry: Sequence[str] = ("DateAndTime", "Val"),
-                   chunk_ms: int | str | None = MS_PER_DAY,
+                   chunk_ms: int | str | None = CHUNK_MS,
                    target_rows: int = AUTO_CHUNK_ROWS) -> DataFrame:
     """Add ``next_<c>`` for each ``c`` in ``carry`` from the next row of the
-    same series in ``order``. ``chunk_ms`` is a fixed chunk width, ``"auto"``
-    for a per-series width sized from the data (dense hot series get narrow
-    chunks), or None for one window per series."""
+    same series in ``order``; rows that tie in ``order`` follow by their other
+    columns. ``chunk_ms`` is a fixed chunk width, ``"auto"`` for a per-series
+    width sized from the data (dense hot series get narrow chunks; this counts
+    the readings first), or None for one window per series. Hand over only the
+    columns that are needed: all of them break ties, so none is pruned."""
     series, order = list(series), list(order)
-    carried = [c for c in carry if c not in order]
+    full = order + [c for c in carry if c not in order]
+    full += [c for c in df.columns if c not in full + series]
+    per_series = Window.partitionBy(*series).orderBy(*full)
     if chunk_ms is None:
-        w = Window.partitionBy(*series).orderBy(*order)
-        return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+        return df.select("*", *[F.lead(c).over(per_series).alias(f"next_{c}") for c in carry])
 
     ts = order[0]
+    width = F.lit(chunk_ms)
     if chunk_ms == "auto":
         from millrun.operators.joins import checked_broadcast
-        widths = checked_broadcast(chunk_widths(df, series, ts, target_rows))
-        df = df.join(widths, series, "left")
+        df = df.join(checked_broadcast(chunk_widths(df, series, ts, target_rows)), series, "left")
         width = F.coalesce(F.col("_width"), F.lit(MS_PER_DAY))
-    else:
-        width = F.lit(int(chunk_ms))
-    chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / width).cast("long"))
-    if chunk_ms == "auto":
-        chunked = chunked.drop("_width")
-    # First row of every non-empty chunk: a partial aggregate, one row per task
-    # and chunk, so the shuffle is tiny. (min of a struct is sort-based; a
-    # packed DECIMAL(38,0) key would make it hash-based but measured ~1.6x
-    # slower overall, because 38-digit decimals use BigDecimal arithmetic.)
-    firsts = chunked.groupBy(*series, "_chunk").agg(F.min(F.struct(*order, *carried)).alias("_f"))
-    # Successor of a chunk = first row of the next non-empty chunk of the series.
-    # One row per chunk, so a hot series is only #chunks rows here.
-    nxt = firsts.select(*series, "_chunk",
-                        F.lead("_f").over(Window.partitionBy(*series).orderBy("_chunk")).alias("_nf"))
-    phantom = nxt.where(F.col("_nf").isNotNull()).select(
-        *series, "_chunk", *[F.col("_nf")[c].alias(c) for c in order + carried],
-        F.lit(True).alias("_phantom"))
-    rows = chunked.withColumn("_phantom", F.lit(False))
-    both = rows.unionByName(phantom, allowMissingColumns=True)
-    w = Window.partitionBy(*series, "_chunk").orderBy(*order)
-    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
-    return out.where(~F.col("_phantom")).drop("_chunk", "_phantom")
+    chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / width).cast("long")).drop("_width")
+    # The order is total but for rows that are equal throughout, so both uses of
+    # this window agree on which row is a chunk's last.
+    w = Window.partitionBy(*series, "_chunk").orderBy(*full)
+    there = F.lit(True)
+    rows = chunked.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
+                          F.lag(there).over(w).isNull().alias("_is_first"),
+                          F.lead(there).over(w).isNull().alias("_is_last"))
+    edges = rows.where(F.col("_is_first") | F.col("_is_last"))
+    stitched = edges.withColumns({f"next_{c}": F.lead(c).over(per_series) for c in carry})
+    out = rows.where(~F.col("_is_last")).unionByName(stitched.where("_is_last"))
+    return out.drop("_chunk", "_is_first", "_is_last")
 
 
 def classify_gaps(df: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
@@ -180,7 +175,7 @@ def fill_rows(classified: DataFrame) -> DataFrame:
 
 def gap_fill(readings: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
              tolerance=R.GAP_TOLERANCE, series: Sequence[str] = SERIES,
-             chunk_ms: int | None = MS_PER_DAY, enabled: Column | None = None) -> DataFrame:
+             chunk_ms: int | str | None = CHUNK_MS, enabled: Column | None = None) -> DataFrame:
     """Readings (already filtered to a window) plus synthetic rows.
     Output keeps every input column and adds ``Filled``, ``gap_kind``,
     ``gap_ms``, ``next_DateAndTime``, ``next_Val``. Cadence, cap and tolerance

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrun.functions.predicates import good_status, in_window
-from millrun.functions.time import MS_PER_DAY, diff_millis
-from millrun.operators.gaps import SERIES, with_successor
+from millrun.functions.time import diff_millis
+from millrun.operators.gaps import CHUNK_MS, ORDER, SERIES, with_successor
 from millrun.operators.joins import known_only
 from millrun.sources import registry as R
 
@@ -21,7 +21,7 @@ def _pairs(readings, tags, tbf, taf, bad, chunk_ms):
     # A reading without a value says nothing about the machine's state: it is dropped
     # before pairing, so the interval between its neighbours is judged by its length.
     r = known_only(readings.where(in_window(tbf, taf) & good_status(bad) & F.col("Val").isNotNull()), tags)
-    s = with_successor(r, chunk_ms=chunk_ms).where(F.col("next_DateAndTime").isNotNull())
+    s = with_successor(r.select(*SERIES, *ORDER, "Val"), chunk_ms=chunk_ms).where(F.col("next_DateAndTime").isNotNull())
     return s.withColumn("dt_ms", diff_millis("DateAndTime", "next_DateAndTime"))
 
 
@@ -37,7 +37,7 @@ def _classified(readings, tags, tbf, taf, threshold, cadence_s, cap_s, bad, chun
 
 def uptime(readings: DataFrame, tags: DataFrame, tbf, taf, threshold: float = R.UPTIME_THRESHOLD,
            cadence_s: float = R.GAP_CADENCE_S, cap_s: float = R.GAP_CAP_S,
-           bad: Sequence[str] = ("E",), chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+           bad: Sequence[str] = ("E",), chunk_ms: int | str | None = CHUNK_MS) -> DataFrame:
     """Per tag, seconds running / stopped / filled / unmeasured over the
     intervals between consecutive readings, and uptime % of measured time.
 
@@ -69,7 +69,7 @@ def uptime(readings: DataFrame, tags: DataFrame, tbf, taf, threshold: float = R.
 
 def uptime_gaps(readings: DataFrame, tags: DataFrame, tbf, taf, threshold: float = R.UPTIME_THRESHOLD,
                 cadence_s: float = R.GAP_CADENCE_S, cap_s: float = R.GAP_CAP_S,
-                bad: Sequence[str] = ("E",), chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+                bad: Sequence[str] = ("E",), chunk_ms: int | str | None = CHUNK_MS) -> DataFrame:
     """A16 flagged intervals with the machine state on both sides."""
     x = _classified(readings, tags, tbf, taf, threshold, cadence_s, cap_s, bad, chunk_ms)
     reason = F.when(F.col("dt_ms") > F.lit(cap_s * 1000.0), F.lit(R.REASON_EXCEEDS_CAP)) \

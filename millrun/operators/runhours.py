@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrun.functions.predicates import OPERATORS, compare, good_status, in_window
 from millrun.functions.tariff import BUCKETS, bucket_of, with_holiday
-from millrun.functions.time import MS_PER_DAY, with_offset_minutes
+from millrun.functions.time import with_offset_minutes
 from millrun.operators import gaps as G
 from millrun.operators.joins import assign_era, checked_broadcast, for_requested, known_only
 from millrun.sources import registry as R
@@ -43,7 +43,7 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
                     cadence_s=None, cap_s=None, tolerance=None,
                     points_per_hour: float | None = None, holidays=None,
                     eras: DataFrame | None = None, request: DataFrame | None = None,
-                    return_hours: bool = True, chunk_ms: int | None = MS_PER_DAY,
+                    return_hours: bool = True, chunk_ms: int | str | None = G.CHUNK_MS,
                     time_field: str = "DateAndTime", tz_offset_minutes: int = 0) -> DataFrame:
     """A5/A6/A7 (+A8 audit): run-hours of every requested tag in ``[tbf, taf]``.
 
@@ -76,10 +76,11 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         series = ["plant", "TagIndex"]
         cad = F.lit(opts.cadence_s)
         r = r.withColumn("_pph", F.lit(pph))
-    r = r.withColumn("_cad", cad)
+    clock = [time_field] if time_field not in ("Val", *G.ORDER) else []
+    r = r.withColumn("_cad", cad).select(*series, *G.ORDER, "Val", *clock, "_pph", "_cad")
 
     if fill:
-        x = G.gap_fill(r, cad, opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
+        x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
     else:
         x = _unfilled(r)
     if not fill:
@@ -98,7 +99,7 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
                              threshold: float, tbf, taf, op: str = ">", cap_s=None,
                              tolerance=None, holidays=None, request: DataFrame | None = None,
                              return_hours: bool = True,
-                             chunk_ms: int | None = MS_PER_DAY,
+                             chunk_ms: int | str | None = G.CHUNK_MS,
                              eras: DataFrame | None = None) -> DataFrame:
     """A5/A6/A7 + A8 for many plants in one plan, each under its own policy.
 
@@ -119,7 +120,7 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
 
 
 def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame, *, tbf, taf,
-                  cap_s=None, tolerance=None, chunk_ms: int | None = MS_PER_DAY,
+                  cap_s=None, tolerance=None, chunk_ms: int | str | None = G.CHUNK_MS,
                   eras: DataFrame | None = None):
     """Per-plant F1 + gap fill: returns the filled rows (with ``_pph``, ``_fill``
     and ``era_id`` columns) and the broadcast configuration. Plants that never
@@ -142,8 +143,9 @@ def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame,
                            .otherwise(good_status_by_config("_bad"))), tags)
     r = assign_era(r, eras).withColumns({"_cad": F.coalesce("era_cadence_s", "_cad"),
                                          "_pph": F.coalesce("era_pph", "_pph")})
-    x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, series=["plant", "TagIndex", "era_id"],
-                   chunk_ms=chunk_ms, enabled=F.col("_fill"))
+    series = ["plant", "TagIndex", "era_id"]
+    x = G.gap_fill(r.select(*series, *G.ORDER, "Val", "_cad", "_pph", "_fill"), F.col("_cad"), opts.cap_s,
+                   opts.tolerance, series=series, chunk_ms=chunk_ms, enabled=F.col("_fill"))
     return x, cfg
 
 
@@ -232,13 +234,14 @@ def _shape(out: DataFrame, tbf, taf, return_hours: bool, audit_on: Column,
 def raw_vs_filled(readings: DataFrame, tags: DataFrame, *, threshold: float, tbf, taf,
                   op: str = ">", bad: Sequence[str] = ("E",), cadence_s=None, cap_s=None,
                   tolerance=None, points_per_hour: float | None = None,
-                  chunk_ms: int | None = MS_PER_DAY) -> DataFrame:
+                  chunk_ms: int | str | None = G.CHUNK_MS) -> DataFrame:
     """Per tag, raw and gap-filled run-hours side by side with the fill
     audit, from one pass (real rows of the filled set are the raw rows)."""
     opts = G.FillOptions.resolve(cadence_s, cap_s, tolerance)
     pph = float(points_per_hour) if points_per_hour else R.DEFAULT_POINTS_PER_HOUR
     r = known_only(select_window(readings, tbf, taf, bad), tags)
-    x = G.gap_fill(r, opts.cadence_s, opts.cap_s, opts.tolerance, chunk_ms=chunk_ms)
+    x = G.gap_fill(r.select(*G.SERIES, *G.ORDER, "Val"), opts.cadence_s, opts.cap_s, opts.tolerance,
+                   chunk_ms=chunk_ms)
     hit = compare("Val", op, threshold)
     agg = x.groupBy("plant", "TagIndex").agg(
         (F.count_if(hit & ~F.col("Filled")) / F.lit(pph)).alias("raw_hour"),

@@ -25,7 +25,7 @@ def gap_report_job(spark: SparkSession, readings: DataFrame, tags: DataFrame, ou
     for every tag of ``readings`` in ``[tbf, taf]``. Returns output paths."""
     opts = G.FillOptions.resolve(cadence_s, cap_s, tolerance)
     r = known_only(select_window(readings, tbf, taf, bad), tags)
-    filled = materialize(G.gap_fill(r, opts.cadence_s, opts.cap_s, opts.tolerance))
+    filled = materialize(G.gap_fill(r.select(*G.SERIES, *G.ORDER, "Val"), opts.cadence_s, opts.cap_s, opts.tolerance))
     outs = {
         "filled_readings": filled.select("plant", "TagIndex", "DateAndTime", "Val", "Filled"),
         "flagged_gaps": G.flagged_gaps(filled),

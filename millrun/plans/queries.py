@@ -199,7 +199,7 @@ def _filled(spark, sf_dir):
     from millrun.operators.joins import known_only
     from millrun.operators.runhours import select_window
     r = known_only(select_window(_readings(spark, sf_dir), P.TBF, P.TAF, P.BAD), _evt_tags(spark))
-    return G.gap_fill(r, P.CADENCE_S, P.CAP_S, P.TOLERANCE)
+    return G.gap_fill(r.select(*G.SERIES, *G.ORDER, "Val"), P.CADENCE_S, P.CAP_S, P.TOLERANCE)
 
 
 @register("flagged_gaps")

@@ -103,7 +103,8 @@ def window(readings: DataFrame, tags: DataFrame, plant: str, tag_index: int | No
         return RD.window_readings(r, t, tbf, taf, bad=bad, newest_first=not ascending)
     opts = G.FillOptions.resolve(cadence, cap, tolerance, default_cadence or R.GAP_CADENCE_S)
     sel = RH.select_window(r, tbf, taf, bad)
-    filled = G.gap_fill(with_tag_names(sel, t), opts.cadence_s, opts.cap_s, opts.tolerance)
+    named = with_tag_names(sel, t).select(*G.SERIES, *G.ORDER, "Val", "TagName")
+    filled = G.gap_fill(named, opts.cadence_s, opts.cap_s, opts.tolerance)
     return filled.select("plant", "DateAndTime", "Val", "TagIndex", "TagName", "Filled", "gap_kind",
                          "gap_ms").orderBy("plant", "TagIndex", "DateAndTime", "Filled")
 
