@@ -1,9 +1,9 @@
 """Physical-plan summary of every registered query (writes PLANS.md).
 
-For each query: shuffles (and their keys), broadcasts, join strategies,
+Each query is run, then read from ``explain("formatted")`` as it ran at last:
+scans, shuffles (and their keys), reused exchanges, broadcasts, join strategies,
 aggregate kinds, windows, top-N operators, and the filters pushed into each
-Parquet scan, read from ``explain("formatted")``. Run:
-``python -m millrun.plans.report /root/testdata/sf0.1 > PLANS.md``.
+Parquet scan. Run: ``python -m millrun.plans.report /root/testdata/sf0.01 > PLANS.md``.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import re
 import sys
 
 TREE = [
-    ("shuffle", r"(?<!Broadcast)Exchange \("),
+    ("Parquet scan", r"Scan parquet"),
+    ("reused exchange", r"ReusedExchange \("),
+    ("shuffle", r"(?<!Broadcast)(?<!Reused)Exchange \("),
     ("broadcast", r"BroadcastExchange \("),
     ("broadcast hash join", r"BroadcastHashJoin"),
     ("sort-merge join", r"SortMergeJoin"),
@@ -34,6 +36,7 @@ PARTITIONING = r"Arguments: ((?:hash|range)partitioning\([^)]*\)|SinglePartition
 
 
 def plan_text(df) -> str:
+    df.collect()
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain("formatted")
@@ -41,7 +44,7 @@ def plan_text(df) -> str:
 
 
 def summarize(text: str) -> dict:
-    head = text.split("\n\n(1)")[0]          # the operator tree
+    head = text.split("\n\n(1)")[0].split("== Initial Plan ==")[0]   # the operator tree
     out = {}
     for label, pat in TREE:
         n = len(re.findall(pat, head))
@@ -58,12 +61,12 @@ def summarize(text: str) -> dict:
 def main(argv) -> int:
     from millrun.plans.queries import REGISTRY
     from millrun.session import get_session
-    sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = get_session("local[8]", 16)
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python -m millrun.plans.report {sf_dir}` from `explain(\"formatted\")` "
-          "(pre-execution plan; AQE may still coalesce partitions or turn a small sort-merge "
-          "join into a broadcast at run time). The fixture views derive ticks and timestamps from "
+          "after each query ran (the final adaptive plan; at this size adaptive execution has turned "
+          "the sort-merge joins of small sides into broadcast joins). The fixture views derive ticks and timestamps from "
           "the raw `events.ts`, so alarm ticks bounds are not pushed into these scans (look-backs "
           "also bound `events.ts`, which is); on the "
           "stored alarm log (`historian.read_alarm_events`) they are, together with "
