@@ -19,6 +19,8 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Container
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ from millrun.llm.common import by_doc, remainder, ship, utf8
 SAMPLE, MAX_FEATURES, MIN_DOCS, LEAST_Z = 6_000, 5_000, 4, 4.0
 #: Fixed gradient descent (Adam) settings.
 STEPS, RATE, DECAY = 150, 0.1, 0.1
-#: Words whose value a scorer remembers.
-MAX_WORDS = 300_000
+#: Words whose value a scorer remembers, and the bytes of the longest such word.
+MAX_WORDS, MAX_KNOWN = 300_000, 64
 BIAS = ""
 
 #: ASCII lower case; sentence ends become new lines; other ASCII symbols become spaces.
@@ -46,10 +48,16 @@ def sentences_of(data: bytes) -> list[list[bytes]]:
     return [w for w in (s.split() for s in data.translate(_FOLD).split(b"\n")) if w]
 
 
-def features_of(word: bytes) -> set[bytes]:
-    """The word itself and its runs of four bytes, with marks for its start and end."""
-    marked = b"^" + word[:64] + b"$"
-    return {b"=" + word, *(marked[i:i + 4] for i in range(len(marked) - 3))}
+def features_of(word: bytes, among: Container[bytes] | None = None) -> set[bytes]:
+    """The word itself and its runs of four bytes, with marks for its start and end.
+
+    A word of any length is read to its end (text without spaces is one word);
+    with ``among``, only the features in it are held."""
+    marked = b"^" + word + b"$"
+    runs = (marked[i:i + 4] for i in range(len(marked) - 3))
+    if among is None:
+        return {b"=" + word, *runs}
+    return {f for f in chain([b"=" + word], runs) if f in among}
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, float]:
@@ -83,9 +91,9 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, float]:
     index = {f: i for i, f in enumerate(kept)}
     if not index:
         return {}
-    pairs = [(i, index[f]) for w, i in words.items() for f in features_of(w) if f in index]
+    pairs = [(i, index[f]) for w, i in words.items() for f in features_of(w, index)]
     of_word, feature = np.array(pairs, dtype=np.int32).T
-    told_words = {w for w, i in words.items() if any(f in index for f in features_of(w))}
+    told_words = {w for w, i in words.items() if features_of(w, index)}
     in_use = [[words[w] for w in s if w in told_words] for bag in bags for s in bag]
     sizes = [len(s) for s in in_use]
     word = np.fromiter((w for s in in_use for w in s), np.int32, sum(sizes))
@@ -143,6 +151,8 @@ class Scorer:
         self.value: dict[bytes, float] = {}
 
     def _value(self, word: bytes) -> float:
+        if len(word) > MAX_KNOWN:
+            return sum(self.weight[f] for f in features_of(word, self.weight))
         if len(self.value) > MAX_WORDS:
             self.value.clear()
         x = self.value[word] = sum(self.weight.get(f, 0.0) for f in features_of(word))

@@ -46,6 +46,42 @@ def test_noisy_or_is_the_product(spark):
     assert math.isclose(s.score(b"Plain words. BAD bad word! good one"), 1 - math.prod(1 - x for x in p))
 
 
+def brute_value(model, word):
+    marked = b"^" + word + b"$"
+    runs = {b"=" + word} | {marked[i:i + 4] for i in range(len(marked)) if len(marked[i:i + 4]) == 4}
+    return sum(w for f, w in model.items() if f != toxicity.BIAS and f.encode("latin-1") in runs)
+
+
+def test_long_words_count_whole():
+    """Runs after byte 64 of a word, its true end included, in scoring."""
+    stem = "畜生".encode()
+    model = {toxicity.BIAS: -5.0, stem[:4].decode("latin-1"): 3.0, stem[1:5].decode("latin-1"): 4.0, "ine$": 2.0, "^fil": 1.0}
+    s = toxicity.Scorer(model)
+    for word in [b"fil" + b"x" * 61, b"fil" + b"x" * 62, b"fil" + b"x" * 90 + b"ine", "天気".encode() * 40 + stem + "空".encode() * 9,
+                 stem + "海".encode() * 5_000 + stem, "海".encode() * 60]:
+        want = 1 / (1 + math.exp(5.0 - brute_value(model, word)))
+        for _ in range(2):  # once more with what the scorer remembers
+            assert math.isclose(s.score(word), want, rel_tol=1e-9), word[:20]
+    assert all(len(w) <= toxicity.MAX_KNOWN for w in s.value)
+
+
+def test_learns_from_text_without_spaces(spark):
+    """An offending stem after byte 64 of a run without spaces is learned, scored and rejected."""
+    rng = random.Random(8)
+    signs = [chr(0x4E00 + 7 * k) for k in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        rows.append((i, "".join(rng.choices(signs, k=40)) + ("畜生" if bad else "") + "".join(rng.choices(signs, k=20))))
+        labels.append((i, None, int(bad)))
+    df = docs(spark, rows)
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = {r.doc_id: r for r in toxicity.scored(df, model).collect()}
+    assert {i for i, r in out.items() if r.predicted} == {i for i, _, bad in labels if bad}
+    assert {r.doc_id for r in toxicity.sentences(df, model).collect()} == {i for i, _, bad in labels if bad}
+    assert {r.doc_id for r in toxicity.not_toxic(df, model).collect()} == {i for i, _, bad in labels if not bad}
+
+
 def test_awkward_and_unlabelled(spark):
     df = docs(spark, AWKWARD)
     nothing = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
