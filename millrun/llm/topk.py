@@ -18,8 +18,9 @@ dropped, and neither side is broadcast.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part, nor do rows with a null id; rows with the query's own id
-are not its candidates; repeated rows are candidates each; a query only meets
-vectors of its own length; scores outside 64 bits are held at the 64-bit limits;
+are not its candidates; repeated rows are candidates each; of an id's rows with
+different vectors, that with the smallest vector (compared component by
+component, a prefix first) is the query; a query only meets vectors of its own length; scores outside 64 bits are held at the 64-bit limits;
 extra columns are ignored.
 """
 
@@ -154,14 +155,15 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, lists: int = 4) ->
     whole = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    queries = whole.filter(F.col("id") % every == 0)
+    # Written, so that both phases see the same query rows.
+    queries = written(whole.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
     candidates = written(_packed(whole, CANDIDATES), "candidate_blocks")
     groups = parts(spark)
-    seen = _heads(_met(_packed(queries.dropDuplicates(["id"]), QUERIES), candidates, groups), k, lists)
+    seen = _heads(_met(_packed(queries, QUERIES), candidates, groups), k, lists)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoffs = (seen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
                .groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("cutoff")))
-    known = (queries.dropDuplicates(["id"]).join(cutoffs, F.col("id") == F.col("query_id"), "left")
+    known = (queries.join(cutoffs, F.col("id") == F.col("query_id"), "left")
              .select("id", "v", F.coalesce("cutoff", F.lit(-2 ** 63)).alias("cutoff")))
     found = _resolved(_met(_packed(known, QUERIES, cutoff=True), candidates, groups), k, lists)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

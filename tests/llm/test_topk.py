@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import pytest
 
@@ -37,6 +38,16 @@ def test_ties_repeats_and_bad_vectors(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_smallest_vector_of_an_id_is_the_query(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(q, [rng.gauss(0, 3) for _ in range(6)]) for q in range(0, 1000, 100) for _ in range(3)]
+    rows = [(i, struct.unpack("6f", struct.pack("6f", *v))) for i, v in rows]
+    rows.sort(key=lambda r: r[1], reverse=True)  # brute() takes the last row of an id
+    got = [tuple(r) for r in topk.search(table(spark, [(i, list(v)) for i, v in rows])).collect()]
+    assert len(got) == 100 and set(got) == brute(rows)
+
+
 def test_few_candidates_and_empty(spark):
     assert topk.search(table(spark, [])).count() == 0
     rows = [(0, [1.0, 2.0]), (1, [3.0, -1.0])]
