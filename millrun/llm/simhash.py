@@ -200,30 +200,38 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return _links(dealt, max_bits).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id``, one row per document row."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """``doc_id, text_hash, fp, root, component_id``, one row per document row; ``root``,
+    the component's smallest linked fingerprint, is its own even where ids repeat."""
     base = written(fingerprints(docs, shingle), "fingerprints")
     firsts = written(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fp")
     linked = components(links(firsts.select("fp"), max_bits))
     # Only fingerprints that have links need their component's smallest id.
     roots = (linked.join(firsts.withColumnRenamed("fp", "node"), "node")
              .groupBy("root").agg(F.min("first_id").alias("root_id")))
-    moved = linked.join(roots, "root").select(F.col("node").alias("fp"), "root_id")
+    moved = linked.join(roots, "root").select(F.col("node").alias("fp"), "root", "root_id")
     ids = (firsts.join(moved, "fp", "left")
-           .select("fp", F.coalesce("root_id", "first_id").alias("component_id")))
+           .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("root_id", "first_id").alias("component_id")))
     # Both sides are plain tables, so that adaptive execution can split a hot fingerprint's rows.
-    return base.join(written(ids, "fp_components"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return base.join(written(ids, "fp_components"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id``, one row per document row."""
+    return _grouped(docs, shingle, max_bits).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One document (all its columns) of each component: that with the smallest id.
 
     A row is found again by its id and a hash of its text; of repeated rows one
-    stays. Components that hold only null ids keep one row per fingerprint."""
-    groups = near_duplicates(docs, shingle, max_bits)
+    stays. An id on rows of several components stands for each of them; on linked
+    rows with different texts, that with the smallest hash stays. Components that
+    hold only null ids keep one row per fingerprint."""
+    groups = _grouped(docs, shingle, max_bits)
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = (groups.filter("component_id is null or doc_id = component_id")
-            .groupBy("component_id", alone.alias("alone"))
+            .groupBy("root", alone.alias("alone"))
             .agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
             .select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.doc_id").isNull().alias("__none"),
                     F.col("k.text_hash").alias("__hash")))

@@ -105,3 +105,17 @@ def test_representatives(spark):
     fps = brute_components([(i, brute_fp(t)) for i, t in AWKWARD], 4)
     want = sorted({fps[brute_fp(t)] for _, t in AWKWARD})
     assert sorted(r.doc_id for r in out.collect()) == want
+
+
+def test_representatives_of_one_id_with_two_texts(spark):
+    """Each component keeps one row, also where two have the same smallest id."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta " * 4, "one two three four five six seven " * 4,
+               "red orange yellow green blue indigo violet " * 4)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, a), (None, "lone null id"), (1, b)]
+    df = docs(spark, rows)
+    assert len({brute_fp(t) for t in (a, b, c)}) == len(brute_components([(i, brute_fp(t)) for i, t in enumerate((a, b, c))], 4)) == 3
+    assert len(set(brute_components([(i, brute_fp(t)) for i, t in enumerate((a, b, c))], 4).values())) == 3
+    out = simhash.representatives(df)
+    assert out.schema == df.schema
+    want = [(1, a), (1, b), (4, c), (None, "lone null id")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
