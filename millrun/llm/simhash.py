@@ -9,8 +9,10 @@ verified on all 64 bits.
 
 A bucket gives only a spanning set of its verified links, not all its pairs:
 components need no more. Exact copies share one fingerprint and are collapsed
-before. Buckets with over ``HOT_BUCKET`` table rows are dealt out as a grid of
-block pairs, so no task holds an unbounded bucket and no link is lost.
+before. Buckets with over ``HOT_BUCKET`` table rows, or probes from crowded
+neighbours, are dealt out as cells of two table blocks and of a table and a probe
+block (probes needn't meet), so no task holds an unbounded bucket and no link is
+lost. A bucket's probes are counted from its neighbours' table rows.
 
 Defined cases: null and empty texts have fingerprint 0, linked like any other;
 a null ``doc_id`` row is kept and never is a component's smallest id (a
@@ -32,7 +34,7 @@ from millrun.llm.common import by_doc, parts, ship, utf8, written
 from millrun.llm.components import components
 from millrun.operators.joins import checked_broadcast
 
-#: Table rows of one bucket that one task compares; larger buckets are dealt out in blocks.
+#: Table rows or probes of one bucket that one task compares; larger buckets are dealt out in blocks.
 HOT_BUCKET = 4096
 #: Hash values turned into bit rows at once.
 _STEP = 1 << 16
@@ -113,10 +115,11 @@ def _rows(key, fp, probe: bool):
 
 def _span(fp: np.ndarray, probe: np.ndarray, max_bits: int):
     """Verified links that span the components of one bucket: breadth first from
-    each unvisited row, so a dense bucket costs about one pass over its rows."""
-    rest = np.arange(len(fp))
+    each unvisited table row (probes left over have no link), so a dense bucket
+    costs about one pass over its rows."""
+    rest = np.argsort(probe, kind="stable")
     found = []
-    while len(rest):
+    while len(rest) and not probe[rest[0]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             u = queue.pop()
@@ -172,30 +175,56 @@ def _links(filed: DataFrame, max_bits: int) -> DataFrame:
     return filed.mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``a, b``: links (``a < b``) whose components are those of all pairs within ``max_bits``."""
-    if not 0 <= max_bits <= 16:
-        raise ValueError("max_bits must be 0 to 16")
-    spark = distinct.sparkSession
-    ship(spark)
-    filed = _filed(distinct, max_bits)
-    cut, _ = segments(max_bits)
+def _hot_buckets(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``key, blocks, probe_blocks`` of the buckets to deal out.
+
+    A fingerprint probes the larger neighbours of its own segments, so a bucket's
+    probes are its smaller neighbours' table rows. Neighbours that share evenly in
+    ``HOT_BUCKET`` or less are left out; together they send no more than that."""
+    cut, radius = segments(max_bits)
+    masks = [_masks(w, radius) for _, w in cut]
     own = F.array(*[F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1)).bitwiseOR(F.lit(i << 56))
                     for i, (s, w) in enumerate(cut)])
-    hot = (distinct.select(F.explode(own).alias("key")).groupBy("key").count()
-           .filter(F.col("count") > HOT_BUCKET)
-           .select("key", F.ceil(F.col("count") / F.lit(HOT_BUCKET / 2)).cast("int").alias("blocks")))
-    hot = written(hot, "hot_buckets")
+    few = HOT_BUCKET // max(1, *map(len, masks))
+    full = written(distinct.select(F.explode(own).alias("key")).groupBy("key").count()
+                   .filter(F.col("count") > few), "full_buckets")
+    near = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in masks]),
+                        (F.shiftright("key", 56) + 1).cast("int"))
+    probes = (full.select("key", "count", F.explode(near).alias("mask"))
+              .select(F.col("key").alias("of"), F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "count")
+              .filter("key > of").select("key", F.lit(0).alias("rows"), F.col("count").alias("probes")))
+    block = F.lit(HOT_BUCKET / 2)
+    return (full.select("key", F.col("count").alias("rows"), F.lit(0).alias("probes")).union(probes)
+            .groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("probes").alias("probes"))
+            .filter((F.col("rows") > HOT_BUCKET) | (F.col("probes") > HOT_BUCKET))
+            .select("key", F.greatest(F.lit(1), F.ceil(F.col("rows") / block)).cast("int").alias("blocks"),
+                    F.greatest(F.lit(1), F.ceil(F.col("probes") / block)).cast("int").alias("probe_blocks")))
+
+
+def _dealt(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``key, i, j, fp, probe``: the rows of every bucket, hot ones by cells: table blocks
+    ``i <= j < blocks``, or table block ``i`` and probe block ``j - blocks``."""
+    hot = written(_hot_buckets(distinct, max_bits), "hot_buckets")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    probe_block = F.pmod(F.xxhash64("fp"), F.col("probe_blocks")).cast("int") + F.col("blocks")
+    tables = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.sequence(F.lit(0), F.col("blocks") + F.col("probe_blocks") - 1)
     cells = (F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-             .when(F.col("probe"), F.transform(others, lambda j: F.struct(j.alias("i"), j.alias("j"))))
+             .when(F.col("probe"), F.transform(tables, lambda i: F.struct(i.alias("i"), probe_block.alias("j"))))
              .otherwise(F.transform(others, lambda j: F.struct(F.least(block, j).alias("i"),
                                                                F.greatest(block, j).alias("j")))))
-    dealt = (filed.join(checked_broadcast(hot, 100_000), "key", "left")
-             .select("key", "fp", "probe", F.explode(cells).alias("cell"))
-             .select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "fp", "probe")
-             .repartition(parts(spark), "key", "i", "j")
+    return (_filed(distinct, max_bits).join(checked_broadcast(hot, 100_000), "key", "left")
+            .select("key", "fp", "probe", F.explode(cells).alias("cell"))
+            .select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "fp", "probe"))
+
+
+def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``a, b``: links (``a < b``) whose components are those of all pairs within ``max_bits``."""
+    if not 0 <= max_bits <= 16:
+        raise ValueError("max_bits must be 0 to 16")
+    spark = distinct.sparkSession
+    ship(spark)
+    dealt = (_dealt(distinct, max_bits).repartition(parts(spark), "key", "i", "j")
              .sortWithinPartitions("key", "i", "j"))
     return _links(dealt, max_bits).distinct()
 

@@ -92,6 +92,20 @@ def test_links_of_dense_clusters(spark, monkeypatch, bits, hot):
     assert sorted(mine.values()) == sorted(groups.values())
 
 
+def test_probes_of_a_bucket_are_dealt_out(spark, monkeypatch):
+    """Many probes at few table rows: no cell holds them all, and no link is lost."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 64)
+    rng = random.Random(3)
+    high = [rng.getrandbits(43) << 21 for _ in range(1500)]
+    fps = sorted({h | 0b1000 for h in high} | {h | 0b1001 for h in high[:5]})  # segments differ in one bit
+    signed = spark.createDataFrame([(f - 2 ** 64 if f >= 2 ** 63 else f,) for f in fps], "fp long")
+    cells = simhash._dealt(signed, 4).groupBy("key", "i", "j").count().collect()
+    assert max(r["count"] for r in cells) <= 3 * 64
+    got = {(r.a, r.b) for r in simhash.links(signed, 4).collect()}
+    sign = lambda f: f - 2 ** 64 if f >= 2 ** 63 else f
+    assert got == {tuple(sorted((sign(h | 0b1000), sign(h | 0b1001)))) for h in high[:5]}
+
+
 def test_long_chain(spark):
     """Components of a chain longer than any one bucket."""
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
