@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import millrun
@@ -76,3 +76,21 @@ def by_doc(batch, n: int = 256):
     """Slices of an Arrow batch, so that only some texts at a time become Python objects."""
     for i in range(0, batch.num_rows, n):
         yield batch.slice(i, n)
+
+
+def numbered_cells(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt out by ranges of ``key`` and ``order``, and the cells (range, key) that they fall in.
+
+    A row carries ``_part``, its range, and ``_nth``, its place in its cell from 1. A cell carries
+    ``_before``, the rows of its key in earlier ranges, and ``_all``, all rows of its key. So a
+    key's rows are numbered ``_nth + _before`` without ever being in one task: a hot key, equal
+    rows included, takes as many ranges as it fills. Nulls come first."""
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts(df.sparkSession), *key, *order, "_tie").withColumn("_part", F.spark_partition_id())
+    rows = written(rows, "ranges")
+    own = Window.partitionBy("_part", *key).orderBy(*order, "_tie")
+    cells = rows.groupBy("_part", *key).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_part", *key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(*key)).alias("_all"))
+    return rows.withColumn("_nth", F.row_number().over(own).cast("long")).drop("_tie"), cells

@@ -138,3 +138,49 @@ SELECT d.conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(length(
        CAST(d.chars + coalesce(h.chars, 0) + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
 FROM d LEFT JOIN h ON d.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN r ON d.conv_id IS NOT DISTINCT FROM r.conv_id
 """
+
+#: CRC-32 of a number's decimal text: a byte is taken in, then eight steps (marked -1) follow.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1),
+           lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT)"""
+
+ORACLE["op13_prefix_trie"] = rf"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT c, n, c - c % 20 AS base, {_CRC} % 4 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c)
+), r AS (
+  SELECT k.c, o.seq AS pos, role, text FROM k JOIN o ON o.c = k.base AND o.seq <= k.h
+  UNION ALL
+  SELECT k.c, o.seq - k.h + least(k.h, coalesce(b.n, 0)) AS pos, role, text
+  FROM k JOIN o ON o.c = k.c AND o.seq > k.h LEFT JOIN k b ON b.c = k.base
+), p AS (
+  SELECT c, 0 AS depth, sha256('') AS f, NULL AS parent, 0 AS words FROM k
+  UNION ALL
+  SELECT c, pos AS depth, sha256(string_agg(t, '' ORDER BY pos) OVER w) AS f,
+         sha256(coalesce(string_agg(t, '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS parent,
+         words
+  FROM (SELECT c, pos, sha256(length(role) || ':' || role || text) AS t,
+               len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r)
+  WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), size AS (
+  SELECT c, max(depth) AS size FROM p GROUP BY c
+), node AS (
+  SELECT depth, f, min(p.c) AS c, count(*) AS n_convs, any_value(parent) AS parent, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (size = depth), '')) AS ends_sha256
+  FROM p JOIN size USING (c) GROUP BY depth, f
+), kids AS (
+  SELECT depth - 1 AS depth, parent AS f, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, f)
+), total AS (
+  SELECT p.depth, p.f, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * own.words) AS saved
+  FROM own JOIN p ON p.c = own.c AND p.depth <= own.depth GROUP BY p.depth, p.f
+)
+SELECT own.c AS conv_id, CAST(own.depth AS BIGINT) AS depth, up.c AS parent_conv_id, CAST(own.n_convs AS BIGINT) AS n_convs,
+       CAST(own.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       own.ends_sha256, CAST(own.words AS BIGINT) AS words
+FROM own JOIN total USING (depth, f) LEFT JOIN node up ON up.depth = own.depth - 1 AND up.f = own.parent
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrun.llm import (chat, decontaminate, langid, packing, simhash, suffix_dedup, tokencount, topk,
-                         toxicity, warc)
+                         toxicity, trie, warc)
 from millrun.llm.common import table
 
 REGISTRY = {}
@@ -93,3 +93,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(r"\### Assistant: </turn> ok").alias("text"))
     return chat.digest(chat.formatted(given.unionByName(extra), budget=1024, history=256))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.sequences(table(spark, sf_dir, "conversations"), group=20, most=4))
