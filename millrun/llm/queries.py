@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrun.llm import (chat, decontaminate, langid, packing, simhash, suffix_dedup, tokencount, topk,
-                         toxicity, trie, warc)
+                         toxicity, trie, warc, whitening)
 from millrun.llm.common import table
 
 REGISTRY = {}
@@ -98,3 +98,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.sequences(table(spark, sf_dir, "conversations"), group=20, most=4))
+
+
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
