@@ -163,7 +163,8 @@ WITH o AS (
          sha256(coalesce(string_agg(t, '' ORDER BY pos) OVER (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS parent,
          words
   FROM (SELECT c, pos, sha256(length(role) || ':' || role || text) AS t,
-               len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r)
+               len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM r)
   WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)
 ), size AS (
   SELECT c, max(depth) AS size FROM p GROUP BY c
@@ -184,3 +185,24 @@ SELECT own.c AS conv_id, CAST(own.depth AS BIGINT) AS depth, up.c AS parent_conv
        own.ends_sha256, CAST(own.words AS BIGINT) AS words
 FROM own JOIN total USING (depth, f) LEFT JOIN node up ON up.depth = own.depth - 1 AND up.f = own.parent
 """
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM t)
+), m AS (
+  SELECT g, min(doc_id) AS first_id FROM s GROUP BY g HAVING min(doc_id) <> max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN m ON s.g = m.g AND m.first_id < s.doc_id
+), words AS (
+  SELECT t.doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM t) t
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS rest, count(*) AS n_kept
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.k = gone.k GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""

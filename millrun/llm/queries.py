@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import (chat, decontaminate, langid, packing, simhash, suffix_dedup, tokencount, topk,
-                         toxicity, trie, warc, whitening)
+from millrun.llm import (chat, decontaminate, langid, packing, simhash, substring_dedup, suffix_dedup, tokencount,
+                         topk, toxicity, trie, warc, whitening)
 from millrun.llm.common import table
 
 REGISTRY = {}
@@ -104,3 +104,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whitened(table(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
     return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@register
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"), length=50)

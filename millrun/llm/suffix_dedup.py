@@ -34,11 +34,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrun.llm.common import parts, ship, utf8, written
+from millrun.llm.common import parts, ship, written
+from millrun.llm.packs import LAST as _LAST
+from millrun.llm.packs import pack_rows, packed
 
 #: Bytes of an anchor; bytes and documents of a pack; packs that make an anchor hot.
 GRAM, PACK_BYTES, PACK_DOCS, HOT_PACKS = 16, 4 << 20, 20_000, 256
@@ -46,7 +47,6 @@ GRAM, PACK_BYTES, PACK_DOCS, HOT_PACKS = 16, 4 << 20, 20_000, 256
 SORT_BYTES = 1 << 18
 #: Bytes hashed at once, so that the arrays stay in a processor's cache.
 HASH_BYTES = 1 << 15
-_LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -109,50 +109,6 @@ def class_minima(body: np.ndarray, starts: np.ndarray, order: np.ndarray, length
 
 # ---- packs, anchors and contexts --------------------------------------------------
 
-def _packs(docs: DataFrame) -> DataFrame:
-    """``pack, rest, ids, sizes, body``: documents in arrival order, bodies compressed."""
-    rest = [c for c in docs.columns if c != "text"]
-    struct = F.struct(*[F.col(f"`{c}`") for c in rest])
-    rows = docs.select(struct.alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                       utf8(F.col("text")).alias("body"))
-
-    def run(batches):
-        ctx = TaskContext.get()
-        pack = (ctx.partitionId() if ctx else 0) << 32
-        held, size = [], 0
-
-        def flush():
-            rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
-            bodies = rows.column(2).to_pylist()
-            sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-            rest = rows.column(0).chunk(0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([pack]), pa.ListArray.from_arrays(pa.array([0, len(bodies)], pa.int32()), rest),
-                 pa.array([rows.column(1).to_numpy().astype("<i8").tobytes()]), pa.array([sizes.astype("<i8").tobytes()]),
-                 pa.array([zstandard.compress(b"".join(bodies), 3)])], ["pack", "rest", "ids", "sizes", "body"])
-
-        for batch in batches:
-            lens = batch.column(2).cast(pa.large_binary())
-            ends = np.frombuffer(lens.buffers()[1], "<i8")[lens.offset:lens.offset + len(lens) + 1]
-            a = 0
-            while a < batch.num_rows:
-                room = PACK_BYTES - size
-                b = int(np.searchsorted(ends, ends[a] + room, side="right")) - 1
-                b = min(max(b, a + (not held)), batch.num_rows, a + PACK_DOCS - sum(h[0].num_rows for h in held))
-                if b > a:
-                    held.append((batch.slice(a, b - a),))
-                    size += int(ends[b] - ends[a])
-                    a = b
-                if a < batch.num_rows or size >= PACK_BYTES:
-                    yield flush()
-                    pack, held, size = pack + 1, [], 0
-        if held:
-            yield flush()
-
-    kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"pack long, rest array<{kind}>, ids binary, sizes binary, body binary")
-
-
 def _hashed(raw: bytes, at: np.ndarray | None, a: int = 0, b: int = 0) -> np.ndarray:
     """Hashes of the runs of ``GRAM`` bytes at the places ``at``, or at all places from ``a`` to ``b``."""
     words = np.ndarray((max(len(raw) - 7, 0),), dtype="<u8", buffer=raw, strides=(1,))
@@ -242,13 +198,6 @@ class Pack:
         return own, s, e, o, list(known), least, offset, mark
 
 
-def _rows(batch):
-    """The rows of a batch of packs without ``rest``, one at a time."""
-    names = [n for n in batch.schema.names if n != "rest"]
-    for k in range(batch.num_rows):
-        yield {n: batch.column(n)[k].as_py() for n in names}
-
-
 def _share(hashes: np.ndarray, shares: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
 
@@ -258,7 +207,7 @@ def _anchors(packs: DataFrame, length: int, shares: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in _rows(batch):
+            for row in pack_rows(batch):
                 h = Pack(row["ids"], row["sizes"], row["body"], length).distinct
                 share = _share(h, shares)
                 blobs = [h[share == p].astype("<u4").tobytes() for p in range(shares)]
@@ -300,7 +249,7 @@ def _sent(flagged: DataFrame, length: int, shares: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in _rows(batch):
+            for row in pack_rows(batch):
                 pack = Pack(row["ids"], row["sizes"], row["body"], length)
                 _, _, _, _, texts, least, offset, mark = pack.contexts(_with_flags(row, pack, shares), length)
                 # single strings of hot anchors go by a hash of their own
@@ -449,7 +398,7 @@ def _decided(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     ship(spark)
     shares = parts(spark)
-    packs = written(_packs(docs), "packs")
+    packs = written(packed(docs, PACK_BYTES, PACK_DOCS), "packs")
     flags = _flags(_anchors(packs, length, shares))
     flags = written(flags.groupBy("pack").agg(F.collect_list(F.struct("share", "flags")).alias("flags"))
                     .withColumnRenamed("pack", "of"), "flags")
@@ -468,7 +417,7 @@ def report(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, row in enumerate(_rows(batch)):
+            for k, row in enumerate(pack_rows(batch)):
                 pack, gone = _covered(row, length, shares)
                 removed, spans, sha = [], [], []
                 for b, n in zip(pack.ends.tolist(), pack.sizes.tolist()):
@@ -494,7 +443,7 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, row in enumerate(_rows(batch)):
+            for k, row in enumerate(pack_rows(batch)):
                 pack, gone = _covered(row, length, shares)
                 kept = [pack.body[b - n:b][~gone[b - n:b]].tobytes().decode("utf-8", "ignore")
                         for b, n in zip(pack.ends.tolist(), pack.sizes.tolist())]
