@@ -8,12 +8,15 @@ further from its centroid than nearly all of that language's training texts is
 ``rejected``.
 
 Document frequencies are counted over all training rows; the centroids are
-fitted on ``SAMPLE`` rows per language, taken in hash order of the id. All texts
-are predicted whole.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-without any training row every text is ``und``; a null id counts as the empty
-text for the fold; repeated rows are predicted each; extra columns are ignored.
+fitted on at most ``SAMPLE`` rows per language, those with the smallest hashes of
+id and text. All texts are predicted whole.
+
+Defined cases: a null text, or one without a letter (a character of the Unicode
+letter categories), is ``und`` with score 0; without any training row every text
+is ``und``; a null id counts as the empty text for the fold; rows that repeat id
+and text are one row of the sample (and each counts in the frequencies); a language
+whose sampled texts are all empty isn't learned; repeated rows are predicted each;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,20 @@ from millrun.operators.joins import checked_broadcast
 
 #: Hashed dimensions, centroids and sampled training rows per language, k-means rounds.
 DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 800, 8
+#: Buckets of a language's rows that the sample is first taken from.
+BUCKETS = 1024
 #: Share of a language's training texts within the rejection distance, and slack on it.
 WITHIN, SLACK = 0.995, 0.1
 #: Bytes of text turned into n-grams at once.
 _STEP = 1 << 21
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; numbers such as one half or roman eight aren't."""
+    return _PLAIN.search(text) is not None or any(map(str.isalpha, text))
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
@@ -90,6 +99,21 @@ def _training(docs: DataFrame, fold: int, mod: int) -> DataFrame:
                        & (remainder(F.col("doc_id"), mod) != fold)).select("doc_id", "lang", "text")
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """``lang, h, body``: the ``SAMPLE`` rows of each language with the smallest hashes of id and text.
+
+    Hashes alone are ranked, first in buckets of each language, so that no task ranks
+    a language's rows. Equal rows have equal hashes and count once."""
+    keyed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    hashes = keyed.select("lang", "h").distinct().withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)))
+    for by in (["lang", "bucket"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("h")
+        hashes = hashes.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).drop("n")
+    chosen = hashes.select(F.col("lang").alias("as"), F.col("h").alias("of"))
+    kept = keyed.join(checked_broadcast(chosen, 500_000), (F.col("lang") == F.col("as")) & (F.col("h") == F.col("of")))
+    return kept.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "h", utf8(F.col("text")).alias("body"))
+
+
 def _idf(rows: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequencies over every training row."""
 
@@ -129,23 +153,18 @@ def train(docs: DataFrame, fold: int = 1, mod: int = 3) -> Model:
     ship(docs.sparkSession)
     rows = _training(docs, fold, mod)
     idf = _idf(rows)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE)
-              .select(F.col("doc_id").alias("id"), F.col("lang").alias("as")).distinct())
-    sample = rows.join(checked_broadcast(chosen, 500_000), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("as")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "body"])
-        texts = [bytes(b) for b in group["body"]]
-        x = weighted(counts(texts), idf)
+    sample = _sample(rows)
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending")])
+        x = weighted(counts(group.column("body").to_pylist()), idf)
         x = x[np.linalg.norm(x, axis=1) > 0.5]
-        if not len(x):
-            return pd.DataFrame({"lang": [], "centroids": [], "far": []})
-        c, far = clustered(x)
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centroids": [c.tobytes()], "far": [far]})
+        fitted = [clustered(x)] if len(x) else []
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(fitted), pa.string()),
+                         "centroids": pa.array([c.tobytes() for c, _ in fitted], pa.binary()),
+                         "far": pa.array([far for _, far in fitted], pa.float64())})
 
-    got = (sample.select("doc_id", "lang", utf8(F.col("text")).alias("body")).groupBy("lang")
-           .applyInPandas(run, "lang string, centroids binary, far double").orderBy("lang").collect())
+    got = sample.groupBy("lang").applyInArrow(run, "lang string, centroids binary, far double").orderBy("lang").collect()
     langs, limits, parts = [], [], [np.zeros((0, DIMENSIONS), np.float32)]
     for r in got:
         c = np.frombuffer(bytes(r["centroids"]), dtype=np.float32).reshape(-1, DIMENSIONS)
@@ -167,7 +186,7 @@ def predicted(docs: DataFrame, model: Model, fold: int = 1, mod: int = 3) -> Dat
                 texts = part.column(2).to_pylist()
                 lang, score, rejected = shared.value.predict([(t or "").encode() for t in texts])
                 for i, t in enumerate(texts):
-                    if t is None or not _LETTER.search(t):
+                    if t is None or not has_letter(t):
                         lang[i], score[i], rejected[i] = "und", 0.0, True
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
