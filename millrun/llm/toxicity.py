@@ -6,14 +6,16 @@ and the weights (of words and of runs of four bytes in them) are learned from do
 the documents' log loss. The sentences that made a document toxic are those with
 the highest probabilities, and ``sentences`` returns them.
 
-The model is fitted on a bounded sample (``sample`` labelled rows, taken in hash
-order of the id); every document is scored over its whole text.
+The model is fitted on at most ``SAMPLE`` labelled rows: of the labelled ids those
+with the smallest hashes, and of their rows those with the smallest hashes of id
+and text. Which features it has is decided by a significance test alone. Every
+document is scored over its whole text.
 
 Defined cases: null and empty texts have no sentence and score 0; a null id
 counts as the empty text for the fold and matches no label; rows with a null
-label, or ids labelled both ways, teach nothing; repeated rows are scored each;
-without any labelled row of each class all scores are 0; extra columns are
-ignored.
+label, or ids labelled both ways, teach nothing; rows that repeat id and text teach
+once and are scored each; without any labelled row of each class, or where nothing
+tells the classes apart, all scores are 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +25,15 @@ from collections.abc import Container
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrun.llm.common import by_doc, remainder, ship, utf8
 
-#: Labelled documents used for fitting, features kept, the least documents a feature is in, and
-#: the least z value of the difference between its shares of toxic and of clean documents.
-SAMPLE, MAX_FEATURES, MIN_DOCS, LEAST_Z = 6_000, 5_000, 4, 4.0
+#: Labelled documents used for fitting, the least documents a feature is in, and the least
+#: z value of the difference between its shares of toxic and of clean documents.
+SAMPLE, MIN_DOCS, LEAST_Z = 6_000, 4, 4.0
 #: Fixed gradient descent (Adam) settings.
 STEPS, RATE, DECAY = 150, 0.1, 0.1
 #: Words whose value a scorer remembers, and the bytes of the longest such word.
@@ -86,9 +87,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, float]:
         spread = math.sqrt(share * (1 - share) * (1 / bad + 1 / good))
         return (a / bad - b / good) / spread if spread and a + b >= MIN_DOCS else 0.0
 
-    told = {f: abs(z_value(f)) for f in {**seen[0], **seen[1]}}
-    kept = sorted((f for f, z in told.items() if z >= LEAST_Z), key=lambda f: (-told[f], f))[:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(kept)}
+    index = {f: i for i, f in enumerate(sorted(f for f in {**seen[0], **seen[1]} if abs(z_value(f)) >= LEAST_Z))}
     if not index:
         return {}
     pairs = [(i, index[f]) for w, i in words.items() for f in features_of(w, index)]
@@ -119,25 +118,28 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 2, mod: int = 4) -> DataFrame:
-    """``text, toxic`` of the labelled documents outside the held-out fold."""
+    """``h, body, toxic`` of at most ``SAMPLE`` rows of labelled documents outside the held-out fold."""
     known = (labels.filter(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), mod) != fold))
              .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
              .filter(F.col("toxic") == F.col("most")).select(F.col("doc_id").alias("id"), "toxic"))
-    return known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).join(
-        docs.select("doc_id", "text"), F.col("doc_id") == F.col("id")).select("doc_id", utf8(F.col("text")).alias("body"), "toxic")
+    some = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
+    rows = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id")).select(
+        F.xxhash64("doc_id", "text").alias("h"), "text", "toxic")
+    once = rows.groupBy("h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return once.orderBy("h").limit(SAMPLE).select("h", utf8(F.col("text")).alias("body"), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 2, mod: int = 4) -> dict[str, float]:
-    """Fit in one task on the bounded sample; only the word weights reach the driver."""
+    """Fit in one task on the bounded sample; only the feature weights reach the driver."""
     ship(docs.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "body"])
-        model = fit([bytes(b) for b in rows["body"]], rows["toxic"].to_numpy() == 1)
-        return pd.DataFrame({"word": list(model), "weight": list(model.values())})
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending")])
+        model = fit(rows.column("body").to_pylist(), np.array(rows.column("toxic").to_pylist(), dtype=np.int64) == 1)
+        return pa.table({"word": pa.array(list(model), pa.string()), "weight": pa.array(list(model.values()), pa.float64())})
 
     rows = training_rows(docs, labels, fold, mod)
-    got = rows.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(run, "word string, weight double").collect()
+    got = rows.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(run, "word string, weight double").collect()
     return {r["word"]: r["weight"] for r in got}
 
 
@@ -180,7 +182,7 @@ def scored(docs: DataFrame, model: dict[str, float], threshold: float = 0.3, fol
     """``doc_id, held_out, score, predicted, worst_sentence`` for every document row."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    shared = spark.sparkContext.broadcast(model)  # features of SAMPLE rows
 
     def run(batches):
         scorer = Scorer(shared.value)
