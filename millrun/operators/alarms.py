@@ -18,6 +18,8 @@ from millrun.functions.predicates import (condition_family, is_fault_prefix, is_
                                           not_fault_noise)
 from millrun.functions.time import (file_ticks_py, local_date, local_to_utc, minutes_between,
                                    shift_hours, ts_lit)
+from millrun.operators.latest import advanced, latest_rows
+from millrun.operators.newest import newest_days
 from millrun.sources import registry as R
 
 RECENT_COLUMNS = ("SourceName", "ConditionName", "SubConditionName", "Severity", "Priority",
@@ -26,6 +28,15 @@ SOURCE_COLUMNS = ("ConditionName", "SubConditionName", "Severity", "Message", "I
                   "LimitValue", "Active", "Acked")
 
 
+# What identifies an alarm, what makes an event the latest, and what is shown of it.
+ACTIVE_KEYS = ("SourceName", "ConditionName")
+ACTIVE_ORDER = ("TicksTimeStamp", "EventID")
+ACTIVE_PAYLOAD = ("EventTimeStamp", "SubConditionName", "Severity", "Priority", "Message",
+                  "InputValue", "LimitValue", "Active", "Acked", "GroupPath")
+STATE_KEYS = (*ACTIVE_KEYS, "GroupPath")
+STATE_PAYLOAD = tuple(c for c in ACTIVE_PAYLOAD if c not in STATE_KEYS)
+
+
 def check_range(name: str, value, rng: tuple[int, int]) -> None:
     """Out-of-range arguments are rejected, never clamped."""
     if value is None:
@@ -74,7 +85,7 @@ def _opt_eq(events: DataFrame, col: str, value) -> DataFrame:
     return events if value is None else events.where(F.col(col) == F.lit(value))
 
 
-def _shifted(col: str = "EventTimeStamp", alias: str | None = None, tz_hours=R.PLANT_TZ_OFFSET_HOURS) -> Column:
+def shifted(col: str = "EventTimeStamp", alias: str | None = None, tz_hours=R.PLANT_TZ_OFFSET_HOURS) -> Column:
     return shift_hours(col, tz_hours).alias(alias or col)
 
 
@@ -82,19 +93,8 @@ def _newest_first() -> list[Column]:
     return [F.col("TicksTimeStamp").desc(), F.col("EventID").desc()]
 
 
-def _newest_days(events: DataFrame, limit: int) -> DataFrame:
-    """Only the newest days of a stored log that surely hold the newest ``limit`` rows.
-
-    One row per day is counted (no event is read for an unfiltered log), so the
-    top-N then reads and merges a few days instead of every split."""
-    if "event_date" not in events.columns:
-        return events
-    held, first = 0, None
-    for r in events.groupBy("event_date").count().orderBy(F.col("event_date").desc()).toLocalIterator():
-        held, first = held + r["count"], r["event_date"]
-        if held >= limit:
-            break
-    return events if first is None else events.where(F.col("event_date") >= F.lit(first))
+def _day(bound: dt.datetime | None) -> dt.date | None:
+    return None if bound is None else bound.date()
 
 
 def recent(events: DataFrame, *, as_of: dt.datetime, limit: int = R.RECENT_LIMIT,
@@ -102,7 +102,8 @@ def recent(events: DataFrame, *, as_of: dt.datetime, limit: int = R.RECENT_LIMIT
            group: str | None = None, hours: int | None = None, from_local: str | None = None,
            to_local: str | None = None, tz_hours: int = R.PLANT_TZ_OFFSET_HOURS) -> DataFrame:
     """Newest ``limit`` events with optional filters (planned as a
-    ``TakeOrderedAndProject``: per-task top-N, then a merge of N rows each)."""
+    ``TakeOrderedAndProject``: per-task top-N, then a merge of N rows each). Of a
+    log stored by day only the newest days that hold them are opened."""
     check_range("limit", limit, R.LIMIT_RANGE)
     lo, hi = time_window(as_of, hours, from_local, to_local, None, tz_hours)
     e = in_ticks(events, lo, hi)
@@ -112,8 +113,8 @@ def recent(events: DataFrame, *, as_of: dt.datetime, limit: int = R.RECENT_LIMIT
     if condition is not None:
         e = e.where(condition_family(condition))
     e = _opt_eq(e, "GroupPath", group)
-    return (_newest_days(e, limit).orderBy(*_newest_first()).limit(limit)
-             .select(_shifted(tz_hours=tz_hours), *RECENT_COLUMNS))
+    return (newest_days(e, limit, since=_day(lo), until=_day(hi)).orderBy(*_newest_first()).limit(limit)
+             .select(shifted(tz_hours=tz_hours), *RECENT_COLUMNS))
 
 
 def source_history(events: DataFrame, source: str, *, as_of: dt.datetime,
@@ -128,8 +129,8 @@ def source_history(events: DataFrame, source: str, *, as_of: dt.datetime,
     e = in_ticks(events, lo, hi).where(F.col("SourceName") == F.lit(source))
     if condition is not None:
         e = e.where(condition_family(condition))
-    return (_newest_days(e, limit).orderBy(*_newest_first()).limit(limit)
-             .select(_shifted(tz_hours=tz_hours), *SOURCE_COLUMNS))
+    return (newest_days(e, limit, since=_day(lo), until=_day(hi)).orderBy(*_newest_first()).limit(limit)
+             .select(shifted(tz_hours=tz_hours), *SOURCE_COLUMNS))
 
 
 def active(events: DataFrame, *, as_of: dt.datetime, hours: int = R.ACTIVE_HOURS,
@@ -139,30 +140,49 @@ def active(events: DataFrame, *, as_of: dt.datetime, hours: int = R.ACTIVE_HOURS
     condition) inside the look-back has ``Active``. Fault noise, condition and
     group are filtered before picking the latest, ``acked`` after.
 
-    The latest event is a grouped ``max(struct(ticks, id, ...))``: combined
-    map-side, so a source with a third of the log is not one window partition.
-    (It is a sort-based partial aggregate because the payload has strings; each
-    task sorts only its own split and ships one row per key.)
+    The latest event is a hash aggregate of the newest ticks per key, combined
+    map-side, and a fetch of the winners' payload (``latest.latest_rows``), so a
+    source with a third of the log is not one window partition and no split is
+    sorted with its messages.
     """
     check_range("hours", hours, R.HOURS_RANGE)
     e = in_ticks(events, as_of - dt.timedelta(hours=hours), None).where(not_fault_noise())
     if condition is not None:
         e = e.where(condition_family(condition))
     e = _opt_eq(e, "GroupPath", group)
-    payload = ["EventTimeStamp", "SubConditionName", "Severity", "Priority", "Message",
-               "InputValue", "LimitValue", "Active", "Acked", "GroupPath"]
-    latest = e.groupBy("SourceName", "ConditionName").agg(
-        F.max(F.struct("TicksTimeStamp", "EventID", *payload)).alias("_l"))
-    x = latest.select("SourceName", "ConditionName", *[F.col("_l")[c].alias(c) for c in payload])
-    x = x.where(F.col("Active"))
+    return _standing(latest_rows(e, ACTIVE_KEYS, ACTIVE_ORDER, ACTIVE_PAYLOAD), acked, tz_hours)
+
+
+def _standing(latest: DataFrame, acked: bool | None, tz_hours: int) -> DataFrame:
+    x = latest.where(F.col("Active"))
     if acked is not None:
         x = x.where(F.col("Acked") == F.lit(bool(acked)))
-    return (x.select(_shifted(tz_hours=tz_hours), "SourceName", "ConditionName", "SubConditionName",
+    return (x.select(shifted(tz_hours=tz_hours), "SourceName", "ConditionName", "SubConditionName",
                      "Severity", "Priority", "Message", "InputValue", "LimitValue", "Active",
                      "Acked", "GroupPath")
              .orderBy(F.col("Severity").desc(), F.col("EventTimeStamp").desc()))
 
 
+def active_state(state: DataFrame | None, new_events: DataFrame) -> DataFrame:
+    """W1 as kept state: the latest event that isn't fault noise per (source, condition,
+    group), after ``new_events``. The group is part of the key, because it is filtered
+    before the latest event is picked."""
+    return advanced(state, new_events.where(not_fault_noise()), STATE_KEYS, ACTIVE_ORDER, STATE_PAYLOAD)
+
+
+def active_from_state(state: DataFrame, *, as_of: dt.datetime, hours: int = R.ACTIVE_HOURS,
+                      condition: str | None = None, group: str | None = None, acked: bool | None = None,
+                      tz_hours: int = R.PLANT_TZ_OFFSET_HOURS) -> DataFrame:
+    """``active`` from the state of the whole log: a latest event older than the look-back
+    means that its key has none inside it."""
+    check_range("hours", hours, R.HOURS_RANGE)
+    e = state.where(F.col("TicksTimeStamp") >= F.lit(file_ticks_py(as_of - dt.timedelta(hours=hours))))
+    if condition is not None:
+        e = e.where(condition_family(condition))
+    e = _opt_eq(e, "GroupPath", group)
+    return _standing(latest_rows(e, ACTIVE_KEYS, ACTIVE_ORDER, ACTIVE_PAYLOAD), acked, tz_hours)
+
+
 def daily(events: DataFrame, *, as_of: dt.datetime, days: int = R.DAILY_DAYS,
           tz_hours: int = R.PLANT_TZ_OFFSET_HOURS) -> DataFrame:
     """Events per plant-local day since local midnight ``days`` days before
@@ -193,7 +213,7 @@ def noisy(events: DataFrame, *, as_of: dt.datetime, hours: int = R.NOISY_HOURS,
         F.min("EventTimeStamp").alias("_first"), F.max("EventTimeStamp").alias("_last"))
     return (g.orderBy(F.col("event_count").desc(), "SourceName", "ConditionName").limit(top)
              .select("SourceName", "ConditionName", "event_count",
-                     _shifted("_first", "first_event", tz_hours), _shifted("_last", "last_event", tz_hours)))
+                     shifted("_first", "first_event", tz_hours), shifted("_last", "last_event", tz_hours)))
 
 
 def groups(events: DataFrame, *, as_of: dt.datetime | None = None, hours: int | None = None,
@@ -205,7 +225,7 @@ def groups(events: DataFrame, *, as_of: dt.datetime | None = None, hours: int |
     g = e.groupBy("GroupPath").agg(F.count(F.lit(1)).alias("event_count"),
                                    F.max("EventTimeStamp").alias("_last"))
     return (g.select("GroupPath", F.substring_index("GroupPath", ".", 1).alias("plant_area"),
-                     "event_count", _shifted("_last", "last_event", tz_hours))
+                     "event_count", shifted("_last", "last_event", tz_hours))
              .orderBy(F.col("event_count").desc(), "GroupPath"))
 
 
@@ -219,8 +239,8 @@ def faults(events: DataFrame, *, as_of: dt.datetime, hours: int = R.FAULTS_HOURS
                                     F.min("EventTimeStamp").alias("_first"),
                                     F.max("EventTimeStamp").alias("_last"))
     return (g.orderBy(F.col("fault_count").desc(), "SourceName").limit(top)
-             .select("SourceName", "fault_count", _shifted("_first", "first_fault", tz_hours),
-                     _shifted("_last", "last_fault", tz_hours)))
+             .select("SourceName", "fault_count", shifted("_first", "first_fault", tz_hours),
+                     shifted("_last", "last_fault", tz_hours)))
 
 
 def heartbeat(events: DataFrame, *, as_of: dt.datetime,
@@ -231,6 +251,6 @@ def heartbeat(events: DataFrame, *, as_of: dt.datetime,
     agg = events.agg(F.max_by("EventTimeStamp", "TicksTimeStamp").alias("_newest"),
                      F.count(F.lit(1)).alias("total_rows"))
     mins = minutes_between(F.col("_newest"), ts_lit(as_of))
-    return agg.select(_shifted("_newest", "newest_event", tz_hours),
+    return agg.select(shifted("_newest", "newest_event", tz_hours),
                       mins.alias("minutes_since_last"), "total_rows",
                       F.coalesce(mins < R.HEARTBEAT_OK_MINUTES, F.lit(False)).alias("logging_ok"))

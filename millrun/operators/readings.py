@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions.predicates import good_status, in_window
-from millrun.operators.joins import checked_broadcast, with_tag_names
+from millrun.operators.joins import checked_broadcast, fits, known_only, with_tag_names
+from millrun.operators.latest import advanced, latest_rows
+from millrun.operators.newest import newest_days
 from millrun.sources import registry as R
 
 PROJECTION = ("plant", "DateAndTime", "Val", "TagIndex", "TagName")
@@ -60,24 +62,41 @@ def newest(readings: DataFrame, tags: DataFrame, n: int = R.NEWEST_READINGS,
            bad: Sequence[str] = ("E",)) -> DataFrame:
     """The newest ``n`` good readings of each plant (known tags only).
 
-    ``row_number() <= n`` per plant is planned as a partial ``WindowGroupLimit``
-    before the shuffle, so each task ships at most ``n`` rows per plant.
+    Of readings stored by plant and day only each plant's newest days that hold them
+    are opened. ``row_number() <= n`` per plant is planned as a partial
+    ``WindowGroupLimit`` before the shuffle, so each task ships at most ``n`` rows
+    per plant.
     """
-    r = with_tag_names(readings.where(good_status(bad)), tags)
+    r = newest_days(with_tag_names(readings.where(good_status(bad)), tags), n, by=("plant",))
     w = Window.partitionBy("plant").orderBy(F.col("DateAndTime").desc(), F.col("seq").desc())
     return (r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
              .select(*PROJECTION).orderBy("plant", F.col("DateAndTime").desc()))
 
 
+TAG_KEYS, TAG_ORDER = ("plant", "TagIndex"), ("DateAndTime", "seq")
+
+
 def latest_per_tag(readings: DataFrame, tags: DataFrame, bad: Sequence[str] = ("E",)) -> DataFrame:
     """The latest good reading of every known tag.
 
-    A grouped ``max`` over ``struct(DateAndTime, seq, Val)`` instead of a
-    window: it is combined map-side, so a tag with a third of all rows costs
+    A hash aggregate of the newest time per tag, combined map-side, then a fetch of the
+    readings at that time (``latest.latest_rows``); a tag with a third of all rows costs
     one partial row per task, not one giant window partition.
     """
-    r = readings.where(good_status(bad))
-    last = r.groupBy("plant", "TagIndex").agg(F.max(F.struct("DateAndTime", "seq", "Val")).alias("_l"))
-    last = with_tag_names(last, tags)
-    return last.select("plant", F.col("_l.DateAndTime").alias("DateAndTime"),
-                       F.col("_l.Val").alias("Val"), "TagIndex", "TagName")
+    few = fits(tags.select("plant", "TagIndex", "TagName"))
+    r = known_only(readings.where(good_status(bad)), tags)  # so no more keys than tags
+    return _named(latest_rows(r, TAG_KEYS, TAG_ORDER, ("Val",), few_keys=few), tags)
+
+
+def latest_state(state: DataFrame | None, new_readings: DataFrame, bad: Sequence[str] = ("E",)) -> DataFrame:
+    """T2 as kept state: the latest good reading of every (plant, tag) after ``new_readings``."""
+    return advanced(state, new_readings.where(good_status(bad)), TAG_KEYS, TAG_ORDER, ("Val",))
+
+
+def latest_from_state(state: DataFrame, tags: DataFrame) -> DataFrame:
+    """``latest_per_tag`` from the state of all readings."""
+    return _named(state, tags)
+
+
+def _named(last: DataFrame, tags: DataFrame) -> DataFrame:
+    return with_tag_names(last, tags).select("plant", "DateAndTime", "Val", "TagIndex", "TagName")

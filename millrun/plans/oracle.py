@@ -459,10 +459,11 @@ def _alarm_bounds():
     local_today = (P.AS_OF + dt.timedelta(hours=R.PLANT_TZ_OFFSET_HOURS)).date()
     start = dt.datetime.combine(local_today - dt.timedelta(days=P.MAX_DAYS), dt.time()) \
         - dt.timedelta(hours=R.PLANT_TZ_OFFSET_HOURS)
-    return lo_hours, lo_win, hi_win, file_ticks_py(start)
+    lo_edge = file_ticks_py(P.EDGE_AS_OF - dt.timedelta(hours=P.EDGE_HOURS))
+    return lo_hours, lo_win, hi_win, file_ticks_py(start), lo_edge
 
 
-_LO_H, _LO_W, _HI_W, _LO_DAILY = _alarm_bounds()
+_LO_H, _LO_W, _HI_W, _LO_DAILY, _LO_EDGE = _alarm_bounds()
 _SHIFT = f"INTERVAL {R.PLANT_TZ_OFFSET_HOURS} HOUR"
 _NOT_NOISE = "(Message IS NULL OR NOT starts_with(Message, 'Alarm fault'))"
 _FAMILY = lambda c: f"(ConditionName = {_q(c)} OR starts_with(ConditionName, {_q(c + '_')}))"
@@ -518,12 +519,12 @@ FROM alarms WHERE TicksTimeStamp >= {_LO_DAILY}
 GROUP BY CAST(EventTimeStamp + {_SHIFT} AS DATE)"""
 
 
-def _noisy(group=None):
+def _noisy(group=None, since=_LO_H):
     g = f"AND GroupPath = {_q(group)}" if group else ""
     return f"""WITH {ALARMS}
 SELECT SourceName, ConditionName, count(*) AS event_count,
        min(EventTimeStamp) + {_SHIFT} AS first_event, max(EventTimeStamp) + {_SHIFT} AS last_event
-FROM alarms WHERE TicksTimeStamp >= {_LO_H} {g}
+FROM alarms WHERE TicksTimeStamp >= {since} {g}
 GROUP BY SourceName, ConditionName
 ORDER BY event_count DESC, SourceName ASC NULLS FIRST, ConditionName ASC NULLS FIRST LIMIT 50"""
 
@@ -536,13 +537,17 @@ SELECT GroupPath, split_part(GroupPath, '.', 1) AS plant_area, count(*) AS event
        max(EventTimeStamp) + {_SHIFT} AS last_event
 FROM alarms GROUP BY GroupPath"""
 
-ORACLE["alarm_faults"] = f"""WITH {ALARMS}
+def _faults(since=_LO_H):
+    return f"""WITH {ALARMS}
 SELECT SourceName, count(*) AS fault_count, min(EventTimeStamp) + {_SHIFT} AS first_fault,
        max(EventTimeStamp) + {_SHIFT} AS last_fault
-FROM alarms WHERE contains(Message, 'quality is bad') AND TicksTimeStamp >= {_LO_H}
+FROM alarms WHERE contains(Message, 'quality is bad') AND TicksTimeStamp >= {since}
 GROUP BY SourceName
 ORDER BY fault_count DESC, SourceName ASC NULLS FIRST LIMIT 50"""
 
+
+ORACLE["alarm_faults"] = _faults()
+
 ORACLE["alarm_heartbeat"] = f"""WITH {ALARMS},
 h AS (SELECT arg_max(EventTimeStamp, TicksTimeStamp) AS newest, count(*) AS total_rows FROM alarms),
 m AS (SELECT *, date_diff('minute', date_trunc('minute', newest),
@@ -551,6 +556,14 @@ SELECT newest + {_SHIFT} AS newest_event, mins AS minutes_since_last, total_rows
        coalesce(mins < {R.HEARTBEAT_OK_MINUTES}, false) AS logging_ok
 FROM m"""
 
+# The same results from kept state and from daily partial aggregates.
+ORACLE["alarm_active_state"] = _active("", "AND Acked = false")
+ORACLE["readings_latest_state"] = ORACLE["readings_latest_per_tag"]
+ORACLE["alarm_daily_rollup"] = ORACLE["alarm_daily"]
+ORACLE["alarm_noisy_rollup"] = _noisy(since=_LO_EDGE)
+ORACLE["alarm_groups_rollup"] = ORACLE["alarm_groups"]
+ORACLE["alarm_faults_rollup"] = _faults(_LO_EDGE)
+
 
 # ---------------------------------------------------------- per-plant policy
 

@@ -47,6 +47,13 @@ GROUP = "Area 1.Alarm_Main"
 FROM_LOCAL = "2024-01-01 07:00:00"
 TO_LOCAL = "2024-01-31 07:00:00.5"
 
+# Days up to which kept state and the rollup have been advanced, and a window that
+# starts inside the first day, 1 ms after its midnight (before the first event).
+BATCH_DAYS = (dt.date(2024, 1, 9), dt.date(2024, 1, 22))
+ROLLED_TO = dt.date(2024, 1, 25)
+EDGE_AS_OF = dt.datetime(2024, 1, 30, 17, 0, 0, 1000)
+EDGE_HOURS = 713
+
 # Weighing pivot filters.
 MIN_WEIGHT = 20.0
 MAX_WEIGHT = 45.0

@@ -523,3 +523,66 @@ def alarm_heartbeat(spark, sf_dir):
     """Newest event, minutes since, total rows, logging_ok."""
     from millrun.operators.alarms import heartbeat
     return heartbeat(_alarms(spark, sf_dir), as_of=P.AS_OF)
+
+
+# --------------------------------------------------- kept state and rollups
+
+def _until(events, day):
+    """The log up to a UTC day, as a batch job would read it."""
+    return events.where(F.to_date("EventTimeStamp") <= F.lit(day))
+
+
+@register("alarm_active_state")
+def alarm_active_state(spark, sf_dir):
+    """W1 from kept state that was advanced over the log in three batches of days."""
+    from millrun.operators.alarms import active_from_state, active_state
+    log, state, last = _alarms(spark, sf_dir), None, None
+    for day in (*P.BATCH_DAYS, None):
+        new = log if day is None else _until(log, day)
+        new = new if last is None else new.where(F.to_date("EventTimeStamp") > F.lit(last))
+        state, last = active_state(state, new), day
+    return active_from_state(state, as_of=P.AS_OF, hours=P.MAX_HOURS, acked=False)
+
+
+@register("readings_latest_state")
+def readings_latest_state(spark, sf_dir):
+    """T2 from kept state that was advanced over the readings in two batches."""
+    from millrun.operators.readings import latest_from_state, latest_state
+    r, day = FX.readings(spark, sf_dir), F.to_date("DateAndTime")
+    state = latest_state(None, r.where(day <= F.lit(P.BATCH_DAYS[0])), bad=P.BAD)
+    state = latest_state(state, r.where(day > F.lit(P.BATCH_DAYS[0])), bad=P.BAD)
+    return latest_from_state(state, _evt_tags(spark))
+
+
+def _rollup(spark, sf_dir):
+    from millrun.operators.rollup import daily_rollup
+    log = _alarms(spark, sf_dir)
+    return daily_rollup(_until(log, P.ROLLED_TO)), log
+
+
+@register("alarm_daily_rollup")
+def alarm_daily_rollup(spark, sf_dir):
+    """A9 from daily partial aggregates; days after the rollup come from the log."""
+    from millrun.operators.rollup import daily
+    return daily(*_rollup(spark, sf_dir), as_of=P.AS_OF, rolled_to=P.ROLLED_TO, days=P.MAX_DAYS)
+
+
+@register("alarm_noisy_rollup")
+def alarm_noisy_rollup(spark, sf_dir):
+    """A10 over a window that starts and ends inside a day."""
+    from millrun.operators.rollup import noisy
+    return noisy(*_rollup(spark, sf_dir), as_of=P.EDGE_AS_OF, rolled_to=P.ROLLED_TO, hours=P.EDGE_HOURS, top=50)
+
+
+@register("alarm_groups_rollup")
+def alarm_groups_rollup(spark, sf_dir):
+    """A11 of all time."""
+    from millrun.operators.rollup import groups
+    return groups(*_rollup(spark, sf_dir), rolled_to=P.ROLLED_TO)
+
+
+@register("alarm_faults_rollup")
+def alarm_faults_rollup(spark, sf_dir):
+    """A12 over a window that starts and ends inside a day."""
+    from millrun.operators.rollup import faults
+    return faults(*_rollup(spark, sf_dir), as_of=P.EDGE_AS_OF, rolled_to=P.ROLLED_TO, hours=P.EDGE_HOURS, top=50)

@@ -117,6 +117,68 @@ def read_alarm_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_with_date(schemas.ALARM_EVENTS)).parquet(path)
 
 
+# ---------------------------------------------------------- kept state, rollups
+
+def _partition_days(spark: SparkSession, path: str, name: str) -> list[dt.date]:
+    """The days of a dataset's partitions, in order; none if it doesn't exist yet."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    return sorted(dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(name + "="))
+
+
+def _write_days(df: DataFrame, path: str, day: str) -> None:
+    """Replace the partitions that ``df`` has. They appear when the job commits, so a
+    failed run leaves nothing and a repeated run replaces its own."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
+
+
+def advance_state(log: DataFrame, path: str, through: dt.date, merge, day: str = "event_date") -> DataFrame:
+    """Advance the state kept at ``path`` to the end of day ``through`` and return it.
+
+    ``merge(state or None, new rows)`` gives the new state (``alarms.active_state``,
+    ``readings.latest_state``). Only days after the day reached so far are read. Each
+    state is a partition named by the day it reaches: running a day again gives the same
+    partition, from the state before it, whatever a failed run left."""
+    spark = log.sparkSession
+    before = [d for d in _partition_days(spark, path, "reached") if d < through]
+    new = log.where(F.col(day) <= F.lit(through))
+    state = None
+    if before:
+        new = new.where(F.col(day) > F.lit(before[-1]))
+        state = spark.read.parquet(f"{path}/reached={before[-1].isoformat()}")
+    _write_days(merge(state, new.drop(day)).withColumn("reached", F.lit(through)), path, "reached")
+    return read_state(spark, path, through)
+
+
+def read_state(spark: SparkSession, path: str, reached: dt.date | None = None) -> DataFrame:
+    """The state that reaches a day, by default the newest."""
+    reached = reached or _partition_days(spark, path, "reached")[-1]
+    return spark.read.parquet(f"{path}/reached={reached.isoformat()}")
+
+
+def advance_rollup(log: DataFrame, path: str, through: dt.date) -> dt.date:
+    """Roll up the stored log's days that the rollup at ``path`` lacks, up to ``through``;
+    returns ``through``, the day that ``operators.rollup`` may read it to."""
+    from millrun.operators.rollup import daily_rollup
+    done = [d for d in _partition_days(log.sparkSession, path, "event_date") if d <= through]
+    new = log.where(F.col("event_date") <= F.lit(through))
+    if done:
+        # the newest rolled day again: a failed run may have stopped before the days after it
+        new = new.where(F.col("event_date") >= F.lit(done[-1]))
+    rolled = daily_rollup(new)
+    _write_days(rolled.repartition("event_date"), path, "event_date")
+    return through
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rollup rows of all days."""
+    return spark.read.parquet(path)
+
+
 # ----------------------------------------------------------------------- sinks
 
 def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
