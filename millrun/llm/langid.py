@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrun.llm.common import by_doc, remainder, ship, utf8
+from millrun.llm.common import by_doc, remainder, ship, utf8, written
 from millrun.operators.joins import checked_broadcast
 
 #: Hashed dimensions, centroids and sampled training rows per language, k-means rounds.
 DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 800, 8
-#: Buckets of a language's rows that the sample is first taken from.
-BUCKETS = 1024
+#: How many times the sample's share of a language's hashes is looked at, and the error of their count.
+SPARE, COUNT_ERROR = 2, 0.02
 #: Share of a language's training texts within the rejection distance, and slack on it.
 WITHIN, SLACK = 0.995, 0.1
 #: Bytes of text turned into n-grams at once.
@@ -102,16 +102,18 @@ def _training(docs: DataFrame, fold: int, mod: int) -> DataFrame:
 def _sample(rows: DataFrame) -> DataFrame:
     """``lang, h, body``: the ``SAMPLE`` rows of each language with the smallest hashes of id and text.
 
-    Hashes alone are ranked, first in buckets of each language, so that no task ranks
-    a language's rows. Equal rows have equal hashes and count once."""
+    Hashes are spread evenly, so a language's smallest ones lie below a bound that an
+    approximate count of them gives; only rows below it, about ``SPARE * SAMPLE`` a
+    language, are shuffled and ranked. Equal rows have equal hashes and count once."""
     keyed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    hashes = keyed.select("lang", "h").distinct().withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)))
-    for by in (["lang", "bucket"], ["lang"]):
-        order = Window.partitionBy(*by).orderBy("h")
-        hashes = hashes.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).drop("n")
-    chosen = hashes.select(F.col("lang").alias("as"), F.col("h").alias("of"))
-    kept = keyed.join(checked_broadcast(chosen, 500_000), (F.col("lang") == F.col("as")) & (F.col("h") == F.col("of")))
-    return kept.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "h", utf8(F.col("text")).alias("body"))
+    sizes = keyed.groupBy(F.col("lang").alias("as")).agg(F.approx_count_distinct("h", COUNT_ERROR).alias("n"))
+    sizes = written(sizes, "languages")
+    below = (F.col("h").cast("double") / 2.0 ** 64 + 0.5) * F.col("n") <= SPARE * SAMPLE
+    near = keyed.join(checked_broadcast(sizes, 500_000), F.col("lang") == F.col("as")).filter(below)
+    once = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    kept = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
+    return kept.select("lang", "h", utf8(F.col("text")).alias("body"))
 
 
 def _idf(rows: DataFrame) -> np.ndarray:

@@ -84,7 +84,6 @@ def test_a_language_of_empty_texts(spark):
 def test_sample_is_bounded(spark, monkeypatch):
     """Repeated ids, repeated rows and null ids neither pass the bound nor are lost."""
     monkeypatch.setattr(langid, "SAMPLE", 30)
-    monkeypatch.setattr(langid, "BUCKETS", 3)
     same = spark.range(5000).selectExpr("7L doc_id", "'the cat and the dog' text", "'en' lang")
     other = spark.range(300).selectExpr("8L doc_id", "concat('the dog ', id) text", "'en' lang")
     nulls = spark.range(20).selectExpr("cast(null as long) doc_id", "concat('der hund und ', id) text", "'de' lang")
