@@ -181,8 +181,16 @@ def gap_fill(readings: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
     ``gap_ms``, ``next_DateAndTime``, ``next_Val``. Cadence, cap and tolerance
     may be per-row Columns (per-plant policy); ``enabled`` switches the fill
     off per row."""
+    return fill_rows(gap_classified(readings, cadence_s, cap_s, tolerance, series, chunk_ms, enabled))
+
+
+def gap_classified(readings: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_CAP_S,
+                   tolerance=R.GAP_TOLERANCE, series: Sequence[str] = SERIES,
+                   chunk_ms: int | str | None = CHUNK_MS, enabled: Column | None = None) -> DataFrame:
+    """The rows of ``gap_fill`` without the synthetic ones, which are only owed: each row
+    carries ``n_fill`` and ``_cad_ms``. What counts them needs no more."""
     s = with_successor(readings, series=series, chunk_ms=chunk_ms)
-    return fill_rows(classify_gaps(s, cadence_s, cap_s, tolerance, enabled))
+    return classify_gaps(s, cadence_s, cap_s, tolerance, enabled)
 
 
 def flagged_gaps(filled_or_classified: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
@@ -194,18 +202,22 @@ def flagged_gaps(filled_or_classified: DataFrame, series: Sequence[str] = SERIES
                     F.col("gap_kind").alias("reason"))
 
 
-def audit_aggs() -> list[Column]:
-    """A8 aggregates over filled rows."""
+def audit_aggs(filled: bool = True) -> list[Column]:
+    """A8 aggregates over filled rows, or over classified ones (``filled`` False), whose
+    synthetic rows are only owed."""
     flagged = is_flagged()
+    real = F.count_if(~F.col("Filled")) if filled else F.count(F.lit(1))
+    synthetic = F.count_if(F.col("Filled")) if filled else F.coalesce(F.sum(F.col("n_fill").cast("long")), F.lit(0))
     return [
-        F.count_if(~F.col("Filled")).alias("realReadings"),
-        F.count_if(F.col("Filled")).alias("filledReadings"),
-        F.count(F.lit(1)).alias("totalReadings"),
+        real.alias("realReadings"),
+        synthetic.alias("filledReadings"),
+        (F.count(F.lit(1)) if filled else real + synthetic).alias("totalReadings"),
         F.count_if(flagged).alias("flaggedGaps"),
         (F.coalesce(F.sum(F.when(flagged, F.col("gap_ms"))), F.lit(0)) / 1000.0).alias("flagged_s"),
     ]
 
 
-def fill_audit(filled: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
-    """Per series real, filled and total rows, flagged gap count and seconds."""
-    return filled.groupBy(*series).agg(*audit_aggs())
+def fill_audit(rows: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
+    """Per series real, filled and total rows, flagged gap count and seconds, from
+    filled or classified rows."""
+    return rows.groupBy(*series).agg(*audit_aggs("Filled" in rows.columns))

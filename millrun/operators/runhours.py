@@ -1,6 +1,6 @@
 """Run-hours, threshold counts and tariff buckets.
 
-One plan for all plants and tags: filter -> (era) -> gap fill -> bucket ->
+One plan for all plants and tags: filter -> (era) -> gaps -> points per bucket ->
 aggregate per (series, divisor) -> sum per tag -> one row per requested tag.
 """
 
@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrun.functions.predicates import OPERATORS, compare, good_status, in_window
-from millrun.functions.tariff import BUCKETS, bucket_of, with_holiday
+from millrun.functions.tariff import BUCKETS, bucket_of, day_rule, points_by_bucket, with_holiday
 from millrun.functions.time import with_offset_minutes
 from millrun.operators import gaps as G
-from millrun.operators.joins import assign_era, checked_broadcast, for_requested, known_only
+from millrun.operators.joins import assign_era, attach, for_requested, known_only
 from millrun.sources import registry as R
 
 
@@ -80,7 +80,7 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
     r = r.withColumn("_cad", cad).select(*series, *G.ORDER, "Val", *clock, "_pph", "_cad")
 
     if fill:
-        x = G.gap_fill(r, F.col("_cad"), opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
+        x = G.gap_classified(r, F.col("_cad"), opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
     else:
         x = _unfilled(r)
     if not fill:
@@ -89,8 +89,7 @@ def count_run_hours(readings: DataFrame, tags: DataFrame, *, threshold: float, t
         audit_on = F.coalesce(F.col("_rows"), F.lit(0)) > 0
     else:
         audit_on = F.lit(True)
-    x = _bucketed(x, op, threshold, holidays, time_field, tz_offset_minutes)
-    per_tag = _per_tag(x, series, return_hours)
+    per_tag = _per_tag(_weighted(x, op, threshold, holidays, time_field, tz_offset_minutes), series, return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
     return _shape(out, tbf, taf, return_hours, audit_on, opts)
 
@@ -112,8 +111,8 @@ def count_run_hours_by_plant(readings: DataFrame, tags: DataFrame, plant_config:
     plant missing from the configuration raise an error. Plants named in ``eras``
     are filled and divided per era.
     """
-    x, cfg = fill_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
-                           tolerance=tolerance, chunk_ms=chunk_ms, eras=eras)
+    x, cfg = _classified_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
+                                  tolerance=tolerance, chunk_ms=chunk_ms, eras=eras)
     return run_hours_from_filled(x, tags, cfg, threshold=threshold, tbf=tbf, taf=taf, op=op,
                                  holidays=holidays, request=request, return_hours=return_hours,
                                  cap_s=cap_s, tolerance=tolerance)
@@ -123,40 +122,49 @@ def fill_by_plant(readings: DataFrame, tags: DataFrame, plant_config: DataFrame,
                   cap_s=None, tolerance=None, chunk_ms: int | str | None = G.CHUNK_MS,
                   eras: DataFrame | None = None):
     """Per-plant F1 + gap fill: returns the filled rows (with ``_pph``, ``_fill``
-    and ``era_id`` columns) and the broadcast configuration. Plants that never
+    and ``era_id`` columns) and the configuration. Plants that never
     fill pass through unfilled and unflagged. Within ``eras`` a plant has each
     era's own cadence and divisor, and no gap is filled across a change. A
     reading of a plant without a configuration raises an error."""
+    x, cfg = _classified_by_plant(readings, tags, plant_config, tbf=tbf, taf=taf, cap_s=cap_s,
+                                  tolerance=tolerance, chunk_ms=chunk_ms, eras=eras)
+    return G.fill_rows(x), cfg
+
+
+def _classified_by_plant(readings, tags, plant_config, *, tbf, taf, cap_s, tolerance, chunk_ms, eras):
+    """``fill_by_plant`` before the synthetic rows are made. Readings of plants that never
+    fill go past the successor windows."""
     from millrun.functions.predicates import good_status_by_config
     opts = G.FillOptions.resolve(None, cap_s, tolerance)
     cfg = plant_config.select(
         "plant", F.col("bad_status").alias("_bad"),
         F.coalesce(F.col("cadence_s"), F.lit(opts.cadence_s)).alias("_cad"),
         F.col("points_per_hour").alias("_pph"), F.col("fill_count").alias("_fill"))
-    with_eras = (eras.select("plant").distinct().withColumn("_eras", F.lit(True)) if eras is not None else
-                 cfg.select("plant").limit(0).withColumn("_eras", F.lit(True)))
-    cfg = cfg.join(checked_broadcast(with_eras, 100_000), "plant", "left")
-    cfg = checked_broadcast(cfg, 100_000)
-    r = readings.where(in_window(tbf, taf)).join(cfg, "plant", "left")
+    if eras is not None:
+        cfg = attach(cfg, eras.select("plant").distinct().withColumn("_eras", F.lit(True)), "plant")
+    else:
+        cfg = cfg.withColumn("_eras", F.lit(None).cast("boolean"))
+    r = attach(readings.where(in_window(tbf, taf)), cfg.drop("_eras"), "plant")
     unknown = F.raise_error(F.concat(F.lit("no configuration for plant "), F.coalesce("plant", F.lit("NULL"))))
-    r = known_only(r.where(F.when(F.col("_fill").isNull(), unknown.cast("boolean"))
-                           .otherwise(good_status_by_config("_bad"))), tags)
-    r = assign_era(r, eras).withColumns({"_cad": F.coalesce("era_cadence_s", "_cad"),
-                                         "_pph": F.coalesce("era_pph", "_pph")})
+    r = r.where(F.when(F.col("_fill").isNull(), unknown.cast("boolean")).otherwise(good_status_by_config("_bad")))
+    r = assign_era(known_only(r, tags), eras).withColumns({
+        "_cad": F.coalesce("era_cadence_s", "_cad"), "_pph": F.coalesce("era_pph", "_pph")})
     series = ["plant", "TagIndex", "era_id"]
-    x = G.gap_fill(r.select(*series, *G.ORDER, "Val", "_cad", "_pph", "_fill"), F.col("_cad"), opts.cap_s,
-                   opts.tolerance, series=series, chunk_ms=chunk_ms, enabled=F.col("_fill"))
-    return x, cfg
+    r = r.select(*series, *G.ORDER, "Val", "_cad", "_pph", "_fill")
+    x = G.gap_classified(r.where("_fill"), F.col("_cad"), opts.cap_s, opts.tolerance, series=series, chunk_ms=chunk_ms)
+    rest = r.where("NOT _fill")
+    return x.unionByName(_unfilled(rest).select(
+        "*", *[F.lit(None).cast(x.schema[c].dataType).alias(c) for c in ("next_DateAndTime", "next_Val")])), cfg
 
 
 def run_hours_from_filled(x: DataFrame, tags: DataFrame, cfg: DataFrame, *, threshold: float,
                           tbf, taf, op: str = ">", holidays=None, request: DataFrame | None = None,
                           return_hours: bool = True, cap_s=None, tolerance=None) -> DataFrame:
     """A5/A6 + A8 summary of rows produced by ``fill_by_plant`` (``cap_s`` and
-    ``tolerance`` as given there, for the audit)."""
-    per_tag = _per_tag(_bucketed(x, op, threshold, holidays), ["plant", "TagIndex", "era_id"], return_hours)
+    ``tolerance`` as given there, for the audit), or of classified rows."""
+    per_tag = _per_tag(_weighted(x, op, threshold, holidays), ["plant", "TagIndex", "era_id"], return_hours)
     out = for_requested(request if request is not None else tags, per_tag, tags)
-    out = out.join(cfg.select("plant", "_fill", "_eras"), "plant", "left")
+    out = attach(out, cfg.select("plant", "_fill", "_eras"), "plant")
     # as for one plant: the audit of an era-split tag without rows is absent
     seen = ~F.coalesce("_eras", F.lit(False)) | (F.coalesce("_rows", F.lit(0)) > 0)
     return _shape(out, tbf, taf, return_hours, F.coalesce("_fill", F.lit(False)) & seen,
@@ -164,19 +172,36 @@ def run_hours_from_filled(x: DataFrame, tags: DataFrame, cfg: DataFrame, *, thre
 
 
 def _unfilled(r: DataFrame) -> DataFrame:
-    return r.withColumns({"Filled": F.lit(False), "gap_kind": F.lit(None).cast("string"),
-                          "gap_ms": F.lit(None).cast("long")})
+    """Classified rows of a series that isn't filled."""
+    return r.withColumns({"gap_kind": F.lit(None).cast("string"), "gap_ms": F.lit(None).cast("long"),
+                          "n_fill": F.lit(0), "_cad_ms": F.lit(0.0)})
 
 
-def _bucketed(x: DataFrame, op: str, threshold, holidays, time_field: str = "DateAndTime",
+def _weighted(x: DataFrame, op: str, threshold, holidays, time_field: str = "DateAndTime",
               tz_offset_minutes: int = 0) -> DataFrame:
-    """X1-X4 + F11 on every (real or synthetic) row: the tariff clock is
-    ``time_field`` moved by ``tz_offset_minutes``."""
+    """X1-X4 + F11: per row ``_hit`` and ``_points``, how many points of each bucket it stands
+    for. The tariff clock is ``time_field`` moved by ``tz_offset_minutes``.
+
+    A filled row (real or synthetic) is one point. A classified row is itself and the
+    synthetic rows owed after it, which hold its value, so they are counted in closed
+    form; where the holiday rule looks at more than a date they are made after all."""
+    rule = day_rule(holidays)
+    if "n_fill" in x.columns and rule is None:
+        x = G.fill_rows(x)
     clock = with_offset_minutes(time_field, tz_offset_minutes) if tz_offset_minutes else F.col(time_field)
     x = x.withColumn("_clock", clock)
-    x = with_holiday(x, holidays, ts="_clock")
-    return x.withColumns({"_hit": compare("Val", op, threshold),
-                          "_bucket": bucket_of("_clock", F.col("is_holiday"))})
+    x = with_holiday(x, holidays, ts="_clock") if rule is None else x.withColumn("is_holiday", rule(F.to_date("_clock")))
+    x = x.withColumns({"_hit": compare("Val", op, threshold), "_bucket": bucket_of("_clock", F.col("is_holiday"))})
+    if "n_fill" not in x.columns:
+        return x.withColumn("_points", F.struct(*[(F.col("_bucket") == b).cast("long").alias(b) for b in BUCKETS]))
+    n = F.col("n_fill")
+    if time_field == "DateAndTime":
+        owed = points_by_bucket(F.col("_clock"), F.col("_cad_ms"), n, rule)
+    else:  # synthetic rows keep the other clock of the row before them
+        owed = F.struct(*[F.when(F.col("_bucket") == b, n).otherwise(0).cast("long").alias(b) for b in BUCKETS])
+    x = x.withColumn("_owed", owed)
+    return x.withColumn("_points", F.struct(*[
+        ((F.col("_bucket") == b).cast("long") + F.coalesce(F.col("_owed")[b], F.lit(0))).alias(b) for b in BUCKETS]))
 
 
 def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:
@@ -184,10 +209,10 @@ def _per_tag(x: DataFrame, series: list[str], return_hours: bool) -> DataFrame:
     aggregation keeps each shuffle at one row per task and key, whatever the
     skew; per-era hours are divided by their own divisor before summing."""
     era = F.col("era_id") if "era_id" in series else F.lit(None)
+    hits = [F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_points")[b])), F.lit(0)) for b in BUCKETS]
     per_era = x.groupBy(*series, "_pph", "_cad").agg(
-        F.count_if(F.col("_hit")).alias("_n"),
-        *[F.count_if(F.col("_hit") & (F.col("_bucket") == b)).alias(f"_n{b}") for b in BUCKETS],
-        *G.audit_aggs())
+        sum(hits[1:], hits[0]).alias("_n"), *[h.alias(f"_n{b}") for h, b in zip(hits, BUCKETS)],
+        *G.audit_aggs("Filled" in x.columns))
     div = F.col("_pph") if return_hours else F.lit(1.0)
     return per_era.groupBy("plant", "TagIndex").agg(
         F.sum("_n").alias("count"),
@@ -236,16 +261,17 @@ def raw_vs_filled(readings: DataFrame, tags: DataFrame, *, threshold: float, tbf
                   tolerance=None, points_per_hour: float | None = None,
                   chunk_ms: int | str | None = G.CHUNK_MS) -> DataFrame:
     """Per tag, raw and gap-filled run-hours side by side with the fill
-    audit, from one pass (real rows of the filled set are the raw rows)."""
+    audit, from one pass (synthetic rows hold the value of the row before them)."""
     opts = G.FillOptions.resolve(cadence_s, cap_s, tolerance)
     pph = float(points_per_hour) if points_per_hour else R.DEFAULT_POINTS_PER_HOUR
     r = known_only(select_window(readings, tbf, taf, bad), tags)
-    x = G.gap_fill(r.select(*G.SERIES, *G.ORDER, "Val"), opts.cadence_s, opts.cap_s, opts.tolerance,
-                   chunk_ms=chunk_ms)
+    x = G.gap_classified(r.select(*G.SERIES, *G.ORDER, "Val"), opts.cadence_s, opts.cap_s, opts.tolerance,
+                         chunk_ms=chunk_ms)
     hit = compare("Val", op, threshold)
+    owed = F.coalesce(F.sum(F.when(hit, F.col("n_fill").cast("long"))), F.lit(0))
     agg = x.groupBy("plant", "TagIndex").agg(
-        (F.count_if(hit & ~F.col("Filled")) / F.lit(pph)).alias("raw_hour"),
-        (F.count_if(hit) / F.lit(pph)).alias("filled_hour"),
-        *G.audit_aggs())
+        (F.count_if(hit) / F.lit(pph)).alias("raw_hour"),
+        ((F.count_if(hit) + owed) / F.lit(pph)).alias("filled_hour"),
+        *G.audit_aggs(filled=False))
     return agg.select("plant", "TagIndex", "raw_hour", "filled_hour", "realReadings",
                       "filledReadings", "flaggedGaps", "flagged_s")

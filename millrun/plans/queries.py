@@ -194,19 +194,24 @@ def weighing_stats(spark, sf_dir):
 
 # ------------------------------------------------------------------ gap fill
 
-def _filled(spark, sf_dir):
+def _classified(spark, sf_dir):
     from millrun.operators import gaps as G
     from millrun.operators.joins import known_only
     from millrun.operators.runhours import select_window
     r = known_only(select_window(_readings(spark, sf_dir), P.TBF, P.TAF, P.BAD), _evt_tags(spark))
-    return G.gap_fill(r.select(*G.SERIES, *G.ORDER, "Val"), P.CADENCE_S, P.CAP_S, P.TOLERANCE)
+    return G.gap_classified(r.select(*G.SERIES, *G.ORDER, "Val"), P.CADENCE_S, P.CAP_S, P.TOLERANCE)
+
+
+def _filled(spark, sf_dir):
+    from millrun.operators.gaps import fill_rows
+    return fill_rows(_classified(spark, sf_dir))
 
 
 @register("flagged_gaps")
 def flagged_gaps(spark, sf_dir):
     """Gaps that were neither normal nor bridged, with the reason."""
     from millrun.operators.gaps import flagged_gaps as op
-    return op(_filled(spark, sf_dir))
+    return op(_classified(spark, sf_dir))
 
 
 @register("gap_filled_readings")
@@ -222,7 +227,7 @@ def gap_filled_readings(spark, sf_dir):
 def gap_fill_audit(spark, sf_dir):
     """Real, filled and total rows, flagged gaps and their seconds per tag."""
     from millrun.operators.gaps import fill_audit
-    return fill_audit(_filled(spark, sf_dir))
+    return fill_audit(_classified(spark, sf_dir))
 
 
 # ------------------------------------------------------------ counts, hours
