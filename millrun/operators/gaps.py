@@ -77,6 +77,11 @@ CHUNK_MS = int(360 * R.GAP_CADENCE_S * 1000)
 AUTO_CHUNK_ROWS = 4_000_000
 
 
+def chunk_of(ts: str, width) -> Column:
+    """The number of the time chunk that a reading is in."""
+    return F.floor(millis_since_epoch(ts) / (width if isinstance(width, Column) else F.lit(width))).cast("long")
+
+
 def chunk_widths(df: DataFrame, series: Sequence[str], ts: str = "DateAndTime",
                  target_rows: int = AUTO_CHUNK_ROWS) -> DataFrame:
     """Per series, a chunk width in ms: one day divided by the smallest power of
@@ -99,7 +104,9 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
     same series in ``order``; rows that tie in ``order`` follow by their other
     columns. ``chunk_ms`` is a fixed chunk width, ``"auto"`` for a per-series
     width sized from the data (dense hot series get narrow chunks; this counts
-    the readings first), or None for one window per series. Hand over only the
+    the readings first), ``"stored"`` for the chunks of readings stored in buckets
+    (``historian.read_bucketed``: the first window then needs no shuffle), or None
+    for one window per series. Hand over only the
     columns that are needed: all of them break ties, so none is pruned."""
     series, order = list(series), list(order)
     full = order + [c for c in carry if c not in order]
@@ -109,12 +116,16 @@ def with_successor(df: DataFrame, series: Sequence[str] = SERIES, order: Sequenc
         return df.select("*", *[F.lead(c).over(per_series).alias(f"next_{c}") for c in carry])
 
     ts = order[0]
-    width = F.lit(chunk_ms)
+    width = F.lit(CHUNK_MS if chunk_ms == "stored" else chunk_ms)
     if chunk_ms == "auto":
         from millrun.operators.joins import checked_broadcast
         df = df.join(checked_broadcast(chunk_widths(df, series, ts, target_rows)), series, "left")
         width = F.coalesce(F.col("_width"), F.lit(MS_PER_DAY))
-    chunked = df.withColumn("_chunk", F.floor(millis_since_epoch(ts) / width).cast("long")).drop("_width")
+    if chunk_ms == "stored":
+        chunked = df
+        full.remove("_chunk")
+    else:
+        chunked = df.withColumn("_chunk", chunk_of(ts, width)).drop("_width")
     # The order is total but for rows that are equal throughout, so both uses of
     # this window agree on which row is a chunk's last.
     w = Window.partitionBy(*series, "_chunk").orderBy(*full)
@@ -193,6 +204,16 @@ def gap_classified(readings: DataFrame, cadence_s=R.GAP_CADENCE_S, cap_s=R.GAP_C
     return classify_gaps(s, cadence_s, cap_s, tolerance, enabled)
 
 
+def chronological(filled: DataFrame, total_order: bool = False) -> DataFrame:
+    """R4 order: by tag, time and ``Filled`` within each plant and day, which needs no range
+    partitioning; with ``total_order`` over the whole result."""
+    order = ["TagIndex", "DateAndTime", "Filled"]
+    if total_order:
+        return filled.orderBy("plant", *order)
+    day = F.to_date("DateAndTime")
+    return filled.repartition("plant", day).sortWithinPartitions("plant", day, *order)
+
+
 def flagged_gaps(filled_or_classified: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     """W2 output: one row per flagged gap ``(series, from_ts, to_ts, gap_s, reason)``."""
     g = filled_or_classified.where(is_flagged())

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions.predicates import good_status, in_window
@@ -87,12 +87,12 @@ def completeness(readings: DataFrame, tags: DataFrame, tbf, taf, cadence_s: floa
     r = known_only(readings.where(in_window(tbf, taf) & good_status(bad)), tags)
     per_day = r.groupBy(*SERIES, F.to_date("DateAndTime").alias("day")).agg(
         F.count(F.lit(1)).alias("samples"))
-    span = per_day.groupBy(*SERIES).agg(F.min("day").alias("_d0"), F.max("day").alias("_d1"))
-    days = span.select(*SERIES, F.explode(F.sequence("_d0", "_d1")).alias("day"),
-                       F.lit(0).cast("long").alias("samples"))
-    # Every logged day lies in its tag's span, so a union plus a hash aggregate
-    # gives each day its count (0 when nothing was logged): no join, no sort.
-    out = days.unionByName(per_day).groupBy(*SERIES, "day").agg(F.sum("samples").alias("samples"))
+    # a logged day also stands for the empty days up to the next one, so the readings are scanned once
+    following = F.lead("day").over(Window.partitionBy(*SERIES).orderBy("day"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    days = per_day.withColumn("_until", until).select(*SERIES, F.col("day").alias("_logged"), "samples",
+                                                      F.explode(F.sequence("day", "_until")).alias("day"))
+    out = days.withColumn("samples", F.when(F.col("day") == F.col("_logged"), F.col("samples")).otherwise(0))
     expected = F.lit(86400.0 / float(cadence_s))
     samples = F.col("samples")
     return out.select(*SERIES, "day", expected.alias("expected"), samples.alias("samples"),

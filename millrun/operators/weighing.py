@@ -8,11 +8,13 @@ cycle. When one tag has several rows in a cycle, the last one (by ``seq``) wins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrun.functions.exact import ExactSum, to_fixed2
 from millrun.functions.predicates import good_status, in_window
 from millrun.operators.joins import with_tag_names
 from millrun.sources import registry as R
@@ -57,19 +59,20 @@ def filter_cycles(c: DataFrame, silo: int | None = None, material: int | None =
 
 
 def formatted(c: DataFrame) -> DataFrame:
-    """P5: weight to 2 decimals, NULL weight as 0; chronological. ``round`` is
-    half-up on the decimal text (1.005 -> 1.01), a documented deviation (Q7)."""
+    """P5: weight to 2 decimals by its binary value (Q7), NULL weight as 0; chronological."""
     return c.select("plant", "DateAndTime", "id", "WL_No",
-                    F.coalesce(F.round("Weight", 2), F.lit(0.0)).alias("Weight"),
+                    F.coalesce(to_fixed2("Weight"), F.lit(0.0)).alias("Weight"),
                     "Silo", "Material").orderBy("plant", "DateAndTime")
 
 
-def summary(c: DataFrame) -> DataFrame:
+def summary(c: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:
     """A15 per plant: cycles, total weight (NULL as 0) and the average over all
-    cycles, both to 2 decimals; 0 when there are no cycles."""
-    agg = c.groupBy("plant").agg(F.count(F.lit(1)).alias("cycles"),
-                                 F.sum(F.coalesce(F.col("Weight"), F.lit(0.0))).alias("_total"))
-    return agg.select("plant", "cycles",
-                      F.round(F.coalesce(F.col("_total"), F.lit(0.0)), 2).alias("totalWeight"),
-                      F.when(F.col("cycles") > 0, F.round(F.col("_total") / F.col("cycles"), 2))
-                      .otherwise(F.lit(0.0)).alias("avgWeight"))
+    cycles, both to 2 decimals; 0 when there are no cycles. The total is exact.
+    P4: ``filters``, as they were asked for, are echoed as a JSON text."""
+    total = ExactSum(F.coalesce(F.col("Weight"), F.lit(0.0)), "total")
+    agg = c.groupBy("plant").agg(F.count(F.lit(1)).alias("cycles"), *total.aggs())
+    agg = total.total(agg, "_total")
+    out = agg.select("plant", "cycles", F.coalesce(to_fixed2("_total"), F.lit(0.0)).alias("totalWeight"),
+                     F.when(F.col("cycles") > 0, to_fixed2(F.col("_total") / F.col("cycles")))
+                     .otherwise(F.lit(0.0)).alias("avgWeight"))
+    return out if filters is None else out.withColumn("filters", F.lit(json.dumps(dict(filters))))

@@ -8,6 +8,8 @@ Parameters come from ``millrun.plans.params`` so both sides use one source.
 
 from __future__ import annotations
 
+import json
+
 from millrun.plans import params as P
 from millrun.sources import fixtures as FX
 from millrun.sources import registry as R
@@ -169,9 +171,19 @@ def _win(tbf, taf) -> str:
     return f"DateAndTime BETWEEN {_ts(tbf)} AND {_ts(taf)}"
 
 
+def _big(expr: str) -> str:
+    """A double as an exact integer of 2**-60."""
+    return f"CAST(({expr}) * {float(2 ** 60)!r} AS HUGEINT)"
+
+
 def _r2(expr: str) -> str:
-    """Spark's round(x, 2): half-up on the shortest decimal text of x."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 10)), 2) AS DOUBLE)"
+    """Two decimals by the binary value; an exact tie goes up (values are not negative)."""
+    return f"(CAST(({_big(expr)} * 100 + {2 ** 59}) // {2 ** 60} AS DOUBLE) / 100.0)"
+
+
+def _sum(expr: str) -> str:
+    """The exact sum of doubles, rounded once (the text of an integer is parsed to the nearest double)."""
+    return f"(CAST(CAST(sum({_big(expr)}) AS VARCHAR) AS DOUBLE) / {float(2 ** 60)!r})"
 
 
 def _d(expr: str) -> str:
@@ -228,29 +240,29 @@ WHERE rn = 1"""
 _ECHO = f"{_q(P.TBF)} AS date_before, {_q(P.TAF)} AS date_after"
 
 ORACLE["window_stats"] = f"""WITH {READINGS}, {TAGS}, {REQUEST}, {window_cte()},
-agg AS (SELECT plant, TagIndex, min(Val) AS minVal, max(Val) AS maxVal, avg(Val) AS avgVal,
+agg AS (SELECT plant, TagIndex, min(Val) AS minVal, max(Val) AS maxVal, {_sum('Val')} / count(Val) AS avgVal,
                count(*) AS n FROM w GROUP BY plant, TagIndex)
 SELECT q.plant, q.TagIndex, CASE WHEN coalesce(a.n, 0) > 0 THEN t.TagName END AS tagName, {_ECHO},
-       a.maxVal, a.minVal, round(a.avgVal, 6) AS avgVal, coalesce(a.n, 0) AS n
+       a.maxVal, a.minVal, a.avgVal, coalesce(a.n, 0) AS n
 FROM request q LEFT JOIN tags t USING (plant, TagIndex) LEFT JOIN agg a USING (plant, TagIndex)"""
 
 ORACLE["capacity_total"] = f"""WITH {READINGS}, {TAGS}, {REQUEST}, {window_cte()},
-agg AS (SELECT plant, TagIndex, min(Val) AS minVal, max(Val) AS maxVal, sum(Val) AS s,
+agg AS (SELECT plant, TagIndex, min(Val) AS minVal, max(Val) AS maxVal, {_sum('Val')} AS s,
                count(*) AS n FROM w GROUP BY plant, TagIndex)
 SELECT q.plant, q.TagIndex, CASE WHEN coalesce(a.n, 0) > 0 THEN t.TagName END AS tagName, {_ECHO},
-       a.maxVal, a.minVal, round(a.s / {R.CAPACITY_DIVISOR}, 6) AS cap
+       a.maxVal, a.minVal, a.s / {R.CAPACITY_DIVISOR} AS cap
 FROM request q LEFT JOIN tags t USING (plant, TagIndex) LEFT JOIN agg a USING (plant, TagIndex)"""
 
 ORACLE["weighing_stats"] = f"""WITH {WL},
 w AS (SELECT * FROM wl_readings WHERE {_win(P.WL_TBF, P.WL_TAF)} AND {GOOD()}
         AND (plant, TagIndex) IN (SELECT plant, TagIndex FROM wl_tags)),
-agg AS (SELECT plant, TagIndex, max(Val) AS maxVal, min(Val) AS minVal, sum(Val) AS sumVal,
-               avg(Val) * 2 AS avg2, count_if(Val <> 0) AS nz, count(*) AS n
+agg AS (SELECT plant, TagIndex, max(Val) AS maxVal, min(Val) AS minVal, {_sum('Val')} AS sumVal,
+               {_sum('Val')} / count(Val) * 2 AS avg2, count_if(Val <> 0) AS nz, count(*) AS n
         FROM w GROUP BY plant, TagIndex)
 SELECT q.plant, q.TagIndex, CASE WHEN coalesce(a.n, 0) > 0 THEN q.TagName END AS tagName,
        {_q(P.WL_TBF)} AS date_before, {_q(P.WL_TAF)} AS date_after,
-       a.maxVal, a.minVal, round(a.sumVal, 6) AS sumVal,
-       round(coalesce(a.avg2, 0.0), 6) AS avgVal, coalesce(a.nz, 0) AS "count"
+       a.maxVal, a.minVal, a.sumVal,
+       coalesce(a.avg2, 0.0) AS avgVal, coalesce(a.nz, 0) AS "count"
 FROM wl_tags q LEFT JOIN agg a USING (plant, TagIndex)"""
 
 # ----------------------------------------------------------------- gap fill
@@ -356,8 +368,7 @@ SELECT {select} FROM res"""
 
 
 ORACLE["run_hours_eras"] = _era_hours(
-    'plant, TagIndex, tagName, "count", round(hour, 6) AS hour, round(A, 6) AS A, round(B, 6) AS B, '
-    'round(C, 6) AS C, round(D, 6) AS D, round(total, 6) AS total, realReadings, filledReadings, '
+    'plant, TagIndex, tagName, "count", hour, A, B, C, D, total, realReadings, filledReadings, '
     'flaggedGaps, flagged_s')
 ORACLE["run_hours_forced_era"] = _era_hours(
     'plant, TagIndex, tagName, "count", hour, total, realReadings, filledReadings, flaggedGaps',
@@ -442,7 +453,7 @@ ORACLE["weighing_pivot_filtered"] = f"{_CYC}\n{_FORMAT} FROM cyc WHERE {_RANGE}"
 ORACLE["weighing_pivot_silo"] = f"{_CYC}\n{_FORMAT} FROM cyc WHERE Silo = {P.SILO}"
 ORACLE["weighing_summary"] = f"""{_CYC},
 f AS (SELECT * FROM cyc WHERE {_RANGE}),
-s AS (SELECT plant, count(*) AS cycles, sum(coalesce(Weight, 0.0)) AS total FROM f GROUP BY plant)
+s AS (SELECT plant, count(*) AS cycles, {_sum('coalesce(Weight, 0.0)')} AS total FROM f GROUP BY plant)
 SELECT plant, cycles, {_r2('coalesce(total, 0.0)')} AS totalWeight,
        CASE WHEN cycles > 0 THEN {_r2('total / cycles')} ELSE 0.0 END AS avgWeight
 FROM s"""
@@ -648,3 +659,12 @@ SELECT DISTINCT plant, TagIndex,
        CAST(CASE WHEN DateAndTime <= {_CHANGE} THEN {FX.FIXTURE_ERAS[0][1]} ELSE {FX.FIXTURE_ERAS[1][1]} END AS DOUBLE) AS cadence_s,
        CAST({P.CAP_S} AS DOUBLE) AS cap_s, CAST({P.TOLERANCE} AS DOUBLE) AS tolerance
 FROM w"""
+
+ORACLE["weighing_summary_echo"] = ORACLE["weighing_summary"].replace(
+    "SELECT plant, cycles,", f"SELECT {_q(json.dumps(P.WL_FILTERS))} AS filters, plant, cycles,")
+
+_CLOCK = f"(DateAndTime + INTERVAL {P.CLOCK_OFFSET_MINUTES} MINUTE)"
+_ODD_DAYS = BUCKET.replace(f"(CAST(DateAndTime AS DATE) IN ({HOLIDAY_SQL}) OR dayofweek(DateAndTime) IN (0, 6))",
+                           "(day(DateAndTime) % 2 = 1)").replace("DateAndTime", _CLOCK)
+ORACLE["run_hours_text"] = _bigint_counts(_run_hours_sql(
+    'plant, TagIndex, tagName, "count", hour, A, B, C, D, total, realReadings, filledReadings').replace(BUCKET, _ODD_DAYS))

@@ -35,6 +35,7 @@ COUNTER_BAD = ("E", "U", "S")
 COUNTER_POINTS_PER_HOUR = 60.0
 COUNTER_THRESHOLD = 40.0
 UNKNOWN_TAG = 7
+CLOCK_OFFSET_MINUTES = 90
 
 # Alarms.
 AS_OF: dt.datetime = FIXTURE_AS_OF
@@ -59,6 +60,7 @@ MIN_WEIGHT = 20.0
 MAX_WEIGHT = 45.0
 MIN_ID = 0
 MAX_ID = 40
+WL_FILTERS = {"minWeight": MIN_WEIGHT, "maxWeight": MAX_WEIGHT, "minId": MIN_ID, "maxId": MAX_ID}
 SILO = 30
 MATERIAL = 47
 LOADER = 49

@@ -2,9 +2,8 @@
 
 Each builds its inputs from the driver's tables (``millrun.sources.fixtures``)
 and runs one operator family with the parameters of ``millrun.plans.params``.
-Floating aggregates whose summation order is not fixed are rounded to 6
-decimals here (the operators themselves return full precision); the DuckDB
-oracle in ``millrun.plans.oracle`` rounds the same columns.
+Sums of floating values are exact (``functions.exact``), so nothing is rounded for
+the comparison with the DuckDB oracle in ``millrun.plans.oracle``.
 """
 
 from __future__ import annotations
@@ -94,13 +93,6 @@ def tariff_hours(spark, sf_dir):
 
 # ----------------------------------------------------------------- helpers
 
-def _r6(df: DataFrame, *cols: str) -> DataFrame:
-    """Round floating aggregates whose summation order Spark does not fix."""
-    for c in cols:
-        df = df.withColumn(c, F.round(F.col(c), 6))
-    return df
-
-
 def _wl(spark, sf_dir):
     return FX.weighing_readings(spark, sf_dir), FX.weighing_tags(spark)
 
@@ -171,17 +163,15 @@ def counter_window(spark, sf_dir):
 def window_stats(spark, sf_dir):
     """A1 + J3: min/max/avg/n per requested tag (unknown tag -> NULLs)."""
     from millrun.operators.stats import window_stats as op
-    df = op(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD, request=_request(spark))
-    return _r6(df, "avgVal")
+    return op(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD, request=_request(spark))
 
 
 @register("capacity_total")
 def capacity_total(spark, sf_dir):
     """A2: min, max and SUM(Val)/6 per requested tag."""
     from millrun.operators.stats import capacity
-    df = capacity(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD,
-                  request=_request(spark))
-    return _r6(df, "cap")
+    return capacity(_readings(spark, sf_dir), _evt_tags(spark), P.TBF, P.TAF, bad=P.BAD,
+                    request=_request(spark))
 
 
 @register("weighing_stats")
@@ -189,7 +179,7 @@ def weighing_stats(spark, sf_dir):
     """A3: weighing max/min/sum, doubled mean (0 when empty), non-zero count."""
     from millrun.operators.stats import weighing_stats as op
     r, t = _wl(spark, sf_dir)
-    return _r6(op(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD), "sumVal", "avgVal")
+    return op(r, t, P.WL_TBF, P.WL_TAF, bad=P.BAD)
 
 
 # ------------------------------------------------------------------ gap fill
@@ -217,10 +207,10 @@ def flagged_gaps(spark, sf_dir):
 @register("gap_filled_readings")
 def gap_filled_readings(spark, sf_dir):
     """Chronological readings with hold-last synthetic rows marked Filled."""
+    from millrun.operators.gaps import chronological
     from millrun.operators.joins import with_tag_names
     f = with_tag_names(_filled(spark, sf_dir), _evt_tags(spark))
-    return f.select("plant", "TagIndex", "TagName", "DateAndTime", "Val", "Filled") \
-            .orderBy("plant", "TagIndex", "DateAndTime", "Filled")
+    return chronological(f.select("plant", "TagIndex", "TagName", "DateAndTime", "Val", "Filled"))
 
 
 @register("gap_fill_audit")
@@ -257,7 +247,7 @@ def tariff_hours_raw(spark, sf_dir):
 def run_hours_eras(spark, sf_dir):
     """A7 + J6: each cadence era filled and divided on its own, then summed."""
     df = _run_hours(spark, sf_dir, cadence_s=None, points_per_hour=None, eras=FX.eras(spark))
-    return _r6(df, "hour", "A", "B", "C", "D", "total").select(
+    return df.select(
         "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total",
         "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
 
@@ -287,7 +277,7 @@ def run_hours_by_plant_eras(spark, sf_dir):
         _readings(spark, sf_dir), _evt_tags(spark), FX.plant_config(spark), threshold=P.THRESHOLD,
         tbf=P.TBF, taf=P.TAF, cap_s=P.CAP_S, tolerance=P.TOLERANCE, holidays=FX.holidays(),
         request=_request(spark), eras=FX.eras(spark))
-    return _r6(df, "hour", "A", "B", "C", "D", "total").select(
+    return df.select(
         "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total",
         "realReadings", "filledReadings", "flaggedGaps", "flagged_s")
 
@@ -398,6 +388,14 @@ def weighing_summary(spark, sf_dir):
     return summary(filter_cycles(_cycles(spark, sf_dir), **_filters()))
 
 
+@register("weighing_summary_echo")
+def weighing_summary_echo(spark, sf_dir):
+    """The route's summary with the filters it was asked for."""
+    from millrun.plans.routes import pivot_filter
+    r, t = _wl(spark, sf_dir)
+    return pivot_filter(r, t, P.WL_TBF, P.WL_TAF, **P.WL_FILTERS)[1]
+
+
 # -------------------------------------------------------------------- alarms
 
 @register("weighing_pivot_material")
@@ -591,3 +589,24 @@ def alarm_faults_rollup(spark, sf_dir):
     """A12 over a window that starts and ends inside a day."""
     from millrun.operators.rollup import faults
     return faults(*_rollup(spark, sf_dir), as_of=P.EDGE_AS_OF, rolled_to=P.ROLLED_TO, hours=P.EDGE_HOURS, top=50)
+
+
+# ------------------------------------------------- text times, shifted clock
+
+@register("run_hours_text")
+def run_hours_text(spark, sf_dir):
+    """S7 + X4 + the calendar hook: readings whose times come as ISO text, some zoned and
+    some plain; tariff buckets on a clock 90 minutes ahead, under a calendar that is a
+    rule on that clock (odd days of the month are holidays)."""
+    from millrun.sources.historian import text_readings
+    ev = FX.readings(spark, sf_dir)
+    text = F.date_format("DateAndTime", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    text = F.when(F.col("seq") % 3 == 0, F.concat(text, F.lit("Z"))).when(F.col("seq") % 3 == 1, F.concat(
+        F.date_format(F.timestamp_add("HOUR", F.lit(2), F.col("DateAndTime")), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+02:00"))
+    ).otherwise(F.replace(text, F.lit("T"), F.lit(" ")))
+    given = text_readings(ev.withColumn("DateAndTime", text))
+    return runhours.count_run_hours(
+        given, _evt_tags(spark), threshold=P.THRESHOLD, tbf=P.TBF, taf=P.TAF, bad=P.BAD, cadence_s=P.CADENCE_S,
+        cap_s=P.CAP_S, tolerance=P.TOLERANCE, points_per_hour=P.POINTS_PER_HOUR, tz_offset_minutes=P.CLOCK_OFFSET_MINUTES,
+        holidays=F.dayofmonth("_clock") % 2 == 1, request=_request(spark)).select(
+        "plant", "TagIndex", "tagName", "count", "hour", "A", "B", "C", "D", "total", "realReadings", "filledReadings")

@@ -91,11 +91,11 @@ def latest(readings: DataFrame, tags: DataFrame, plant: str, tag_index: int | No
 
 def window(readings: DataFrame, tags: DataFrame, plant: str, tag_index: int | None, tbf, taf, *,
            fillGaps: bool = False, cadence=None, cap=None, tolerance=None,
-           ascending: bool = False) -> DataFrame:
+           ascending: bool = False, total_order: bool = False) -> DataFrame:
     """``GET /{plant}/{tag}/{tbf}/{taf}`` (and WL ``/ins``, ``/asc``): good
     readings newest first; with ``fillGaps`` (plants that allow it) the result
-    is chronological with ``Filled`` and gap columns (R4). RMM1 fills at 15 s
-    unless a cadence is given."""
+    is chronological with ``Filled`` and gap columns (R4), within each plant and day
+    unless ``total_order`` is asked for. RMM1 fills at 15 s unless a cadence is given."""
     bad, default_cadence, _, fill_window, _ = policy(plant)
     r = _plant(readings, plant, tag_index)
     t = _plant(tags, plant)
@@ -105,8 +105,8 @@ def window(readings: DataFrame, tags: DataFrame, plant: str, tag_index: int | No
     sel = RH.select_window(r, tbf, taf, bad)
     named = with_tag_names(sel, t).select(*G.SERIES, *G.ORDER, "Val", "TagName")
     filled = G.gap_fill(named, opts.cadence_s, opts.cap_s, opts.tolerance)
-    return filled.select("plant", "DateAndTime", "Val", "TagIndex", "TagName", "Filled", "gap_kind",
-                         "gap_ms").orderBy("plant", "TagIndex", "DateAndTime", "Filled")
+    return G.chronological(filled.select("plant", "DateAndTime", "Val", "TagIndex", "TagName", "Filled", "gap_kind",
+                                         "gap_ms"), total_order)
 
 
 def long_form(readings: DataFrame, tags: DataFrame, plant: str, tbf, taf) -> DataFrame:
@@ -171,7 +171,8 @@ def count(spark: SparkSession, readings: DataFrame, tags: DataFrame, plant: str,
 
 def pivot_filter(readings: DataFrame, tags: DataFrame, tbf, taf, **filters):
     """``GET /WL/pivotDataFilter/{tbf}/{taf}?silo&material&wlno&id&minWeight&
-    maxWeight&minId&maxId``: returns ``(cycles, summary)`` DataFrames."""
+    maxWeight&minId&maxId``: returns ``(cycles, summary)`` DataFrames; the summary
+    echoes the given filters (P4)."""
     names = {"silo": "silo", "material": "material", "wlno": "wlno", "id": "id_",
              "minWeight": "min_weight", "maxWeight": "max_weight", "minId": "min_id", "maxId": "max_id"}
     unknown = set(filters) - set(names)
@@ -180,7 +181,7 @@ def pivot_filter(readings: DataFrame, tags: DataFrame, tbf, taf, **filters):
     bad, *_ = policy(WEIGHING_PLANT)
     c = WG.cycles(_plant(readings, WEIGHING_PLANT), _plant(tags, WEIGHING_PLANT), tbf, taf, bad=bad)
     c = WG.filter_cycles(c, **{names[k]: v for k, v in filters.items()})
-    return WG.formatted(c), WG.summary(c)
+    return WG.formatted(c), WG.summary(c, filters)
 
 
 def as_of_now() -> dt.datetime:

@@ -13,15 +13,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrun import schemas
 from millrun.functions.time import iso_text_to_ntz, parse_local, trunc_ms, ts_lit
+from millrun.operators.gaps import CHUNK_MS, chunk_of
 
 READINGS_PARTITIONS = ("plant", "event_date")
 ALARM_PARTITIONS = ("event_date",)
+BUCKETS = ("plant", "TagIndex", "_chunk")
 
 
 def _with_date(schema: T.StructType) -> T.StructType:
@@ -42,9 +44,9 @@ def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None
     The ``rebalance`` hint groups rows by (plant, day) so few files are written
     per directory, and lets AQE split a hot plant-day over several tasks
     instead of writing it from one. ``sortWithinPartitions`` clusters by
-    (tag, time) for row-group pruning.
+    (tag, time) for row-group pruning. Times are stored at the grain of milliseconds.
     """
-    out = readings.withColumn("event_date", F.to_date("DateAndTime"))
+    out = readings.withColumn("DateAndTime", trunc_ms("DateAndTime")).withColumn("event_date", F.to_date("DateAndTime"))
     out = out.hint("rebalance", "plant", "event_date") \
              .sortWithinPartitions("plant", "event_date", "TagIndex", "DateAndTime")
     out.write.mode(mode).partitionBy(*READINGS_PARTITIONS).parquet(path)
@@ -54,15 +56,35 @@ def read_readings(spark: SparkSession, path: str, plants: Sequence[str] | None =
                   tbf=None, taf=None) -> DataFrame:
     """Readings of the given plants (all if None), optionally bounded to a
     window; partition pruning on ``plant`` and ``event_date``, Parquet filter
-    pushdown on ``DateAndTime``. The schema is declared, never inferred."""
+    pushdown on ``DateAndTime``. The schema is declared, never inferred. Times that
+    were stored finer are cut to milliseconds."""
     df = spark.read.schema(_with_date(schemas.READINGS)).parquet(path)
     if plants:
         df = df.where(F.col("plant").isin(list(plants)))
     if tbf is not None and taf is not None:
         lo, hi = _date_bounds(tbf, taf)
         df = df.where(F.col("event_date").between(F.lit(lo.date()), F.lit(hi.date())))
-        df = df.where(F.col("DateAndTime").between(ts_lit(lo), ts_lit(hi)))
-    return df
+        # on the stored column, so that it reaches the scan: cut(t) <= hi where t < hi + 1 ms
+        df = df.where((F.col("DateAndTime") >= ts_lit(lo)) & (F.col("DateAndTime") < ts_lit(hi + dt.timedelta(milliseconds=1))))
+    return df.withColumn("DateAndTime", trunc_ms("DateAndTime"))
+
+
+def write_bucketed(readings: DataFrame, table: str, buckets: int, path: str | None = None,
+                   chunk_ms: int = CHUNK_MS, mode: str = "overwrite") -> None:
+    """Store readings as a table in buckets of (plant, tag, time chunk), sorted by time.
+
+    A successor window over such a table starts without a shuffle, a hot tag being spread
+    over the buckets by its chunks. ``buckets`` is the number of tasks that read it; each
+    bucket is written by one task, from one shuffle at load time."""
+    out = (readings.withColumn("DateAndTime", trunc_ms("DateAndTime")).withColumn("_chunk", chunk_of("DateAndTime", chunk_ms))
+           .repartition(buckets, *BUCKETS))
+    writer = out.write.mode(mode).format("parquet").bucketBy(buckets, *BUCKETS).sortBy(*BUCKETS, "DateAndTime", "seq")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """Readings of a bucketed table with their ``_chunk``; pass ``chunk_ms="stored"`` to the operators."""
+    return spark.table(table)
 
 
 def read_readings_json(spark: SparkSession, path: str, plant: str, tag_index: int,
@@ -74,11 +96,15 @@ def read_readings_json(spark: SparkSession, path: str, plant: str, tag_index: in
     Equal timestamps are ordered by a hash of the record, which no retry changes."""
     raw = (spark.read.schema(schemas.READINGS_JSON).option("mode", "FAILFAST")
            .option("multiLine", str(array).lower()).json(path))
-    return raw.select(
-        F.lit(plant).alias("plant"), F.lit(int(tag_index)).alias("TagIndex"),
-        trunc_ms(iso_text_to_ntz("DateAndTime")).alias("DateAndTime"),
+    return text_readings(raw.select(
+        F.lit(plant).alias("plant"), F.lit(int(tag_index)).alias("TagIndex"), "DateAndTime",
         F.col("Val").cast("double").alias("Val"), F.lit(status).alias("Status"),
-        F.xxhash64("DateAndTime", "Val").alias("seq"))
+        F.xxhash64("DateAndTime", "Val").alias("seq")))
+
+
+def text_readings(readings: DataFrame) -> DataFrame:
+    """Readings whose ``DateAndTime`` is ISO text, at the grain of milliseconds."""
+    return readings.withColumn("DateAndTime", trunc_ms(iso_text_to_ntz("DateAndTime")))
 
 
 def read_readings_jdbc(spark: SparkSession, url: str, fact_table: str, plant: str,
@@ -186,6 +212,14 @@ def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
     df.write.mode(mode).format(fmt).save(path)
 
 
+def write_counted(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> int:
+    """S6 ``{count, rows}``: write the rows and return how many there were, counted as they
+    pass, in the one run of the plan that writes them."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("count")).write.mode(mode).format(fmt).save(path)
+    return seen.get["count"]
+
+
 def stored(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut lineage by writing ``df`` once as Parquet and reading it back, so that
     every output of a job reads only its own columns of it."""
