@@ -82,7 +82,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(0, 12, "edited words"), edit(1, 0, " an insertion, with\n\nlines "), edit(2, 25, ""))
     out = tokencount.edited_in_place(trees.withColumn("edits", edits))
     return out.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"),
-                      "n_encoded")
+                      "n_encoded", "n_chars_encoded")
 
 
 @register

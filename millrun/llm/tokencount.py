@@ -2,13 +2,16 @@
 
 A text is cut into pieces that the tokenizer never joins (``tokens.cuts``).
 Blocks of pieces are the leaves of a segment tree whose nodes hold the sums of
-characters and tokens below them. An edit finds its pieces by walking down the
+characters and tokens below them. Pieces are the tokenizer's own pre-tokens, or a few
+of them, in any script. An edit finds its pieces by walking down the
 character sums, re-cuts the touched pieces with one more on either side (a cut
-depends on two neighbouring characters only), encodes just those, and updates
+depends on the neighbouring characters only), encodes just those, and updates
 the sums on the way up.
 
 Trees are kept as a table (``built``) and edited by tables of edits
-(``edited``), so an edit never re-encodes a whole document.
+(``edited``). An edit encodes the pieces it touches and one more on either side, and
+nothing else; a single pre-token of any length, such as a run of letters without a sign or
+a space, is one piece, because its tokens depend on all of it.
 
 Strings of special tokens are counted as ordinary text. Defined cases: null and
 empty texts have one empty piece and 0 tokens; an edit's range is cut to the
@@ -37,7 +40,7 @@ class TokenTree:
 
     def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, enc: PieceEncoder):
         """A tree over counted pieces; nothing is encoded."""
-        self.enc, self.encoded = enc, 0
+        self.enc, self.encoded, self.chars_encoded = enc, 0, 0
         self._build(text, chars, tokens)
 
     @classmethod
@@ -125,6 +128,7 @@ class TokenTree:
         region = region[:start - at] + inserted + region[end - at:]
         chars, tokens = self.enc.counted(region) if region else (c1[:0], t1[:0])
         self.encoded += len(chars)
+        self.chars_encoded += len(region)
         last = b1 == b2
         self._set(b1, head + region + (tail if last else ""), np.concatenate([c1[:k1], chars, c2[k2 + 1:] if last else c1[:0]]),
                   np.concatenate([t1[:k1], tokens, t2[k2 + 1:] if last else t1[:0]]))
@@ -186,19 +190,21 @@ def _apply(trees: DataFrame, path: str | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([t.text() for t in trees], pa.string()), pa.array([t.total() for t in trees], pa.int64()),
                      _listed([x for x, _ in leaves]), _listed([x for _, x in leaves]), before, pa.array(n_edits, pa.int64()),
-                     pa.array([t.encoded for t in trees], pa.int64())],
-                    ["doc_id", "text", "n_tokens", "piece_chars", "piece_tokens", "n_before", "n_edits", "n_encoded"])
+                     pa.array([t.encoded for t in trees], pa.int64()), pa.array([t.chars_encoded for t in trees], pa.int64())],
+                    ["doc_id", "text", "n_tokens", "piece_chars", "piece_tokens", "n_before", "n_edits", "n_encoded",
+                     "n_chars_encoded"])
 
     kind = trees.schema["doc_id"].dataType.simpleString()
     return trees.select("doc_id", "text", "n_tokens", "piece_chars", "piece_tokens", "edits").mapInArrow(
         run, f"doc_id {kind}, text string, n_tokens long, piece_chars array<int>, piece_tokens array<int>, "
-             "n_before long, n_edits long, n_encoded long")
+             "n_before long, n_edits long, n_encoded long, n_chars_encoded long")
 
 
 def edited(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
     """Apply ``edits`` (``doc_id, edit_no, start, removed, inserted``) to kept trees.
 
-    The new trees, with ``n_before``, ``n_edits`` and ``n_encoded`` (pieces encoded anew)."""
+    The new trees, with ``n_before``, ``n_edits``, ``n_encoded`` and ``n_chars_encoded`` (pieces
+    and characters encoded anew)."""
     ship(trees.sparkSession)
     by = edits.groupBy(F.col("doc_id").alias("of")).agg(
         F.sort_array(F.collect_list(F.struct("edit_no", "start", "removed", "inserted"))).alias("edits"))

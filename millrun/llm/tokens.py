@@ -4,22 +4,45 @@ Texts are encoded with the rank file of the same vocabulary where there is one
 beside the tokenizer file (it is faster and gives the same ids); texts that hold
 the string of a special token always go through the tokenizer file itself.
 
-A text can be cut into pieces that the tokenizer never joins: the pre-token
-pattern always starts a new pre-token at a space that is followed by a character
-other than white space. ``cuts`` finds such places by two neighbouring bytes, so
-an edit only touches the pieces around it.
+A text can be cut into pieces that the tokenizer never joins, in any script: the
+tokenizer's pre-token pattern always starts a new pre-token where a run of letters or
+of digits ends, where one follows a sign, and at a white space character before a
+visible one. ``cuts`` finds such places by the classes of two neighbouring
+characters (and one more after white space), so an edit only touches the pieces around
+it. Only where the class of a character is the same in all versions of Unicode, it
+takes part; after an apostrophe, which may begin a short form, no cut is made.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import os
+import unicodedata
 
 import numpy as np
 
-#: Bytes that may follow a space at a cut: those that begin no white space character.
-_AFTER = np.zeros(256, dtype=bool)
-_AFTER[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+#: Classes of characters: of no certain class, letter, digit, the space, other white space, sign.
+_NONE, _LETTER, _DIGIT, _SPACE, _WHITE, _SIGN = range(6)
+#: White space other than the space (the property White_Space), and the end of the planes looked at.
+_WHITES = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_PLANES = 0x30000
+_UNSURE = [*range(0x1C, 0x20), 0x180E]  # white space in some places only
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every character, by the categories in the oldest and in this version of Unicode."""
+    def kind(category: str) -> int:
+        return {"L": _LETTER, "N": _DIGIT, "Z": _NONE}.get(category[0], _NONE if category in ("Cn", "Co", "Cs") else _SIGN)
+
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    out = np.zeros(0x110000, np.uint8)
+    for c in map(chr, range(_PLANES)):
+        k = kind(new(c))
+        out[ord(c)] = k if k == kind(old(c)) else _NONE
+    out[_WHITES], out[_UNSURE], out[0x20] = _WHITE, _NONE, _SPACE
+    return out
 
 
 def default_path() -> str:
@@ -65,21 +88,37 @@ class PieceEncoder:
         """Characters and tokens of each piece of a text (one empty piece if it is empty)."""
         if not text:
             return np.zeros(1, np.int32), np.zeros(1, np.int32)
-        raw = np.frombuffer(text.encode(), np.uint8)
-        starts = cuts(raw)
-        chars = np.add.reduceat((raw & 0xC0) != 0x80, starts, dtype=np.int32)
+        starts, at = cuts(text)
+        chars = np.diff(np.r_[starts, len(text)]).astype(np.int32)
         if self._ranks is None:
             ends = np.cumsum(chars).tolist()
             return chars, np.array([len(self.ordinary(text[e - n:e])) for e, n in zip(ends, chars.tolist())], np.int32)
         ids = self.ordinary(text)
-        before = np.searchsorted(np.cumsum(self._sizes[ids]), starts, side="right")  # tokens that end by then
+        before = np.searchsorted(np.cumsum(self._sizes[ids]), at, side="right")  # tokens that end by then
         return chars, np.diff(np.r_[before, len(ids)]).astype(np.int32)
 
 
-def cuts(raw: np.ndarray) -> np.ndarray:
-    """Where the pieces of a text's UTF-8 bytes start."""
-    at = np.flatnonzero((raw[:-1] == 32) & _AFTER[raw[1:]])
-    return np.r_[0, at[at > 0]]
+def cuts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a text start, in characters and in bytes of UTF-8."""
+    if text.isascii():
+        code = np.frombuffer(text.encode(), np.uint8)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    kind = _classes()[code]
+    a, b = kind[:-1], kind[1:]
+    sure = b != _NONE
+    visible = (kind == _LETTER) | (kind == _DIGIT) | (kind == _SIGN)
+    cut = ((a == _LETTER) & (b != _LETTER) & sure) | ((a == _DIGIT) & (b != _DIGIT) & sure)
+    word = (b == _LETTER) | (b == _DIGIT)
+    cut |= (a == _SIGN) & word & (code[:-1] != 0x27)
+    # of a run of white space the last character goes with what follows; a piece that ends in the others
+    # has the same tokens alone
+    cut[:-1] |= ((b[:-1] == _SPACE) | (b[:-1] == _WHITE)) & visible[2:]
+    starts = np.r_[0, np.flatnonzero(cut) + 1]
+    if code.dtype == np.uint8:
+        return starts, starts
+    width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    return starts, (np.cumsum(width) - width)[starts]
 
 
 def _rank_encoding(path: str):
