@@ -16,7 +16,7 @@ LAST = np.iinfo(np.int64).max
 
 
 def packed(docs: DataFrame, size_bytes: int = 4 << 20, most: int = 20_000) -> DataFrame:
-    """``pack, rest, ids, sizes, body``: documents in arrival order, bodies compressed.
+    """``pack, rest, ids, sizes, body, n_bytes``: documents in arrival order, bodies compressed.
 
     ``rest`` holds the other columns, ``ids`` and ``sizes`` 64-bit integers (``LAST`` for a null id);
     a longer document is a pack of its own, and a pack has at most ``most`` documents."""
@@ -38,7 +38,8 @@ def packed(docs: DataFrame, size_bytes: int = 4 << 20, most: int = 20_000) -> Da
             return pa.RecordBatch.from_arrays(
                 [pa.array([pack]), pa.ListArray.from_arrays(pa.array([0, len(bodies)], pa.int32()), rest),
                  pa.array([rows.column(1).to_numpy().astype("<i8").tobytes()]), pa.array([sizes.astype("<i8").tobytes()]),
-                 pa.array([zstandard.compress(b"".join(bodies), 3)])], ["pack", "rest", "ids", "sizes", "body"])
+                 pa.array([zstandard.compress(b"".join(bodies), 3)]), pa.array([int(sizes.sum())], pa.int64())],
+                ["pack", "rest", "ids", "sizes", "body", "n_bytes"])
 
         for batch in batches:
             lens = batch.column(2).cast(pa.large_binary())
@@ -59,7 +60,7 @@ def packed(docs: DataFrame, size_bytes: int = 4 << 20, most: int = 20_000) -> Da
             yield flush()
 
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(run, f"pack long, rest array<{kind}>, ids binary, sizes binary, body binary")
+    return rows.mapInArrow(run, f"pack long, rest array<{kind}>, ids binary, sizes binary, body binary, n_bytes long")
 
 
 def pack_rows(batch):

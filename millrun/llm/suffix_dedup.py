@@ -43,6 +43,8 @@ from millrun.llm.packs import pack_rows, packed
 
 #: Bytes of an anchor; bytes and documents of a pack; packs that make an anchor hot.
 GRAM, PACK_BYTES, PACK_DOCS, HOT_PACKS = 16, 4 << 20, 20_000, 256
+#: Bytes of text for which there is one share, so that a share fits in a task's memory at any size of the corpus.
+SHARE_BYTES = 16 << 20
 #: Bytes of contexts sorted at once; ranks and symbols must stay below 2**21.
 SORT_BYTES = 1 << 18
 #: Bytes hashed at once, so that the arrays stay in a processor's cache.
@@ -202,6 +204,15 @@ def _share(hashes: np.ndarray, shares: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
 
 
+def _by_share(hashes: np.ndarray, shares: int):
+    """The shares that hashes go to, each with the places of its own, in their order; one sort for all shares."""
+    share = _share(hashes, shares)
+    by = np.argsort(share, kind="stable")
+    cut = np.flatnonzero(np.diff(share[by])) + 1
+    for at in np.split(by, cut) if len(by) else []:
+        yield int(share[at[0]]), at
+
+
 def _anchors(packs: DataFrame, length: int, shares: int) -> DataFrame:
     """``share, pack, hashes``: the low halves of every pack's different anchors."""
 
@@ -209,17 +220,20 @@ def _anchors(packs: DataFrame, length: int, shares: int) -> DataFrame:
         for batch in batches:
             for row in pack_rows(batch):
                 h = Pack(row["ids"], row["sizes"], row["body"], length).distinct
-                share = _share(h, shares)
-                blobs = [h[share == p].astype("<u4").tobytes() for p in range(shares)]
-                some = [p for p in range(shares) if blobs[p]]
+                own = list(_by_share(h, shares))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([row["pack"]] * len(some), pa.int64()),
-                     pa.array([blobs[p] for p in some], pa.binary())], ["share", "pack", "hashes"])
+                    [pa.array([p for p, _ in own], pa.int32()), pa.array([row["pack"]] * len(own), pa.int64()),
+                     pa.array([h[at].astype("<u4").tobytes() for _, at in own], pa.binary())], ["share", "pack", "hashes"])
 
     return packs.select("pack", "ids", "sizes", "body").mapInArrow(run, "share int, pack long, hashes binary")
 
 
-def _flags(anchors: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, shares: int) -> DataFrame:
+    """A task for each share, as many as the bytes need, whatever the setting for shuffles."""
+    return df.repartition(max(shares, parts(df.sparkSession)), "share")
+
+
+def _flags(dealt: DataFrame) -> DataFrame:
     """``pack, share, flags``: per anchor of the pack, in order: 0 alone, 1 shared, 2 hot."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -230,14 +244,13 @@ def _flags(anchors: DataFrame) -> DataFrame:
         return pa.table({"pack": group.column("pack"), "share": group.column("share"),
                          "flags": pa.array([zstandard.compress(x, 1) for x in out], pa.binary())})
 
-    return anchors.groupBy("share").applyInArrow(run, "pack long, share int, flags binary")
+    return dealt.groupBy("share").applyInArrow(run, "pack long, share int, flags binary")
 
 
 def _with_flags(row, pack: Pack, shares: int) -> np.ndarray:
-    every = pack.distinct
-    flags, share = np.zeros(len(every), np.uint8), _share(every, shares)
-    for f in row["flags"] or []:
-        flags[share == f["share"]] = np.frombuffer(zstandard.decompress(f["flags"]), np.uint8)
+    flags, given = np.zeros(len(pack.distinct), np.uint8), {f["share"]: f["flags"] for f in row["flags"] or []}
+    for p, at in _by_share(pack.distinct, shares) if given else []:
+        flags[at] = np.frombuffer(zstandard.decompress(given[p]), np.uint8)
     return flags
 
 
@@ -324,7 +337,7 @@ def _minima(texts: list[bytes], least: np.ndarray, offset: np.ndarray, length: i
 _FOUND = np.dtype([("context", "<u4"), ("start", "u1"), ("end", "u1")])
 
 
-def _solved(sent: DataFrame, length: int) -> DataFrame:
+def _solved(dealt: DataFrame, length: int) -> DataFrame:
     """``pack, found``: runs of strings of the pack's contexts that start in earlier documents."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -367,7 +380,7 @@ def _solved(sent: DataFrame, length: int) -> DataFrame:
                 found.append(zstandard.compress(rec.tobytes(), 1))
         return pa.table({"pack": pa.array(packs, pa.int64()), "found": pa.array(found, pa.binary())})
 
-    return sent.groupBy("share").applyInArrow(run, "pack long, found binary")
+    return dealt.groupBy("share").applyInArrow(run, "pack long, found binary")
 
 
 def _covered(row, length: int, shares: int) -> tuple[Pack, np.ndarray]:
@@ -397,13 +410,13 @@ def _decided(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
         raise ValueError(f"length must be {GRAM + 8} to {GRAM + 100}")
     spark = docs.sparkSession
     ship(spark)
-    shares = parts(spark)
     packs = written(packed(docs, PACK_BYTES, PACK_DOCS), "packs")
-    flags = _flags(_anchors(packs, length, shares))
+    shares = max(1, -(-(packs.agg(F.sum("n_bytes")).first()[0] or 0) // SHARE_BYTES))
+    flags = _flags(_dealt(_anchors(packs, length, shares), shares))
     flags = written(flags.groupBy("pack").agg(F.collect_list(F.struct("share", "flags")).alias("flags"))
                     .withColumnRenamed("pack", "of"), "flags")
     flagged = packs.join(flags, F.col("pack") == F.col("of"), "left").drop("of")
-    found = _solved(_sent(flagged, length, shares), length)
+    found = _solved(_dealt(_sent(flagged, length, shares), shares), length)
     found = written(found.groupBy("pack").agg(F.collect_list("found").alias("found"))
                     .withColumnRenamed("pack", "of"), "found")
     # flags and findings of a pack meet first, so that the texts are joined once

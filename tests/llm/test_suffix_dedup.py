@@ -97,3 +97,17 @@ def test_texts_lose_what_is_reported(spark):
         if i not in (3,):
             assert hashlib.sha256(got[i].text.encode()).hexdigest() == want[i][4]
     assert got[4].text == "Start. End."[:6] + got[4].text[6:] and got[3].text == "x"
+
+
+def test_shares_come_from_the_bytes(spark, monkeypatch):
+    """Any number of shares gives the same result, and the shuffles have a task for each."""
+    rows = [(i, f"some words {i % 7} and a passage that is longer than fifty bytes, number {i % 5} " * 2) for i in range(40)]
+    want = list(brute(rows))
+    for size in (16 << 20, 500, 60):
+        monkeypatch.setattr(suffix_dedup, "SHARE_BYTES", size)
+        same(rows_of(suffix_dedup.report(docs(spark, rows))), want)
+    hashes = np.random.default_rng(1).integers(0, 2 ** 63, 1000).astype(np.uint64)
+    dealt = list(suffix_dedup._by_share(hashes, 37))
+    assert sorted(np.concatenate([at for _, at in dealt]).tolist()) == list(range(1000))
+    assert all((suffix_dedup._share(hashes[at], 37) == p).all() and (np.diff(at) > 0).all() for p, at in dealt)
+    assert suffix_dedup._dealt(spark.createDataFrame([(1,)], "share int"), 50).rdd.getNumPartitions() == 50
