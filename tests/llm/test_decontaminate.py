@@ -70,3 +70,32 @@ def test_clean_documents_keep_all_columns(spark):
     out = decontaminate.is_clean(df, bench)
     assert out.schema == df.schema
     assert out.count() == len(AWKWARD) - 3
+
+
+def test_a_large_benchmark_is_scanned_slice_by_slice(spark, monkeypatch):
+    """No set passes the bound, one slice at a time is held, and results stay whole: windows of one
+    item in several slices, overlapping hits of several passes, one item larger than the bound."""
+    import random
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 3, 4, 9, 60])))) for i in range(25)] + [(None, "w1 w2 w3 w4"), (3, None)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randrange(80)))) for i in range(60)]
+    rows += [(100 + i, f"x {t} y {items[i + 1][1]} {t}") for i, (_, t) in enumerate(items[:20])] + [(None, items[5][1]), (7, None), (7, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, rows)
+    want = sorted(map(str, brute(rows, items, 4)))
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", 200)
+    sizes = []
+
+    def watched(*given, real=decontaminate._slices):
+        for windows in real(*given):
+            sizes.append(sum(map(len, windows.items)))
+            yield windows
+
+    monkeypatch.setattr(decontaminate, "_slices", watched)
+    assert sorted(map(str, rows_of(decontaminate.scan(df, bench, 4)))) == want
+    assert len(sizes) > 5 and max(sizes) < 2 * 200
+    clean = decontaminate.is_clean(df.withColumn("row", df.fp), bench, 4)
+    dirty = {str((d, t)) for (d, t), r in zip(rows, brute(rows, items, 4)) if r[5]}
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(str(r) for r in rows if str(r) not in dirty)
+    assert clean.columns == [*df.columns, "row"]
