@@ -13,8 +13,10 @@ of a query in one block are that block's score list over all candidates.
    each block sends its at most k best entries at or above the cutoff.
 
 Queries and candidates meet in packed blocks by an equi-join on a group number
-(each query block goes to every group), so work is even, no candidate is
-dropped, and neither side is broadcast.
+(each query block goes to every group, and there are no more groups than candidate
+blocks), so work is even, no candidate is dropped, and neither side is broadcast.
+The lists are not kept between the phases, since they are larger than the vectors:
+phase 2 computes the partial scores again, and full scores only of what it collects.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part, nor do rows with a null id; rows with the query's own id
@@ -105,13 +107,12 @@ def _heads(met: DataFrame, k: int, lists: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, c, qids, q = _arrays(row)
                 partial = _lists(q, c, lists)
-                total = sum(partial[1:], partial[0])
                 qs, scores = [], []
                 for i, query in enumerate(qids.tolist()):
                     n = min(k + 1, len(ids))  # one more: the query's own row may be among them
                     seen = np.unique(np.concatenate([np.argpartition(p[i], len(ids) - n)[len(ids) - n:] for p in partial]))
                     seen = seen[ids[seen] != query]
-                    best = np.sort(total[i][seen])[::-1][:k]
+                    best = np.sort(sum((p[i][seen] for p in partial[1:]), partial[0][i][seen]))[::-1][:k]
                     qs += [query] * len(best)
                     scores += map(_long, best.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "score"])
@@ -158,7 +159,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, lists: int = 4) ->
     # Written, so that both phases see the same query rows.
     queries = written(whole.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
     candidates = written(_packed(whole, CANDIDATES), "candidate_blocks")
-    groups = parts(spark)
+    groups = max(1, min(parts(spark), candidates.count()))  # the queries are copied once a group
     seen = _heads(_met(_packed(queries, QUERIES), candidates, groups), k, lists)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoffs = (seen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
