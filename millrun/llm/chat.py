@@ -14,9 +14,10 @@ written ``\\b`` and ``<`` is written ``\\l`` (in roles also ``>`` as ``\\g``), s
 control strings inside texts can't be taken for marks and every text can be read
 back exactly.
 
-Prefix sums are made in two steps (within ``CHUNK`` turn numbers, then over
-chunks), so a hot conversation is not one task. Only ``digest`` needs a whole
-conversation in one row, since its hashes run over all turns.
+Turns are numbered and their prefix sums made over ranges of turns, in two steps (within
+a range, then over ranges), so a hot conversation is not one task, whatever its turn
+numbers. Only ``digest`` needs a whole conversation in one row, since its hashes run
+over all turns.
 
 Defined cases: null texts and roles are empty; a null conversation id is a
 conversation of its own; turns with a null number come first; equal turn numbers
@@ -29,8 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of one step of the prefix sums.
-CHUNK = 1024
+from millrun.llm.common import numbered_cells
+
 #: A run of letters, digits and underscores, or any other visible character, is a token.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s]"
 _END = "</turn>\n"
@@ -47,36 +48,42 @@ def unescaped(text: Column) -> Column:
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
+def _turns(conversations: DataFrame, tokens: str | None, marks: int) -> DataFrame:
     """Turns with ``seq`` (from 1), ``tokens`` and ``before``, the tokens of the turns before."""
+    size = F.regexp_count("text", F.lit(TOKEN)) if tokens is None else F.coalesce("given", F.lit(0))
     t = conversations.select(
         F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("c_null"),
         F.coalesce(F.col("turn").cast("long"), F.lit(_FIRST)).alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)).cast("long")).withColumn(
-        "chunk", F.floor(F.col("turn") / CHUNK))
-    own = Window.partitionBy("c", "c_null", "chunk").orderBy("turn", "role", "text")
-    rows = own.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("seq", F.row_number().over(own).cast("long")).withColumn(
-        "before", F.sum("tokens").over(rows) - F.col("tokens"))
-    chunks = t.groupBy("c", "c_null", "chunk").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("all_turns"))
-    earlier = Window.partitionBy("c", "c_null").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("c", "c_null", "chunk", F.coalesce(F.sum("all_tokens").over(earlier), F.lit(0)).alias("t0"),
-                           F.coalesce(F.sum("all_turns").over(earlier), F.lit(0)).alias("n0"))
-    return t.join(chunks, ["c", "c_null", "chunk"]).select(
-        "c", "c_null", "role", "text", "tokens", (F.col("seq") + F.col("n0")).alias("seq"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        *([F.col(tokens).cast("long").alias("given")] if tokens else []))
+    t = t.withColumn("tokens", size.cast("long") + F.lit(marks))
+    # prefix sums within the cells of a conversation, and over its cells
+    conv = ["c", "c_null"]
+    t, cells = numbered_cells(t, conv, ["turn", "role", "text"])
+    own = Window.partitionBy("_part", *conv).orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("before", F.sum("tokens").over(own) - F.col("tokens"))
+    sums = t.groupBy("_part", *conv).agg(F.sum("tokens").alias("all_tokens"))
+    earlier = Window.partitionBy(*conv).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.join(sums, ["_part", *conv]).select(
+        "_part", *conv, "_before", F.coalesce(F.sum("all_tokens").over(earlier), F.lit(0)).alias("t0"))
+    return t.join(cells, ["_part", *conv]).select(
+        *conv, "role", "text", "tokens", (F.col("_nth") + F.col("_before")).alias("seq"),
         (F.col("before") + F.col("t0")).alias("before"))
 
 
-def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256, tokens: str | None = None,
+              marks: int = 0) -> DataFrame:
     """``conv_id, window, n_context, text, loss, tokens``, one row per window.
 
+    ``tokens`` names a column with each turn's tokens, as a tokenizer counts them (null: none);
+    without it words and signs are counted. ``marks`` is what a turn's marks add to that.
+
     ``loss`` lists ``(start, length)`` in code points of ``text``; the first
     ``n_context`` turns of a window are repeated ones."""
     if budget < 4 or not 0 <= history <= budget // 4:
         raise ValueError("budget must be 4 or more and history at most a quarter of it")
     conv = ["c", "c_null"]
-    turns = _turns(conversations)
+    turns = _turns(conversations, tokens, marks)
     system = (turns.filter("role = 'system'").groupBy(*conv)
               .agg(F.min_by(F.struct("seq", "text", "tokens"), "seq").alias("system")))
     room = F.lit(budget) - F.coalesce("system.tokens", F.lit(0))

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrun.llm import chat
 from millrun.llm.queries import op10_chat
@@ -99,3 +100,34 @@ def test_query(spark):
     df = op10_chat(spark, sf)
     check_digest(rows, df.collect())
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_token_column_and_marks_are_the_budget(spark):
+    """Windows by a tokenizer's counts, marks included, from the trees of the token counts."""
+    from millrun.llm import tokencount
+    rng = random.Random(3)
+    rows = [(c, k, ("user", "assistant")[k % 2], " ".join(["\u5b66\u6821", "word", "x;y"][rng.randrange(3)] for _ in range(rng.randint(1, 25))))
+            for c in range(12) for k in range(rng.randint(5, 60))]
+    df = table(spark, rows).withColumn("doc_id", F.monotonically_increasing_id()).checkpoint()
+    counted = tokencount.built(df.select("doc_id", "text")).select(F.col("doc_id").alias("of"), F.col("n_tokens").alias("size"))
+    given = df.join(counted, F.col("doc_id") == F.col("of"))
+    sizes = {(r.conv_id, r.turn): r["size"] for r in given.collect()}
+    out = chat.formatted(given, 120, 30, tokens="size", marks=6).collect()
+    seen = {}
+    for w in sorted(out, key=lambda r: (r.conv_id, r.window)):
+        n = w.text.count("</turn>")
+        first = seen.get(w.conv_id, 0) - w.n_context
+        own = [sizes[w.conv_id, k] + 6 for k in range(first, first + n)]
+        assert w.tokens == sum(own) and (w.tokens <= 120 or n - w.n_context == 1) and sum(own[:w.n_context]) <= 30
+        seen[w.conv_id] = first + n
+    assert sum(seen.values()) == len(rows)
+    check_digest(rows, chat.digest(chat.formatted(given, 120, 30, tokens="size", marks=6)).collect())
+
+
+def test_one_hot_conversation_without_turn_numbers(spark):
+    """All rows of one conversation, equal rows among them, spread over the ranges."""
+    from millrun.llm.common import numbered_cells
+    rows = [(5, None, "assistant", f"text {i % 40} " * 3) for i in range(400)]
+    check_digest(rows, chat.digest(chat.formatted(table(spark, rows), 64, 16)).collect())
+    cells = numbered_cells(table(spark, rows).select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"])[1].collect()
+    assert len(cells) > 4 and max(b["_before"] for b in cells) < 400 and {b["_all"] for b in cells} == {400}
