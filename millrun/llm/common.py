@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 import millrun
 
+#: Scratch folders that this process has made.
+_MADE: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
@@ -24,7 +27,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="millrun-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex[:12]}"
+    _MADE.append(folder)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +73,20 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of ``df``, whatever these are called."""
+    tail = "_" * (1 + max(map(len, df.columns), default=0))
+    return [n + tail for n in names]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this process. Results that were not consumed yet need them."""
+    for path in _MADE:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.clear()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrun.llm.common import by_doc, ship, utf8, written
+from millrun.llm.common import by_doc, free_names, ship, utf8, written
 
 #: Words of the benchmark held by one broadcast set.
 MAX_BENCHMARK_WORDS = 2_000_000
@@ -217,7 +217,7 @@ def is_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFram
     ship(spark)
     total = _benchmark_words(benchmark)
     if total > MAX_BENCHMARK_WORDS:
-        row = "row" + "_" * max(map(len, docs.columns))
+        row = free_names(docs, "row")[0]
         held = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
         found = _hits(held.select(F.col(row).alias("row"), utf8(F.col("text")).alias("body")), benchmark, width, total)
         return held.join(found.select(F.col("row").alias(row)).distinct(), row, "left_anti").drop(row)

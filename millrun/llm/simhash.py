@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrun.llm.common import by_doc, parts, ship, utf8, written
+from millrun.llm.common import by_doc, free_names, parts, ship, utf8, written
 from millrun.llm.components import components
 from millrun.operators.joins import checked_broadcast
 
@@ -254,19 +254,21 @@ def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     """One document (all its columns) of each component: that with the smallest id.
 
     A row is found again by its id and a hash of its text; of repeated rows one
-    stays. An id on rows of several components stands for each of them; on linked
+    stays, and of rows that differ in other columns only that with the smallest hash of
+    all columns. An id on rows of several components stands for each of them; on linked
     rows with different texts, that with the smallest hash stays. Components that
     hold only null ids keep one row per fingerprint."""
     groups = _grouped(docs, shingle, max_bits)
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    keys = free_names(docs, "id", "none", "hash")
+    first = free_names(docs, "first")[0]
     kept = (groups.filter("component_id is null or doc_id = component_id")
             .groupBy("root", alone.alias("alone"))
             .agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-            .select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.doc_id").isNull().alias("__none"),
-                    F.col("k.text_hash").alias("__hash")))
-    rows = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(),
-                             "__hash": F.xxhash64("text")})
-    keys = ["__id", "__none", "__hash"]
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return (rows.join(kept, keys, "left_semi").withColumn("__first", first).filter("__first = 1")
+            .select(*[c.alias(k) for k, c in zip(keys, (F.coalesce("k.doc_id", F.lit(0)), F.col("k.doc_id").isNull(),
+                                                        F.col("k.text_hash")))]))
+    rows = docs.withColumns(dict(zip(keys, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")))))
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return (rows.join(kept, keys, "left_semi").withColumn(first, place).filter(F.col(first) == 1)
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
