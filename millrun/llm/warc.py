@@ -237,30 +237,50 @@ def _block(uri: str, offset: int, length: int) -> tuple[list[str], list[str]]:
     return [x.partition(" ")[0] for x in lines], lines
 
 
+def captures_in(directory: str, key: str):
+    """``(archive, offset, length)`` of the captures of one key in one range."""
+    blocks, entries, lasts = _directory(directory)
+    i = bisect.bisect_left(lasts, key)
+    while i < len(entries) and entries[i][0] <= key:
+        keys, lines = _block(blocks, entries[i][2], entries[i][3])
+        for j in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)):
+            yield tuple(json.loads(lines[j].partition(" ")[2]))
+        i += 1
+
+
 def captures_of(index: Index, key: str):
     """``(archive, offset, length)`` of every capture of one key."""
     for directory in index.ranges(key):
-        blocks, entries, lasts = _directory(directory)
-        i = bisect.bisect_left(lasts, key)
-        while i < len(entries) and entries[i][0] <= key:
-            keys, lines = _block(blocks, entries[i][2], entries[i][3])
-            for j in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)):
-                yield tuple(json.loads(lines[j].partition(" ")[2]))
-            i += 1
+        yield from captures_in(directory, key)
+
+
+def _ranges_of(keys: DataFrame, index: Index) -> DataFrame:
+    """``key, directory``: the ranges that may hold each of the different ``keys``."""
+    shared = keys.sparkSession.sparkContext.broadcast(index)  # one entry per range
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, d) for k in batch.column(0).to_pylist() for d in shared.value.ranges(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.string())],
+                                             ["key", "directory"])
+
+    return keys.select("key").filter(F.col("key").isNotNull()).distinct().mapInArrow(run, "key string, directory string")
 
 
 def lookup(keys: DataFrame, index: Index) -> DataFrame:
-    """``key, archive, offset, length`` of every capture of the different ``keys``."""
+    """``key, archive, offset, length`` of every capture of the different ``keys``.
+
+    The root is searched first, so that a key whose captures fill many ranges is
+    searched in each of them by a task of its own."""
     spark = keys.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(index)  # one entry per range
 
     def run(batches):
         names = ["key", "archive", "offset", "length"]
         for batch in batches:
             rows = []
-            for key in batch.column(0).to_pylist():
-                for hit in captures_of(shared.value, key):
+            for key, directory in zip(*[c.to_pylist() for c in batch.columns]):
+                for hit in captures_in(directory, key):
                     rows.append((key, *hit))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
@@ -268,7 +288,7 @@ def lookup(keys: DataFrame, index: Index) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
-    wanted = keys.select("key").distinct().repartitionByRange(parts(spark), "key").sortWithinPartitions("key")
+    wanted = _ranges_of(keys, index).repartitionByRange(parts(spark), "directory", "key").sortWithinPartitions("directory", "key")
     return wanted.mapInArrow(run, "key string, archive string, offset long, length long")
 
 

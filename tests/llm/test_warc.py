@@ -72,3 +72,16 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert rows_of(op1_warc(spark, sf)) == sorted(map(str, brute(rows)))
+
+
+def test_captures_of_a_hot_url_are_looked_up_range_by_range(spark, monkeypatch):
+    """One URL on most pages: its key spans many ranges, and each is searched on its own."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(i, "http://hot.org/" if i % 8 else f"http://cold.org/{i}", f"text {i}") for i in range(600)]
+    pages = table(spark, rows)
+    _, index = warc.archived(spark, pages)
+    keys = warc.url_keys(pages)
+    spans = warc._ranges_of(keys, index).filter("key = 'org,hot)/'").collect()
+    assert len(spans) > 3 and len({r.directory for r in spans}) == len(spans)
+    assert rows_of(warc.fetch(warc.lookup(keys, index))) == sorted(map(str, brute(rows)))
+    assert warc.lookup(spark.createDataFrame([(None,), ("org,hot)/",)], "key string"), index).count() == 525
