@@ -77,12 +77,42 @@ def daily_report_job(spark: SparkSession, readings_path: str, tags_path: str, ou
     return paths
 
 
+def alarm_state_job(spark: SparkSession, log_path: str, state_path: str, rollup_path: str, through) -> None:
+    """The daily batch of the alarm log: standing alarms as kept state and the daily partial
+    aggregates, advanced to the end of day ``through``. Reads new days only; a failed or
+    repeated run changes nothing of the days before."""
+    from millrun.operators.alarms import active_state
+    from millrun.sources.historian import advance_rollup, advance_state, read_alarm_events
+    log = read_alarm_events(spark, log_path)
+    advance_state(log, state_path, through, active_state)
+    advance_rollup(log, rollup_path, through)
+
+
+def _alarms_main(argv) -> int:
+    import argparse
+    import datetime as dt
+
+    from millrun.session import get_session
+    ap = argparse.ArgumentParser(description="daily alarm state and rollup")
+    for a in ("--log", "--state", "--rollup", "--through"):
+        ap.add_argument(a, required=True)
+    ap.add_argument("--profile", default="cluster")
+    args = ap.parse_args(argv)
+    alarm_state_job(get_session(profile=args.profile), args.log, args.state, args.rollup, dt.date.fromisoformat(args.through))
+    return 0
+
+
 def main(argv=None) -> int:
     """``python -m millrun.plans.jobs --readings P --tags P --out P
-    --tbf '2026-07-06 00:00:00' --taf '2026-07-06 23:59:59' --threshold 0``"""
+    --tbf '2026-07-06 00:00:00' --taf '2026-07-06 23:59:59' --threshold 0``, or
+    ``python -m millrun.plans.jobs alarms --log P --state P --rollup P --through 2026-07-06``"""
     import argparse
+    import sys
 
     from millrun.session import get_session
+    argv = sys.argv[1:] if argv is None else list(argv)
+    if argv[:1] == ["alarms"]:
+        return _alarms_main(argv[1:])
     ap = argparse.ArgumentParser(description="daily gap-fill and run-hours report")
     for a in ("--readings", "--tags", "--out", "--tbf", "--taf"):
         ap.add_argument(a, required=True)

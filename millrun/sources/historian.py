@@ -176,8 +176,10 @@ def advance_state(log: DataFrame, path: str, through: dt.date, merge, day: str =
     if before:
         new = new.where(F.col(day) > F.lit(before[-1]))
         state = spark.read.parquet(f"{path}/reached={before[-1].isoformat()}")
-    _write_days(merge(state, new.drop(day)).withColumn("reached", F.lit(through)), path, "reached")
-    return read_state(spark, path, through)
+    merged = merge(state, new.drop(day))
+    _write_days(merged.withColumn("reached", F.lit(through)), path, "reached")
+    # no row ever logged: no partition, and the next run starts from the first day again
+    return read_state(spark, path, through) if through in _partition_days(spark, path, "reached") else merged.limit(0)
 
 
 def read_state(spark: SparkSession, path: str, reached: dt.date | None = None) -> DataFrame:

@@ -213,3 +213,23 @@ def test_stored_rollup_is_repeatable(spark):
     kw = dict(as_of=P.AS_OF, hours=720, top=50)
     _same(RU.noisy(roll, log, rolled_to=reached, **kw), A.noisy(ev, **kw))
     _same(RU.daily(roll, log, as_of=P.AS_OF, rolled_to=reached, days=90), A.daily(ev, as_of=P.AS_OF, days=90))
+
+
+def test_alarm_job(spark):
+    """The command advances state and rollup day by day; a log without events has neither."""
+    from millrun.plans import jobs
+    log_dir, out = _dir(), _dir()
+    ev, log = _log(spark, log_dir)
+    for day in ("2023-12-30", "2024-01-10", "2024-01-30"):
+        assert jobs.main(["alarms", "--log", log_dir, "--state", f"{out}/state", "--rollup", f"{out}/rollup", "--through", day,
+                          "--profile", "local"]) == 0
+    state, roll = H.read_state(spark, f"{out}/state"), H.read_rollup(spark, f"{out}/rollup")
+    _same(A.active_from_state(state, as_of=P.AS_OF, hours=720), A.active(ev, as_of=P.AS_OF, hours=720))
+    _same(RU.groups(roll, log, rolled_to=dt.date(2024, 1, 30)), A.groups(ev))
+
+
+def test_state_of_an_empty_log(spark):
+    state_dir = f"{_dir()}/state"
+    empty = FX.alarm_events(spark, SF_SMALL).withColumn("event_date", F.to_date("EventTimeStamp")).limit(0)
+    state = H.advance_state(empty, state_dir, dt.date(2024, 1, 1), A.active_state)
+    assert state.count() == 0 and A.active_from_state(state, as_of=P.AS_OF, hours=720).count() == 0
