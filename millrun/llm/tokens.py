@@ -22,8 +22,17 @@ import unicodedata
 
 import numpy as np
 
-#: Classes of characters: of no certain class, letter, digit, the space, other white space, sign.
-_NONE, _LETTER, _DIGIT, _SPACE, _WHITE, _SIGN = range(6)
+#: Classes of characters: of no certain class, letter, digit, the space, other white space, sign, apostrophe.
+_NONE, _LETTER, _DIGIT, _SPACE, _WHITE, _SIGN, _APOSTROPHE = range(7)
+#: By the classes of two characters: whether a pre-token starts at the second, and, where these are
+#: white space and what follows it, at the first. Of a run of white space the last character goes
+#: with what follows; a piece that ends in the others has the same tokens alone.
+_AT_SECOND, _AT_FIRST = np.zeros((7, 7), bool), np.zeros((7, 7), bool)
+_AT_SECOND[_LETTER, [_DIGIT, _SPACE, _WHITE, _SIGN, _APOSTROPHE]] = True
+_AT_SECOND[_DIGIT, [_LETTER, _SPACE, _WHITE, _SIGN, _APOSTROPHE]] = True
+_AT_SECOND[_SIGN, [_LETTER, _DIGIT]] = True
+for _c in (_LETTER, _DIGIT, _SIGN, _APOSTROPHE):
+    _AT_FIRST[[_SPACE, _WHITE], _c] = True
 #: White space other than the space (the property White_Space), and the end of the planes looked at.
 _WHITES = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _PLANES = 0x30000
@@ -41,7 +50,7 @@ def _classes() -> np.ndarray:
     for c in map(chr, range(_PLANES)):
         k = kind(new(c))
         out[ord(c)] = k if k == kind(old(c)) else _NONE
-    out[_WHITES], out[_UNSURE], out[0x20] = _WHITE, _NONE, _SPACE
+    out[_WHITES], out[_UNSURE], out[0x20], out[0x27] = _WHITE, _NONE, _SPACE, _APOSTROPHE
     return out
 
 
@@ -105,15 +114,9 @@ def cuts(text: str) -> tuple[np.ndarray, np.ndarray]:
     else:
         code = np.frombuffer(text.encode("utf-32-le"), "<u4")
     kind = _classes()[code]
-    a, b = kind[:-1], kind[1:]
-    sure = b != _NONE
-    visible = (kind == _LETTER) | (kind == _DIGIT) | (kind == _SIGN)
-    cut = ((a == _LETTER) & (b != _LETTER) & sure) | ((a == _DIGIT) & (b != _DIGIT) & sure)
-    word = (b == _LETTER) | (b == _DIGIT)
-    cut |= (a == _SIGN) & word & (code[:-1] != 0x27)
-    # of a run of white space the last character goes with what follows; a piece that ends in the others
-    # has the same tokens alone
-    cut[:-1] |= ((b[:-1] == _SPACE) | (b[:-1] == _WHITE)) & visible[2:]
+    pair = kind[:-1] * np.uint8(7) + kind[1:]
+    cut = _AT_SECOND.ravel()[pair]
+    cut[:-1] |= _AT_FIRST.ravel()[pair[1:]]
     starts = np.r_[0, np.flatnonzero(cut) + 1]
     if code.dtype == np.uint8:
         return starts, starts
