@@ -62,6 +62,12 @@ def test_partitions_follow_the_rows(spark, tables, monkeypatch, name):
     assert "SortMergeJoin" in join
 
 
+def test_few_rows_are_shuffled_once(spark, tables):
+    d, _, _ = tables
+    plan = FX.weighing_readings(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2, plan
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("lineitem", "l_orderkey long, l_linenumber int, l_quantity double"),
                          ("orders", "o_orderkey long, o_orderdate timestamp_ntz")):
