@@ -11,12 +11,18 @@ suffix sort:
    only can't be part of a match and is left out (a hash may let too many in,
    never too few).
 2. Contexts go to the share of their anchor, equal contexts of one pack of
-   documents once. An anchor found in over ``HOT_PACKS`` packs is dealt out by
-   its single strings instead, so no share grows with a hot passage.
+   documents once. The strings of an anchor with over ``HOT_PACKS * HOT_EACH``
+   contexts are dealt out by longer anchors instead, and those of one with over
+   ``HOTTER`` times as many one by one, so no share grows with a hot passage.
 3. A share sorts the suffixes of its different contexts (``dc_order``): sampled
    triples are sorted and named, the names recursed upon until they cover
    ``length`` bytes, and the other suffixes merged in. Neighbours with equal
-   prefixes of ``length`` bytes form a class; its smallest id decides.
+   prefixes of ``length`` bytes form a class; its smallest id decides. A context
+   that no other one agrees with far enough to either side of the anchor has no
+   equal string and isn't sorted.
+
+A large corpus takes its shares in rounds, so that only some of the contexts are
+on disk at a time.
 
 Matching is exact: contexts and prefixes are compared as bytes. Documents travel
 in packs of about ``PACK_BYTES`` bytes (a longer document is a pack of its own).
@@ -29,7 +35,9 @@ other; texts shorter than ``length`` stay whole; extra columns are kept by
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +49,14 @@ from millrun.llm.common import parts, ship, written
 from millrun.llm.packs import LAST as _LAST
 from millrun.llm.packs import pack_rows, packed
 
-#: Bytes of an anchor; bytes and documents of a pack; packs that make an anchor hot.
-GRAM, PACK_BYTES, PACK_DOCS, HOT_PACKS = 16, 4 << 20, 20_000, 256
+#: Bytes of an anchor; bytes and documents of a pack.
+GRAM, PACK_BYTES, PACK_DOCS = 16, 4 << 20, 20_000
+#: An anchor is hot with more contexts than so many packs with so many each have; with so many times more its strings go one by one.
+HOT_PACKS, HOT_EACH, HOTTER = 256, 256, 8
 #: Bytes of text for which there is one share, so that a share fits in a task's memory at any size of the corpus.
 SHARE_BYTES = 16 << 20
+#: Bytes of text for which there is one round, and the most rounds.
+ROUND_BYTES, ROUNDS = 128 << 20, 3
 #: Bytes of contexts sorted at once; ranks and symbols must stay below 2**21.
 SORT_BYTES = 1 << 18
 #: Bytes hashed at once, so that the arrays stay in a processor's cache.
@@ -111,12 +123,12 @@ def class_minima(body: np.ndarray, starts: np.ndarray, order: np.ndarray, length
 
 # ---- packs, anchors and contexts --------------------------------------------------
 
-def _hashed(raw: bytes, at: np.ndarray | None, a: int = 0, b: int = 0) -> np.ndarray:
-    """Hashes of the runs of ``GRAM`` bytes at the places ``at``, or at all places from ``a`` to ``b``."""
+def _hashed(raw: bytes, at: np.ndarray | None, a: int = 0, b: int = 0, gram: int = GRAM) -> np.ndarray:
+    """Hashes of the runs of ``gram`` bytes at the places ``at``, or at all places from ``a`` to ``b``."""
     words = np.ndarray((max(len(raw) - 7, 0),), dtype="<u8", buffer=raw, strides=(1,))
     h = (words[a:b] if at is None else words[at]) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    for k in range(8, GRAM, 8):
+    for k in [*range(8, gram - 7, 8), gram - 8]:
         h += words[a + k:b + k] if at is None else words[at + k]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -128,15 +140,15 @@ class Pack:
 
     def __init__(self, ids: bytes, sizes: bytes, body: bytes, length: int):
         self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
-        self.raw = zstandard.decompress(body)
+        self.raw, self.length = zstandard.decompress(body), length
         self.ends = np.cumsum(self.sizes)
         n = len(self.raw)
         self.body = np.frombuffer(self.raw, np.uint8)
         room = np.maximum(self.sizes - length + 1, 0)
         first = self.ends - self.sizes
         breaks, anchors = self._runs(n, length)
-        at = np.union1d(breaks, np.concatenate([first, first + room]))
-        at = at[at < n - length + 1]
+        at = np.sort(np.concatenate([breaks, first, first + room]))
+        at = at[(at < n - length + 1) & np.r_[True, at[1:] != at[:-1]][:len(at)]]
         doc = np.searchsorted(first, at, side="right") - 1
         last = np.r_[at[1:], n - length + 1] if len(at) else at
         use = np.flatnonzero(at < (first + room)[doc])
@@ -169,11 +181,45 @@ class Pack:
         none = np.empty(0, np.int64)
         return np.concatenate([none, *breaks]), np.concatenate([none, *anchors])
 
-    def contexts(self, flags: np.ndarray, length: int):
+    def spread(self) -> np.ndarray:
+        """About how many different contexts each distinct anchor has; at most 255. Steers only."""
+        edges = np.ndarray((max(len(self.raw) - 7, 0),), dtype="<u8", buffer=self.raw, strides=(1,))
+        mark = edges[self.start] * np.uint64(0x9E3779B97F4A7C15) + edges[self.end + (self.length - 9)]
+        mark = (mark * np.uint64(0xBF58476D1CE4E5B9) ^ self.hash) * np.uint64(0x94D049BB133111EB)
+        by = np.argsort(mark)
+        new = by[np.r_[True, mark[by[1:]] != mark[by[:-1]]][:len(by)]]
+        return np.minimum(np.bincount(self.which[new], minlength=len(self.distinct)), 255).astype(np.uint8)
+
+    def _narrowed(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For hot runs the runs of strings with the same longer anchor: ``(which run, start, end, anchor)``."""
+        gram, n = _longer(self.length), len(self.raw)
+        strings, width = self.length - GRAM + 1, self.length - gram + 1
+        out = []
+        for a in range(0, len(s), 4096):
+            at = s[a:a + 4096, None] + np.arange(strings + width - 1)
+            key = _hashed(self.raw, np.minimum(at, n - gram), gram=gram) & ~np.uint64(255)
+            key |= np.arange(strings + width - 1, dtype=np.uint64)
+            span = 1
+            while span < width:
+                step = min(span, width - span)
+                key = np.minimum(key[:, :-step], key[:, step:])
+                span += step
+            size = (e - s)[a:a + 4096, None]
+            new = np.c_[np.ones(len(key), bool), key[:, 1:] != key[:, :-1]] & (np.arange(strings) < size)
+            run, first = np.nonzero(new)
+            last = np.r_[first[1:], 0]
+            last = np.where(np.r_[run[1:] != run[:-1], True], size[run, 0], last)
+            place = (key[run, first] & np.uint64(255)).astype(np.int64)
+            run = run + a
+            out.append((run, s[run] + first, s[run] + last, s[run] + place))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def contexts(self, flags: np.ndarray, length: int, shares: int, turn: int = 0, rounds: int = 1):
         """Occurrences ``(context, start, end, doc id)`` of the anchors that may match, and the
-        different contexts ``(bytes, least doc id, anchor offset or -1, hash)``.
+        different contexts ``(number, text, least doc id, anchor offset or -1, share)``; of one round's shares only.
 
-        ``flags`` is per distinct anchor: 0 none, 1 in other packs too, 2 hot."""
+        A context is numbered by the first of all its occurrences, whatever the round.
+        ``flags`` is per distinct anchor: 0 none, 1 in other packs too, 2 hot, 3 hotter."""
         every, which = self.distinct, self.which
         ids = self.ids[self.doc]
         low, high = np.full(len(every), _LAST), np.full(len(every), -1 - _LAST)
@@ -181,23 +227,50 @@ class Pack:
         np.maximum.at(high, which, ids)
         flag = flags[which]
         use = np.flatnonzero((flag > 0) | (low != high)[which])
-        hot = flag[use] == 2
-        s, e, o = self.start[use], self.end[use], ids[use]
+        flag, s, e, o = flag[use], self.start[use], self.end[use], ids[use]
         a, h = self.anchor[use] - s, self.hash[use]
-        if hot.any():  # single strings
-            n = np.where(hot, e - s, 1)
-            back = np.repeat(np.arange(len(use)), n)
+        if (flag == 2).any():  # longer anchors
+            run, s2, e2, at = self._narrowed(s[flag == 2], e[flag == 2])
+            calm, o2 = flag != 2, o[flag == 2][run]
+            s, e, o = np.r_[s[calm], s2], np.r_[e[calm], e2], np.r_[o[calm], o2]
+            a, h = np.r_[a[calm], at - s2], np.r_[h[calm], _hashed(self.raw, at, gram=_longer(length))]
+            flag = np.r_[flag[calm], np.ones(len(s2), flag.dtype)]
+        if (flag == 3).any():  # single strings
+            n = np.where(flag == 3, e - s, 1)
+            back = np.repeat(np.arange(len(flag)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s, o, h, hot = s[back] + step, o[back], h[back], hot[back]
-            e, a = np.where(hot, s + 1, e[back]), np.where(hot, -1, a[back])
-        raw, known, own = self.raw, {}, np.empty(len(s), np.int64)
-        for i, (x, y) in enumerate(zip(s.tolist(), (e + (length - 1)).tolist())):
-            own[i] = known.setdefault(raw[x:y], len(known))
-        least = np.full(len(known), _LAST)
+            s, o, h, one = s[back] + step, o[back], h[back], flag[back] == 3
+            e, a = np.where(one, s + 1, e[back]), np.where(one, -1, a[back])
+            h[one] = _hashed(self.raw, s[one], gram=length)
+        share, nth = _share(h, shares), np.arange(len(s))
+        if rounds > 1:
+            nth = np.flatnonzero(share % rounds == turn)
+            s, e, o, a, share = s[nth], e[nth], o[nth], a[nth], share[nth]
+        raw, stop = self.raw, e + (length - 1)
+        some = [pa.array([raw[x:y] for x, y in zip(s[i:i + 8192].tolist(), stop[i:i + 8192].tolist())], pa.binary())
+                for i in range(0, max(len(s), 1), 8192)]
+        known = pa.concat_arrays(some).dictionary_encode()
+        del some
+        own, texts = known.indices.to_numpy(), known.dictionary
+        first = np.empty(len(texts), np.int64)
+        first[own[::-1]] = np.arange(len(own))[::-1]
+        least = np.full(len(texts), _LAST)
         np.minimum.at(least, own, o)
-        offset, mark = np.empty(len(known), np.int64), np.empty(len(known), np.uint64)
-        offset[own], mark[own] = a, h
-        return own, s, e, o, list(known), least, offset, mark
+        return own, s, e, o, nth[first], texts, least, a[first], share[first]
+
+
+def _longer(length: int) -> int:
+    """Bytes of a hot run's longer anchors."""
+    return (GRAM + length) // 2
+
+
+def _sorted_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values one after the other, and where each begins and the last ends."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], "<i8" if pa.types.is_large_binary(texts.type) else "<i4")
+    ends = ends[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2], np.uint8), ends
 
 
 def _share(hashes: np.ndarray, shares: int) -> np.ndarray:
@@ -214,18 +287,20 @@ def _by_share(hashes: np.ndarray, shares: int):
 
 
 def _anchors(packs: DataFrame, length: int, shares: int) -> DataFrame:
-    """``share, pack, hashes``: the low halves of every pack's different anchors."""
+    """``share, pack, hashes, spread``: the low halves of every pack's different anchors, and about how many contexts they have."""
 
     def run(batches):
         for batch in batches:
             for row in pack_rows(batch):
-                h = Pack(row["ids"], row["sizes"], row["body"], length).distinct
+                pack = Pack(row["ids"], row["sizes"], row["body"], length)
+                h, spread = pack.distinct, pack.spread()
                 own = list(_by_share(h, shares))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in own], pa.int32()), pa.array([row["pack"]] * len(own), pa.int64()),
-                     pa.array([h[at].astype("<u4").tobytes() for _, at in own], pa.binary())], ["share", "pack", "hashes"])
+                     pa.array([h[at].astype("<u4").tobytes() for _, at in own], pa.binary()),
+                     pa.array([spread[at].tobytes() for _, at in own], pa.binary())], ["share", "pack", "hashes", "spread"])
 
-    return packs.select("pack", "ids", "sizes", "body").mapInArrow(run, "share int, pack long, hashes binary")
+    return packs.select("pack", "ids", "sizes", "body").mapInArrow(run, "share int, pack long, hashes binary, spread binary")
 
 
 def _dealt(df: DataFrame, shares: int) -> DataFrame:
@@ -234,15 +309,18 @@ def _dealt(df: DataFrame, shares: int) -> DataFrame:
 
 
 def _flags(dealt: DataFrame) -> DataFrame:
-    """``pack, share, flags``: per anchor of the pack, in order: 0 alone, 1 shared, 2 hot."""
+    """``pack, share, flags``: per anchor of the pack, in order: 0 alone, 1 shared, 2 hot, 3 hotter."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b, "<u4") for b in group.column("hashes").to_pylist()]
-        every, count = np.unique(np.concatenate(blobs), return_counts=True)
-        flag = (count > 1).astype(np.uint8) + (count > HOT_PACKS)
-        out = [flag[np.searchsorted(every, b)].tobytes() for b in blobs]
+        every, which, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+        spread = np.frombuffer(b"".join(group.column("spread").to_pylist()), np.uint8)
+        contexts = np.bincount(which, weights=spread, minlength=len(every))
+        hot = HOT_PACKS * HOT_EACH
+        flag = (count > 1) * (1 + (contexts > hot).astype(np.uint8) + (contexts > hot * HOTTER))
+        out = np.split(flag.astype(np.uint8)[which], np.cumsum([len(b) for b in blobs])[:-1])
         return pa.table({"pack": group.column("pack"), "share": group.column("share"),
-                         "flags": pa.array([zstandard.compress(x, 1) for x in out], pa.binary())})
+                         "flags": pa.array([zstandard.compress(x.tobytes(), 1) for x in out], pa.binary())})
 
     return dealt.groupBy("share").applyInArrow(run, "pack long, share int, flags binary")
 
@@ -254,32 +332,48 @@ def _with_flags(row, pack: Pack, shares: int) -> np.ndarray:
     return flags
 
 
-_RECORD = np.dtype([("size", "<u2"), ("offset", "i1"), ("context", "<u4"), ("id", "<i8")])
+#: Of a context, in columns: bytes, place of its anchor, number (as differences), id (as differences).
+_RECORD = [("size", "u1"), ("offset", "i1"), ("context", "<u4"), ("id", "<i8")]
+_STEPS = {"context", "id"}
+
+
+def _columns(record: list, **given: np.ndarray) -> bytes:
+    """Columns one after the other."""
+    return b"".join(np.ascontiguousarray(np.diff(given[k].astype(t), prepend=np.zeros(1, t)) if k in _STEPS else given[k].astype(t)).tobytes()
+                    for k, t in record)
+
 
+def _read_columns(record: list, data: bytes, n: int, at: int = 0) -> tuple[dict[str, np.ndarray], int]:
+    """The columns of ``n`` records, and where they end."""
+    out = {}
+    for k, t in record:
+        out[k] = np.frombuffer(data, t, n, at)
+        at += out[k].nbytes
+        if k in _STEPS:
+            out[k] = np.cumsum(out[k], dtype=t)
+    return out, at
 
-def _sent(flagged: DataFrame, length: int, shares: int) -> DataFrame:
-    """``share, pack, contexts``: the different contexts of each pack for each share."""
+
+def _sent(flagged: DataFrame, length: int, shares: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """``share, pack, contexts``: the different contexts of each pack for each share of the round."""
 
     def run(batches):
+        squeezed = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in pack_rows(batch):
                 pack = Pack(row["ids"], row["sizes"], row["body"], length)
-                _, _, _, _, texts, least, offset, mark = pack.contexts(_with_flags(row, pack, shares), length)
-                # single strings of hot anchors go by a hash of their own
-                single = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") if a < 0 else 0
-                          for t, a in zip(texts, offset.tolist())]
-                share = _share(np.where(offset < 0, np.array(single, np.uint64), mark), shares)
+                _, _, _, _, number, texts, least, offset, share = pack.contexts(
+                    _with_flags(row, pack, shares), length, shares, turn, rounds)
                 by = np.argsort(share, kind="stable")
                 cuts = np.searchsorted(share[by], np.arange(shares + 1))
-                some, blobs = [], []
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = by[cuts[p]:cuts[p + 1]]
-                    rec = np.empty(len(own), _RECORD)
-                    rec["size"] = [len(texts[i]) for i in own.tolist()]
-                    rec["offset"], rec["context"], rec["id"] = offset[own], own, least[own]
-                    some.append(p)
-                    blobs.append(zstandard.compress(np.uint32(len(own)).tobytes() + rec.tobytes()
-                                                    + b"".join([texts[i] for i in own.tolist()]), 1))
+                data, ends = _sorted_out(texts.take(pa.array(by)))
+                size, number, least, offset = np.diff(ends), number[by], least[by], offset[by]
+                some, blobs = np.flatnonzero(np.diff(cuts)).tolist(), []
+                for p in some:
+                    a, b = cuts[p], cuts[p + 1]
+                    blobs.append(squeezed(np.uint32(b - a).tobytes()
+                                          + _columns(_RECORD, size=size[a:b], offset=offset[a:b], context=number[a:b], id=least[a:b])
+                                          + data[ends[a]:ends[b]].tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array([row["pack"]] * len(some), pa.int64()), pa.array(blobs, pa.binary())],
                     ["share", "pack", "contexts"])
@@ -287,97 +381,117 @@ def _sent(flagged: DataFrame, length: int, shares: int) -> DataFrame:
     return flagged.select("pack", "ids", "sizes", "body", "flags").mapInArrow(run, "share int, pack long, contexts binary")
 
 
-def _minima(texts: list[bytes], least: np.ndarray, offset: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per different context, the least id of each of its strings' classes."""
-    out: list = [None] * len(texts)
-    groups: dict[bytes, list[int]] = {}
-    for i, (t, a) in enumerate(zip(texts, offset.tolist())):
-        n = len(t) - length + 1
-        if a < 0:
-            out[i] = np.full(n, least[i])  # a single string: equal ones are the same context
-        else:
-            groups.setdefault(t[a:a + GRAM], []).append(i)
-    held, size = [], 0
-
-    def solve():
-        body = np.frombuffer(b"".join([texts[i] for i in held]), np.uint8)
-        sizes = np.array([len(texts[i]) for i in held])
-        n = sizes - length + 1
-        base = np.repeat(np.cumsum(sizes) - sizes, n)
-        starts = base + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found = class_minima(body, starts, np.repeat(least[held], n), length)
-        for i, part in zip(held, np.split(found, np.cumsum(n)[:-1])):
-            out[i] = part
-
-    for members in groups.values():
-        more = sum(len(texts[i]) for i in members)
-        if len(members) == 1:
-            i = members[0]
-            out[i] = np.full(len(texts[i]) - length + 1, least[i])
-            continue
-        if more > SORT_BYTES:  # too large for one sort: string by string
-            first: dict[bytes, int] = {}
-            cut = [[texts[i][j:j + length] for j in range(len(texts[i]) - length + 1)] for i in members]
-            for i, strings in zip(members, cut):
-                for x in strings:
-                    first[x] = min(first.get(x, _LAST), int(least[i]))
-            for i, strings in zip(members, cut):
-                out[i] = np.array([first[x] for x in strings], np.int64)
-            continue
-        if held and size + more > SORT_BYTES:
-            solve()
-            held, size = [], 0
-        held += members
-        size += more
-    if held:
-        solve()
+def _starts(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...``, ``n[i]`` of each, one after the other."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _sides(data: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts another one agrees with in the anchor and far enough to its left or to its right.
+
+    A string has half of what isn't its anchor, or more, on one side, so others have no equal string."""
+    half = (length - GRAM + 1) // 2
+    gram, out = GRAM + half, np.zeros(len(begin), bool)
+    for room, at in ((offset >= half, begin + offset - half), (size - offset >= gram, begin + offset)):
+        own = np.flatnonzero(room)
+        mark = _hashed(data, at[own], gram=gram)
+        by = np.argsort(mark)
+        same = mark[by[1:]] == mark[by[:-1]]
+        out[own[by]] |= np.r_[same, False][:len(by)] | np.r_[False, same][:len(by)]
     return out
 
 
-_FOUND = np.dtype([("context", "<u4"), ("start", "u1"), ("end", "u1")])
+def _minima(texts: pa.Array, least: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of each different context, and one after the other the least ids of their classes."""
+    data, ends = _sorted_out(texts)
+    begin, size = ends[:-1], np.diff(ends)
+    n = size - length + 1
+    base = np.cumsum(n) - n
+    out = np.repeat(least, n)  # of a single string: equal ones are the same context
+    some = np.flatnonzero(offset >= 0)
+    some = some[_sides(data, begin[some], size[some], offset[some], length)]
+    words = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    at = begin[some] + offset[some]
+    keys = [words[at + k] for k in range(0, GRAM, 8)]
+    by = np.lexsort(keys)
+    some, new = some[by], np.zeros(len(by), bool)
+    for w in keys:
+        w = w[by]
+        new[1:] |= w[1:] != w[:-1]
+    new[:1] = True
+    cuts = np.r_[np.flatnonzero(new), len(some)]
+    bulk = np.r_[0, np.cumsum(size[some])][cuts]  # bytes up to each group
+
+    def solve(held: np.ndarray) -> None:
+        body = data[_starts(begin[held], size[held])]
+        found = class_minima(body, _starts(np.cumsum(size[held]) - size[held], n[held]), np.repeat(least[held], n[held]), length)
+        out[_starts(base[held], n[held])] = found
+
+    def solve_large(held: np.ndarray) -> None:
+        """Too large for one sort: string by string, those with the anchor at the same place at a time."""
+        for left in range(length - GRAM + 1):
+            own = held[(offset[held] >= left) & (size[held] - offset[held] >= length - left)]
+            rows = data[(begin[own] + offset[own] - left)[:, None] + np.arange(length)]
+            which = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(length), len(own), [None, pa.py_buffer(np.ascontiguousarray(rows))]).dictionary_encode().indices.to_numpy()
+            first = np.full(len(own), _LAST)
+            np.minimum.at(first, which, least[own])
+            out[base[own] + offset[own] - left] = first[which]
+
+    g = 0
+    while g < len(cuts) - 1:
+        end = max(g + 1, int(np.searchsorted(bulk, bulk[g] + SORT_BYTES, side="right")) - 1)
+        held = some[cuts[g]:cuts[end]]
+        if bulk[end] - bulk[g] > SORT_BYTES:
+            solve_large(held)
+        elif len(held) > 1:
+            solve(held)
+        g = end
+    return n, out
+
+
+_FOUND = [("context", "<u4"), ("start", "u1"), ("end", "u1")]
 
 
 def _solved(dealt: DataFrame, length: int) -> DataFrame:
     """``pack, found``: runs of strings of the pack's contexts that start in earlier documents."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        least, offset, instances = [], [], []
+        opened = zstandard.ZstdDecompressor().decompress
+        instances, pieces = [], []
         for blob in group.column("contexts").to_pylist():
-            data = zstandard.decompress(blob)
-            n = int(np.frombuffer(data, "<u4", 1)[0])
-            rec = np.frombuffer(data, _RECORD, n, 4)
-            ends = 4 + n * _RECORD.itemsize + np.cumsum(rec["size"].astype(np.int64))
-            own = np.empty(n, np.int64)
-            for i, (b, size, a, d) in enumerate(zip(ends.tolist(), rec["size"].tolist(), rec["offset"].tolist(), rec["id"].tolist())):
-                text = data[b - size:b]
-                k = known.setdefault(text, len(known))
-                if k == len(least):
-                    least.append(d)
-                    offset.append(a)
-                else:
-                    least[k] = min(least[k], d)
-                    offset[k] = max(offset[k], a)
-                own[i] = k
-            instances.append((own, rec["context"], rec["id"]))
-        minima = _minima(list(known), np.array(least, np.int64), np.array(offset, np.int64), length)
-        n = np.array([len(m) for m in minima])
-        base, flat = np.cumsum(n) - n, np.concatenate(minima)
-        packs, found = [], []
-        for pack, (own, context, doc) in zip(group.column("pack").to_pylist(), instances):
-            reps = n[own]
-            step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            who = np.repeat(np.arange(len(own)), reps)
-            covered = flat[base[own][who] + step] < doc[who]
+            data = opened(blob)
+            rec, at = _read_columns(_RECORD, data, int(np.frombuffer(data, "<u4", 1)[0]), 4)
+            instances.append(rec)
+            pieces.append(data[at:])
+        sizes = np.concatenate([rec["size"] for rec in instances]).astype(np.int64)
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+            None, pa.py_buffer(np.r_[0, np.cumsum(sizes)]), pa.py_buffer(b"".join(pieces))])
+        del pieces
+        known = every.dictionary_encode()
+        del every
+        own, texts = known.indices.to_numpy(), known.dictionary
+        least, offset = np.full(len(texts), _LAST), np.full(len(texts), -1)
+        np.minimum.at(least, own, np.concatenate([rec["id"] for rec in instances]))
+        np.maximum.at(offset, own, np.concatenate([rec["offset"] for rec in instances]).astype(np.int64))
+        n, flat = _minima(texts, least, offset, length)
+        base = np.cumsum(n) - n
+        packs, found, done = [], [], 0
+        for pack, rec in zip(group.column("pack").to_pylist(), instances):
+            mine = own[done:done + len(rec["id"])]
+            done += len(mine)
+            reps = n[mine]
+            step = _starts(np.zeros(len(mine), np.int64), reps)
+            who = np.repeat(np.arange(len(mine)), reps)
+            covered = flat[base[mine][who] + step] < rec["id"][who]
             edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
             new = np.r_[True, who[1:] != who[:-1]]  # a run ends with its context
             start = np.flatnonzero(covered & (new | (edge[:-1] == 1)))
             last = np.flatnonzero(covered & np.r_[new[1:] | (edge[1:-1] == -1), True])
             if len(start):
-                rec = np.empty(len(start), _FOUND)
-                rec["context"], rec["start"], rec["end"] = context[who[start]], step[start], step[last] + 1
                 packs.append(pack)
-                found.append(zstandard.compress(rec.tobytes(), 1))
+                found.append(zstandard.compress(_columns(
+                    _FOUND, context=rec["context"][who[start]], start=step[start], end=step[last] + 1), 1))
         return pa.table({"pack": pa.array(packs, pa.int64()), "found": pa.array(found, pa.binary())})
 
     return dealt.groupBy("share").applyInArrow(run, "pack long, found binary")
@@ -386,22 +500,25 @@ def _solved(dealt: DataFrame, length: int) -> DataFrame:
 def _covered(row, length: int, shares: int) -> tuple[Pack, np.ndarray]:
     """The pack and, per byte, whether it goes."""
     pack = Pack(row["ids"], row["sizes"], row["body"], length)
-    own, s, e, o, _, least, _, _ = pack.contexts(_with_flags(row, pack, shares), length)
-    mark = np.zeros(len(pack.raw) + 1, np.int64)
+    own, s, e, o, number, _, least, _, _ = pack.contexts(_with_flags(row, pack, shares), length, shares)
+    mark = np.zeros(len(pack.raw) + 1, np.int32)
     late = o > least[own] if len(own) else np.empty(0, bool)  # an equal context stands earlier in this pack
     np.add.at(mark, s[late], 1)
     np.add.at(mark, e[late] + length - 1, -1)
     if row["found"]:
-        rec = np.concatenate([np.frombuffer(zstandard.decompress(f), _FOUND) for f in row["found"]])
-        rec = rec[np.argsort(rec["context"], kind="stable")]
+        blobs = [zstandard.decompress(f) for f in row["found"]]
+        size = sum(np.dtype(t).itemsize for _, t in _FOUND)
+        recs = [_read_columns(_FOUND, b, len(b) // size)[0] for b in blobs]
+        rec = {k: np.concatenate([r[k] for r in recs]).astype(np.int64) for k, _ in _FOUND}
+        by = np.argsort(rec["context"], kind="stable")
+        context, start, end = (rec[k][by] for k in ("context", "start", "end"))
         rest = np.flatnonzero(~late)
-        a = np.searchsorted(rec["context"], own[rest])
-        n = np.searchsorted(rec["context"], own[rest], side="right") - a
-        who = np.repeat(rest, n)
-        run = rec[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        np.add.at(mark, s[who] + run["start"], 1)
-        np.add.at(mark, s[who] + run["end"].astype(np.int64) + length - 1, -1)
-    return pack, np.cumsum(mark)[:-1] > 0
+        a = np.searchsorted(context, number)[own[rest]]
+        n = np.searchsorted(context, number, side="right")[own[rest]] - a
+        who, run = np.repeat(rest, n), _starts(a, n)
+        np.add.at(mark, s[who] + start[run], 1)
+        np.add.at(mark, s[who] + end[run] + length - 1, -1)
+    return pack, np.cumsum(mark, out=mark)[:-1] > 0
 
 
 def _decided(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
@@ -411,17 +528,31 @@ def _decided(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     ship(spark)
     packs = written(packed(docs, PACK_BYTES, PACK_DOCS), "packs")
-    shares = max(1, -(-(packs.agg(F.sum("n_bytes")).first()[0] or 0) // SHARE_BYTES))
+    total = packs.agg(F.sum("n_bytes")).first()[0] or 0
+    shares, rounds = max(1, -(-total // SHARE_BYTES)), max(1, min(ROUNDS, -(-total // ROUND_BYTES)))
     flags = _flags(_dealt(_anchors(packs, length, shares), shares))
     flags = written(flags.groupBy("pack").agg(F.collect_list(F.struct("share", "flags")).alias("flags"))
                     .withColumnRenamed("pack", "of"), "flags")
-    flagged = packs.join(flags, F.col("pack") == F.col("of"), "left").drop("of")
-    found = _solved(_dealt(_sent(flagged, length, shares), shares), length)
-    found = written(found.groupBy("pack").agg(F.collect_list("found").alias("found"))
-                    .withColumnRenamed("pack", "of"), "found")
-    # flags and findings of a pack meet first, so that the texts are joined once
-    small = flags.join(found.withColumnRenamed("of", "with"), F.col("of") == F.col("with"), "left").drop("with")
-    return packs.join(small, F.col("pack") == F.col("of"), "left").drop("of"), shares
+    # Written, so that the texts move once for all rounds.
+    packs = written(packs.join(flags, F.col("pack") == F.col("of"), "left").drop("of"), "flagged")
+    del flags
+    found = None
+    for turn in range(rounds):
+        _tidy(spark)
+        part = written(_solved(_dealt(_sent(packs, length, shares, turn, rounds), shares), length), "found")
+        found = found.union(part) if found else part
+    _tidy(spark)
+    found = found.groupBy("pack").agg(F.collect_list("found").alias("found")).withColumnRenamed("pack", "of")
+    return packs.join(found, F.col("pack") == F.col("of"), "left").drop("of"), shares
+
+
+def _tidy(spark) -> None:
+    """Let the shuffle files of finished writes go, which Spark keeps until the driver collects its garbage."""
+    for _ in range(2):  # what the first one finds may hold more
+        gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def report(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from millrun.llm import suffix_dedup
 from millrun.llm.queries import op2_suffix_dedup
@@ -111,3 +113,49 @@ def test_shares_come_from_the_bytes(spark, monkeypatch):
     assert sorted(np.concatenate([at for _, at in dealt]).tolist()) == list(range(1000))
     assert all((suffix_dedup._share(hashes[at], 37) == p).all() and (np.diff(at) > 0).all() for p, at in dealt)
     assert suffix_dedup._dealt(spark.createDataFrame([(1,)], "share int"), 50).rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize("each,hotter", [(1, 3), (2, 1000), (1, 1)])
+def test_longer_anchors_single_strings_and_rounds(spark, monkeypatch, each, hotter):
+    """Hot anchors by longer ones or by strings, shares in rounds: the same result."""
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "HOT_PACKS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_EACH", each)
+    monkeypatch.setattr(suffix_dedup, "HOTTER", hotter)
+    monkeypatch.setattr(suffix_dedup, "SHARE_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "ROUND_BYTES", 3000)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(rng.randint(8, 30))) for _ in range(4)] + ["y" * 90, "abc" * 40]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(2)]
+        parts.insert(rng.randint(0, 2), rng.choice(passages)[rng.randint(0, 30):])
+        rows.append((rng.randint(0, 300), "".join(parts)))
+    rows += [(rng.randint(0, 300), t) for _, t in rows[:20]] + [(None, rows[0][1])]
+    same(rows_of(suffix_dedup.report(docs(spark, rows))), brute(rows))
+
+
+def test_hot_anchors_send_little_more():
+    """A hot anchor's strings go in a few contexts, not each for itself."""
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefgh ", k=50_000)).encode()
+    pack = suffix_dedup.Pack(np.array([1], "<i8").tobytes(), np.array([len(text)], "<i8").tobytes(), zstandard.compress(text), 50)
+    sent = {}
+    for flag in (1, 2, 3):
+        own, s, e, o, number, texts, least, offset, share = pack.contexts(np.full(len(pack.distinct), flag, np.uint8), 50, 7)
+        assert (e - s).sum() == len(text) - 49 and sorted(number) == list(range(len(own)))
+        assert all(text[a:b + 49] == texts[i].as_py() for a, b, i in zip(s[:500], e[:500], own[:500]))
+        sent[flag] = texts.nbytes
+    assert sent[2] < 4 * sent[1] < sent[3]
+
+
+def test_contexts_alone_on_both_sides_are_not_sorted(monkeypatch):
+    """Contexts that share their anchor only have no equal string; others are compared."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(suffix_dedup, "class_minima", lambda *a: pytest.fail("sorted"))
+    anchor = b"sixteen bytes!!!"
+    text = lambda: rng.integers(1, 255, 34).astype(np.uint8).tobytes()
+    texts = [text() + anchor + text() for _ in range(300)]
+    n, out = suffix_dedup._minima(pa.array(texts, pa.binary()), np.arange(300), np.full(300, 34), 50)
+    assert n.tolist() == [35] * 300 and out.tolist() == np.repeat(np.arange(300), 35).tolist()
