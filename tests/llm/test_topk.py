@@ -2,6 +2,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from millrun.llm import topk
@@ -65,3 +66,38 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {tuple(r) for r in op5_topk(spark, sf).collect()} == brute(rows)
+
+
+def test_queries_are_not_copied_for_every_shuffle_partition(spark):
+    """Few candidates a query: no more groups than keep the cores busy; the query side is never broadcast."""
+    rows = spark.range(4000).selectExpr("cast(cast(id as string) as binary) as ids")
+    queries = spark.range(1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3000)
+    try:
+        assert topk._groups(spark, rows, queries) == 4 * spark.sparkContext.defaultParallelism
+        q = spark.createDataFrame([(2, b"q", b"v")], "dim int, ids binary, body binary")
+        c = spark.createDataFrame([(2, 1, b"c", b"v")], "dim int, block long, ids binary, body binary")
+        assert "Broadcast" not in topk._met(q, c, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_task_sends_its_best_sums_once(spark, monkeypatch):
+    """Phase 1 sends k sums a query and task, whatever the number of candidate blocks."""
+    monkeypatch.setattr(topk, "CANDIDATES", 10)
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)], "id long, v array<double>").coalesce(1)
+    blocks = topk._packed(df, 10)
+    queries = topk._packed(df.filter("id < 5"), topk.QUERIES)
+    met = topk._met(queries, blocks, 1).coalesce(1)
+    assert met.count() == 40 and topk._heads(met, 10, 4).count() == 50
+
+
+def test_sums_are_exact_in_any_float():
+    rng = np.random.default_rng(8)
+    for size in (2 ** 8, 2 ** 13, 2 ** 30, 2 ** 60):
+        q, c = (np.floor(rng.normal(0, size, (5, 12))) for _ in range(2))
+        q, c = (np.frombuffer(b, f"<f{len(b) // 60}").reshape(5, 12) for b in (topk._bytes(q), topk._bytes(c)))
+        got = sum(topk._lists(q, c, 4, topk._norm(q) * topk._norm(c)))
+        assert [[int(x) for x in r] for r in got] == [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in c] for a in q]
